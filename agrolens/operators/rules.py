@@ -1,119 +1,169 @@
 """Rule-based recommender: per-crop suitability, top-k, yields, accuracy.
 
-The 22 rules are a literal array inlined into the plan, so scoring a sample
-against every rule is a ``transform`` inside one row: map-only, no join, no
-shuffle, whole-stage codegen end to end.  Top-k is ``sort_array`` over 22
-structs ordered by (-score, rule_idx), which is exactly "score desc, ties in
-rule order".
+Scoring a sample against the 22 rules is a 22 x 7 matrix of range terms.
+Written as Spark column expressions that is ~5,000 expression nodes per
+row; Catalyst spends tens of seconds analysing and optimising such a tree
+and the generated code overflows the method-size limit.  So the scoring
+kernel is one vectorised numpy function applied with ``mapInPandas``:
+Arrow batches, map-only, no shuffle, linear in the input, and every other
+step (rounding, joins, aggregation) stays in Spark.
+
+Ties keep rule order (a stable sort on -score), as the reference does.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agrolens.functions.columns import lit_d
+from agrolens.session import ship_package
 from agrolens.sources import dims
 
 RULE_FEATURES = [f for f, _ in dims.RULE_FEATURE_DEFAULTS]
+_CROPS = np.array([r[0] for r in dims.CROP_RULES], dtype=object)
+_LO = np.array([[float(r[1 + 2 * j]) for j in range(7)] for r in dims.CROP_RULES])
+_HI = np.array([[float(r[2 + 2 * j]) for j in range(7)] for r in dims.CROP_RULES])
+_YIELD = np.array([float(dims.CROP_AVG_YIELDS.get(r[0], 0)) for r in dims.CROP_RULES])
 
 
-def rules_literal() -> Column:
-    """array<struct<rule_idx, crop, kg_ha, lo0..lo6, hi0..hi6>> of the 22 rules."""
-    items = []
-    for i, r in enumerate(dims.CROP_RULES):
-        crop, bounds = r[0], r[1:]
-        fields = [F.lit(i).alias("rule_idx"), F.lit(crop).alias("crop"),
-                  lit_d(dims.CROP_AVG_YIELDS.get(crop, 0)).alias("kg_ha")]
-        fields += [lit_d(bounds[2 * j]).alias(f"lo{j}") for j in range(7)]
-        fields += [lit_d(bounds[2 * j + 1]).alias(f"hi{j}") for j in range(7)]
-        items.append(F.struct(*fields))
-    return F.array(*items)
+def term_matrix(x: np.ndarray) -> np.ndarray:
+    """(n, 7) features -> (n, 22, 7) terms: 1 inside [lo, hi], else
+    max(0, 1 - relative distance); a missing value scores 0."""
+    v = x[:, None, :]
+    lo, hi = _LO[None], _HI[None]
+    with np.errstate(invalid="ignore"):
+        below = np.maximum(0.0, 1.0 - (lo - v) / np.maximum(lo, 1.0))
+        above = np.maximum(0.0, 1.0 - (v - hi) / np.maximum(hi, 1.0))
+        t = np.where((v >= lo) & (v <= hi), 1.0, np.where(v < lo, below, above))
+    return np.where(np.isnan(v), 0.0, t)
 
 
-def _feature_cols(df: DataFrame) -> list[Column]:
-    """Rule inputs; an absent column takes its default, NaN becomes NULL."""
-    out = []
-    for name, default in dims.RULE_FEATURE_DEFAULTS:
+def score_matrix(x: np.ndarray) -> np.ndarray:
+    t = term_matrix(x)
+    s = t[:, :, 0]
+    for j in range(1, 7):  # left-to-right sum, as the reference adds
+        s = s + t[:, :, j]
+    return s / 7.0
+
+
+def _features(pdf: pd.DataFrame) -> np.ndarray:
+    return pdf[[f"_rf{j}" for j in range(7)]].to_numpy(dtype=float, na_value=np.nan)
+
+
+def _prep(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys + the seven rule inputs (absent column -> default; NaN -> NULL)."""
+    cols = [F.col(k) for k in keys]
+    for j, (name, default) in enumerate(dims.RULE_FEATURE_DEFAULTS):
         if name in df.columns:
             c = F.col(name).cast("double")
-            out.append(F.when(~F.isnan(c), c))
+            cols.append(F.when(~F.isnan(c), c).alias(f"_rf{j}"))
         else:
-            out.append(lit_d(default))
-    return out
+            cols.append(F.lit(float(default)).alias(f"_rf{j}"))
+    ship_package(df.sparkSession)
+    return df.select(*cols)
 
 
-def _term(v: Column, lo: Column, hi: Column) -> Column:
-    """1 inside [lo, hi]; else max(0, 1 - relative distance); missing -> 0."""
-    one, zero = lit_d(1.0), lit_d(0.0)
-    below = F.greatest(zero, one - (lo - v) / F.greatest(lo, one))
-    above = F.greatest(zero, one - (v - hi) / F.greatest(hi, one))
-    return (F.when(v.isNull(), zero).when((v >= lo) & (v <= hi), one)
-            .when(v < lo, below).otherwise(above))
+def _key_schema(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
-def _score(feats: list[Column], r: Column) -> Column:
-    total = None
-    for j, v in enumerate(feats):
-        t = _term(v, r[f"lo{j}"], r[f"hi{j}"])
-        total = t if total is None else total + t
-    return total / lit_d(7.0)
+def rule_scores_long(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per (sample, rule): rule_idx, crop, score."""
+    x = _prep(df, keys)
 
+    def run(it):
+        for pdf in it:
+            s = score_matrix(_features(pdf))
+            n = len(pdf)
+            out = pdf[keys].loc[np.repeat(np.arange(n), 22)].reset_index(drop=True)
+            out["rule_idx"] = np.tile(np.arange(22, dtype=np.int32), n)
+            out["crop"] = np.tile(_CROPS, n)
+            out["score"] = s.reshape(-1)
+            yield out
 
-def with_rule_scores(df: DataFrame) -> DataFrame:
-    """Adds ``rule_scores`` = array<struct<rule_idx, crop, kg_ha, score>> (22 entries)."""
-    feats = _feature_cols(df)
-    scored = F.transform(rules_literal(), lambda r: F.struct(
-        r["rule_idx"].alias("rule_idx"), r["crop"].alias("crop"), r["kg_ha"].alias("kg_ha"),
-        _score(feats, r).alias("score")))
-    return df.withColumn("rule_scores", scored)
+    return x.mapInPandas(run, f"{_key_schema(x, keys)}, rule_idx int, crop string, score double")
 
 
-def with_rule_topk(df: DataFrame, k: int = 3) -> DataFrame:
-    """W2 + J14: adds ``top`` = array<struct<rank, crop, probability, score, expected_yield_kg_ha>>.
+def rule_topk_long(df: DataFrame, keys: list[str], k: int = 3, extra: list[str] | None = None) -> DataFrame:
+    """W2 + J14: one row per (sample, rank): crop, score, denominator, yield.
 
-    probability = score / sum(top-k scores) (or / 1 when that sum is 0), 4 dp.
+    ``probability = score / denom`` where denom = sum of the top-k scores
+    (1 when that sum is 0); rounding is left to Spark.
     """
-    df = with_rule_scores(df)
-    ordered = F.sort_array(F.transform("rule_scores", lambda s: F.struct(
-        (-s["score"]).alias("neg"), s["rule_idx"].alias("rule_idx"), s["crop"].alias("crop"),
-        s["kg_ha"].alias("kg_ha"), s["score"].alias("score"))))
-    top = F.slice(ordered, 1, k)
-    total = F.aggregate(top, lit_d(0.0), lambda acc, s: acc + s["score"])
-    denom = F.when(total == 0, lit_d(1.0)).otherwise(total)
-    top = F.transform(top, lambda s, i: F.struct(
-        (i + 1).alias("rank"), s["crop"].alias("crop"),
-        F.round(s["score"] / denom, 4).alias("probability"),
-        s["score"].alias("score"), s["kg_ha"].alias("expected_yield_kg_ha")))
-    return df.withColumn("_top_raw", top).withColumn("top", F.col("_top_raw")).drop("_top_raw", "rule_scores")
+    extra = extra or []
+    x = _prep(df, keys + extra)
+    cols = keys + extra
+
+    def run(it):
+        for pdf in it:
+            s = score_matrix(_features(pdf))
+            order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            top = np.take_along_axis(s, order, axis=1)
+            total = top[:, 0].copy()
+            for j in range(1, k):
+                total = total + top[:, j]
+            denom = np.where(total == 0, 1.0, total)
+            n = len(pdf)
+            out = pdf[cols].loc[np.repeat(np.arange(n), k)].reset_index(drop=True)
+            out["rank"] = np.tile(np.arange(1, k + 1, dtype=np.int32), n)
+            out["rule_idx"] = order.reshape(-1).astype(np.int32)
+            out["crop"] = _CROPS[order.reshape(-1)]
+            out["score"] = top.reshape(-1)
+            out["denom"] = np.repeat(denom, k)
+            out["expected_yield_kg_ha"] = _YIELD[order.reshape(-1)]
+            yield out
+
+    return x.mapInPandas(run, f"{_key_schema(x, cols)}, rank int, rule_idx int, crop string, "
+                              f"score double, denom double, expected_yield_kg_ha double")
 
 
 def rule_top3(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Long form of the top-3: one row per (sample, rank)."""
-    t = with_rule_topk(samples, 3)
-    return t.select(*keys, F.inline("top")).select(
-        *keys, F.col("rank").cast("int").alias("rank"), "crop", "probability",
-        "expected_yield_kg_ha", F.round("score", 4).alias("rule_score"))
+    """Long form of the top-3 with rounded probability and rule score."""
+    t = rule_topk_long(samples, keys, 3)
+    return t.select(*keys, "rank", "crop", F.round(F.col("score") / F.col("denom"), 4).alias("probability"),
+                    "expected_yield_kg_ha", F.round("score", 4).alias("rule_score"))
 
 
 def rule_explain(samples: DataFrame, keys: list[str]) -> DataFrame:
     """Top-1 crop with the seven per-feature terms of its score (4 dp)."""
-    feats = _feature_cols(samples)
-    t = with_rule_topk(samples, 1).withColumn("_best", F.col("top")[0])
-    rule = F.filter(rules_literal(), lambda r: r["crop"] == F.col("_best.crop"))[0]
-    t = t.withColumn("_rule", rule)
-    cols = [F.round(_term(v, F.col("_rule")[f"lo{j}"], F.col("_rule")[f"hi{j}"]), 4).alias(f"c_{name}")
-            for j, (v, name) in enumerate(zip(feats, RULE_FEATURES))]
-    return t.select(*keys, F.col("_best.crop").alias("crop"),
-                    F.round("_best.score", 4).alias("rule_score"), *cols)
-
-
-def baseline_accuracy(samples: DataFrame) -> DataFrame:
-    """Top-1 and top-3 hit rate of the rules against ``target_crop`` (4 dp)."""
-    t = with_rule_topk(samples, 3)
-    crops = F.transform("top", lambda s: s["crop"])
-    hit1 = F.coalesce((crops[0] == F.col("target_crop")), F.lit(False)).cast("double")
-    hit3 = F.coalesce(F.array_contains(crops, F.col("target_crop")), F.lit(False)).cast("double")
-    return t.agg(F.round(F.avg(hit1), 4).alias("top1_accuracy"),
-                 F.round(F.avg(hit3), 4).alias("top3_accuracy"),
-                 F.count("*").alias("total_samples"))
+    x = _prep(samples, keys)
+
+    def run(it):
+        for pdf in it:
+            feats = _features(pdf)
+            t = term_matrix(feats)
+            s = t[:, :, 0]
+            for j in range(1, 7):
+                s = s + t[:, :, j]
+            s = s / 7.0
+            best = np.argsort(-s, axis=1, kind="stable")[:, 0]
+            out = pdf[keys].copy()
+            out["crop"] = _CROPS[best]
+            out["rule_score"] = s[np.arange(len(pdf)), best]
+            bt = t[np.arange(len(pdf)), best, :]
+            for j, name in enumerate(RULE_FEATURES):
+                out[f"c_{name}"] = bt[:, j]
+            yield out
+
+    schema = (f"{_key_schema(x, keys)}, crop string, rule_score double, "
+              + ", ".join(f"c_{n} double" for n in RULE_FEATURES))
+    r = x.mapInPandas(run, schema)
+    return r.select(*keys, "crop", F.round("rule_score", 4).alias("rule_score"),
+                    *[F.round(f"c_{n}", 4).alias(f"c_{n}") for n in RULE_FEATURES])
+
+
+def baseline_accuracy(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """Top-1 and top-3 hit rate of the rules against ``target_crop`` (4 dp).
+
+    One pass: per-rank hits are summed with map-side partial aggregation.
+    """
+    t = rule_topk_long(samples, keys, 3, extra=["target_crop"])
+    hit = (F.col("crop") == F.col("target_crop")) & F.col("target_crop").isNotNull()
+    per = t.withColumn("_h", hit.cast("double"))
+    return per.agg(
+        F.round(F.sum(F.when(F.col("rank") == 1, F.col("_h"))) / F.sum(F.when(F.col("rank") == 1, 1.0)), 4)
+        .alias("top1_accuracy"),
+        F.round(F.sum("_h") / F.sum(F.when(F.col("rank") == 1, 1.0)), 4).alias("top3_accuracy"),
+        F.sum(F.when(F.col("rank") == 1, 1)).cast("bigint").alias("total_samples"))

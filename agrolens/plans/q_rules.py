@@ -52,9 +52,8 @@ def q_rule_top3(spark, sf_dir):
 SELECT s.row_uid, s.sample_id, c.crop, CAST(c.rule_idx AS INTEGER) AS rule_idx, {rsql(SCORE_SQL, 6)} AS score
 FROM samples s CROSS JOIN crop_rule c""")
 def q_rule_scores(spark, sf_dir):
-    t = rules.with_rule_scores(samples(spark, sf_dir))
-    return t.select(*KEYS, F.inline("rule_scores")).select(
-        *KEYS, "crop", F.col("rule_idx").cast("int").alias("rule_idx"), F.round("score", 6).alias("score"))
+    t = rules.rule_scores_long(samples(spark, sf_dir), KEYS)
+    return t.select(*KEYS, "crop", "rule_idx", F.round("score", 6).alias("score"))
 
 
 @register("baseline_accuracy", sql=with_fx("soil_samples", extra=SCORED_CTES) + f"""
@@ -65,7 +64,7 @@ FROM (SELECT rid, COALESCE(BOOL_OR(rk = 1 AND crop = target_crop), FALSE) AS hit
              COALESCE(BOOL_OR(crop = target_crop), FALSE) AS hit3
       FROM ranked WHERE rk <= 3 GROUP BY rid)""")
 def q_baseline_accuracy(spark, sf_dir):
-    return rules.baseline_accuracy(samples(spark, sf_dir))
+    return rules.baseline_accuracy(samples(spark, sf_dir), KEYS)
 
 
 _EXPLAIN_COLS = ",\n       ".join(

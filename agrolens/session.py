@@ -47,3 +47,43 @@ def shared_dir(spark: SparkSession, sub: str) -> str:
     spark.sparkContext.setCheckpointDir(base)
     path = os.path.join(base, sub) if "://" not in base else base.rstrip("/") + "/" + sub
     return path
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``agrolens`` importable in Python workers (``addPyFile`` of a zip).
+
+    Needed only by the few Arrow-batched Python kernels; the zip is written
+    once per application into the shared folder and distributed by Spark.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    import io
+    import zipfile
+    pkg_root = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _, files in os.walk(pkg_root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_root)))
+    target = shared_dir(spark, f"pyfiles-{app}")
+    if "://" not in target:
+        os.makedirs(target, exist_ok=True)
+        path = os.path.join(target, "agrolens.zip")
+        with open(path, "wb") as fh:
+            fh.write(buf.getvalue())
+    else:  # shared file system URI: write through Hadoop's FileSystem
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(target + "/agrolens.zip")
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        out = fs.create(p, True)
+        out.write(bytearray(buf.getvalue()))
+        out.close()
+        path = target + "/agrolens.zip"
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
