@@ -92,7 +92,9 @@ def parse_soil(payloads: DataFrame, depth: str = "0-5cm") -> DataFrame:
         depths = layer["depths"]
         hit = F.get(F.filter(depths, lambda dd: (F.instr(dd["label"], key) > 0) | (dd["label"] == depth)), 0)
         v = F.coalesce(hit["values"]["mean"], F.get(depths, 0)["values"]["mean"])
-        cols[canon] = v * lit_d(factor)
+        # divide by the integer divisor (as the reference does) rather than
+        # multiplying by 0.1 / 0.01, which rounds differently
+        cols[canon] = v / lit_d(round(1 / factor)) if factor < 1 else v * lit_d(factor)
     return out.withColumns(cols).drop("_layers")
 
 
