@@ -19,7 +19,7 @@ class Query:
 
 
 REGISTRY: dict[str, Query] = {}
-PLAN_MODULES = ["q_rules", "q_ingest", "q_validate", "q_metrics", "q_location", "q_features"]
+PLAN_MODULES = ["q_rules", "q_ingest", "q_validate", "q_metrics", "q_location", "q_features", "q_stream"]
 
 
 def register(name: str, sql: str | None = None, note: str = ""):
