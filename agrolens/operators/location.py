@@ -73,6 +73,10 @@ SOIL_SCHEMA = ("struct<properties: struct<layers: array<struct<name: string, "
                "depths: array<struct<label: string, values: struct<mean: double>>>>>>>")
 
 
+def _name_is(prop: str):
+    return lambda layer: layer["name"] == F.lit(prop)
+
+
 def parse_soil(payloads: DataFrame, depth: str = "0-5cm") -> DataFrame:
     """R1 + W9 + P21: payload -> one wide row of canonical soil properties.
 
@@ -88,7 +92,7 @@ def parse_soil(payloads: DataFrame, depth: str = "0-5cm") -> DataFrame:
         "array<struct<name:string,depths:array<struct<label:string,values:struct<mean:double>>>>>")))
     cols = {}
     for prop, canon, factor in dims.SOIL_PROPERTIES:
-        layer = F.get(F.filter("_layers", lambda l, p=prop: l["name"] == p), 0)
+        layer = F.get(F.filter("_layers", _name_is(prop)), 0)
         depths = layer["depths"]
         hit = F.get(F.filter(depths, lambda dd: (F.instr(dd["label"], key) > 0) | (dd["label"] == depth)), 0)
         v = F.coalesce(hit["values"]["mean"], F.get(depths, 0)["values"]["mean"])
