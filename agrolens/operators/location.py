@@ -189,3 +189,45 @@ def latest_prices(prices: DataFrame) -> DataFrame:
         (-F.col("b.neg_id")).alias("record_id"), F.col("b.modal").alias("modal_price_per_quintal"),
         F.col("b.minp").alias("min_price_per_quintal"), F.col("b.maxp").alias("max_price_per_quintal"),
         F.col("b.market").alias("market"))
+
+
+# ---- location profile / model input (J13, P23-P25, P30) ---------------------
+
+SOURCE_GEO = "Nominatim/OpenStreetMap (geocoding)"
+SOURCE_SOIL = "ISRIC SoilGrids v2.0 (modeled soil)"
+SOURCE_WEATHER = "Open-Meteo ERA5 (weather)"
+SOURCE_REGIONAL = "ICAR/MoA Crop Statistics (regional crops)"
+
+
+def location_profile(resolved: DataFrame, soil: DataFrame, weather: DataFrame) -> DataFrame:
+    """J13 + P25 + P30: one row per resolved location: model input with
+    defaults (N50 P25 K25 T27 H70 pH6.5 rain1000), the list of defaulted
+    fields, and the ordered list of data sources used.  Every side is
+    optional (left joins on location_id); a missing soil record counts as
+    the default soil record.  Builds the intended ``coalesce`` behaviour."""
+    dfl = dims.MODEL_INPUT_DEFAULTS
+    states = [s.lower() for s in dims.STATE_CROPS]
+    s = soil.select("location_id", F.col("pH").alias("_s_ph"), F.col("N_kg_ha").alias("_s_n"),
+                    F.col("P_kg_ha").alias("_s_p"), F.col("K_kg_ha").alias("_s_k"), F.col("source").alias("_s_src"))
+    w = weather.select("location_id", F.col("avg_temp_c").alias("_w_t"), F.col("humidity_pct").alias("_w_h"),
+                       F.col("avg_precip_mm").alias("_w_r"))
+    x = resolved.select("location_id", "state").join(s, "location_id", "left").join(w, "location_id", "left")
+    soil_default = F.col("_s_src").isNull() | (F.col("_s_src") == "defaults")
+    out = x.select(
+        "location_id",
+        F.coalesce("_s_n", lit_d(dfl["N"])).alias("N"), F.coalesce("_s_p", lit_d(dfl["P"])).alias("P"),
+        F.coalesce("_s_k", lit_d(dfl["K"])).alias("K"),
+        F.coalesce("_w_t", lit_d(dfl["temperature"])).alias("temperature"),
+        F.coalesce("_w_h", lit_d(dfl["humidity"])).alias("humidity"),
+        F.coalesce("_s_ph", lit_d(dfl["ph"])).alias("ph"),
+        F.coalesce("_w_r", lit_d(dfl["rainfall"])).alias("rainfall"),
+        F.array_join(F.array_compact(F.array(
+            F.when(soil_default & (F.coalesce("_s_n", lit_d(dfl["N"])) == dfl["N"]), F.lit("N")),
+            F.when(F.col("_w_t").isNull(), F.lit("temperature")),
+            F.when(F.col("_w_h").isNull(), F.lit("humidity")),
+            F.when(F.col("_w_r").isNull(), F.lit("rainfall")))), ", ").alias("used_defaults"),
+        F.array_join(F.array_compact(F.array(
+            F.lit(SOURCE_GEO), F.lit(SOURCE_SOIL),
+            F.when(F.col("_w_t").isNotNull(), F.lit(SOURCE_WEATHER)),
+            F.when(F.lower("state").isin(states), F.lit(SOURCE_REGIONAL)))), "; ").alias("data_sources"))
+    return out

@@ -271,3 +271,85 @@ SELECT location_id,
 FROM soil_values""")
 def q_soil_profile(spark, sf_dir):
     return location.soil_record(location.parse_soil(fixtures.soil_payloads(spark, sf_dir)))
+
+
+# ---- location profile and recommendation by location -------------------------
+
+def _profile(spark, sf_dir):
+    r = _resolved(spark, sf_dir).where(F.col("error").isNull())
+    soil = location.soil_record(location.parse_soil(fixtures.soil_payloads(spark, sf_dir)))
+    wx = location.weather_normals(location.weather_window(fixtures.weather_daily(spark, sf_dir), AS_OF))
+    return location.location_profile(r, soil, wx)
+
+
+_REG_STATES = "(VALUES " + ", ".join(f"('{s.lower()}')" for s in dims.STATE_CROPS) + ") AS rs(s)"
+_SOIL_SQL = f"""soil AS (
+  SELECT location_id,
+         CASE WHEN empty_payload THEN {d(6.5)} ELSE phh2o / {d(10.0)} END AS pH,
+         CASE WHEN empty_payload THEN {d(50.0)}
+              ELSE {rsql(f'GREATEST({d(5.0)}, LEAST(nitrogen / {d(100.0)} * {d(1950.0)} * {d(0.03)}, {d(400.0)}))', 1)} END AS N_kg_ha,
+         CASE WHEN empty_payload THEN {d(25.0)}
+              ELSE {rsql(f'GREATEST({d(3.0)}, LEAST(soc / {d(10.0)} * {d(2.5)} + {d(5.0)}, {d(200.0)}))', 1)} END AS P_kg_ha,
+         CASE WHEN empty_payload THEN {d(25.0)}
+              ELSE {rsql(f'GREATEST({d(5.0)}, LEAST(cec / {d(10.0)} * {d(0.03)} * {d(39.1)} * {d(20.0)}, {d(400.0)}))', 1)} END AS K_kg_ha,
+         CASE WHEN empty_payload THEN 'defaults' ELSE 'soilgrids' END AS source
+  FROM soil_values
+)"""
+_WX_SQL = f"""wxn AS (
+  SELECT location_id, {rsql('AVG(t_mean)', 1)} AS avg_temp_c, {rsql('AVG(humidity)', 1)} AS humidity_pct,
+         {rsql(f'SUM(precip) / GREATEST({d(1.0)}, COUNT(precip) / {d(365.0)})', 1)} AS avg_precip_mm
+  FROM wx GROUP BY location_id
+)"""
+_PROFILE_SQL = f"""profile AS (
+  SELECT v.location_id,
+         COALESCE(s.N_kg_ha, {d(50.0)}) AS N, COALESCE(s.P_kg_ha, {d(25.0)}) AS P, COALESCE(s.K_kg_ha, {d(25.0)}) AS K,
+         COALESCE(w.avg_temp_c, {d(27.0)}) AS temperature, COALESCE(w.humidity_pct, {d(70.0)}) AS humidity,
+         COALESCE(s.pH, {d(6.5)}) AS ph, COALESCE(w.avg_precip_mm, {d(1000.0)}) AS rainfall,
+         concat_ws(', ',
+           CASE WHEN (s.source IS NULL OR s.source = 'defaults') AND COALESCE(s.N_kg_ha, {d(50.0)}) = {d(50.0)} THEN 'N' END,
+           CASE WHEN w.avg_temp_c IS NULL THEN 'temperature' END,
+           CASE WHEN w.humidity_pct IS NULL THEN 'humidity' END,
+           CASE WHEN w.avg_precip_mm IS NULL THEN 'rainfall' END) AS used_defaults,
+         concat_ws('; ', '{location.SOURCE_GEO}', '{location.SOURCE_SOIL}',
+           CASE WHEN w.avg_temp_c IS NOT NULL THEN '{location.SOURCE_WEATHER}' END,
+           CASE WHEN lower(v.state) IN (SELECT s FROM {_REG_STATES}) THEN '{location.SOURCE_REGIONAL}' END) AS data_sources
+  FROM resolved v LEFT JOIN soil s ON s.location_id = v.location_id LEFT JOIN wxn w ON w.location_id = v.location_id
+  WHERE v.error IS NULL
+)"""
+_PROFILE_FX = with_fx("locations_raw", "pin_directory", "soil_values", "weather_daily",
+                      extra=RESOLVE_SQL + [_SOIL_SQL] + WEATHER_SQL + [_WX_SQL, _PROFILE_SQL])
+
+
+@register("location_profile", sql=_PROFILE_FX + "SELECT * FROM profile")
+def q_location_profile(spark, sf_dir):
+    return _profile(spark, sf_dir)
+
+
+def _loc_samples_sql():
+    from agrolens.plans.q_rules import SCORED_CTES
+    loc_samples = """samples AS (
+  SELECT CAST(location_id AS VARCHAR) AS row_uid, CAST(location_id AS VARCHAR) AS sample_id, NULL AS target_crop,
+         NULL AS date, N AS N_kg_ha, P AS P_kg_ha, K AS K_kg_ha, temperature AS avg_temp_c, humidity AS humidity_pct,
+         ph AS pH, rainfall AS avg_precip_mm
+  FROM profile
+)"""
+    return [loc_samples] + SCORED_CTES[1:]
+
+
+@register("recommend_by_location", sql=with_fx(
+    "locations_raw", "pin_directory", "soil_values", "weather_daily",
+    extra=RESOLVE_SQL + [_SOIL_SQL] + WEATHER_SQL + [_WX_SQL, _PROFILE_SQL] + _loc_samples_sql()) + f"""
+SELECT CAST(row_uid AS BIGINT) AS location_id, CAST(rk AS INTEGER) AS rank, crop,
+       {rsql(f"score / CASE WHEN tot = 0 THEN {d(1.0)} ELSE tot END", 4)} AS probability,
+       y.kg_ha AS expected_yield_kg_ha
+FROM top3 JOIN crop_avg_yield y USING (crop)""")
+def q_recommend_by_location(spark, sf_dir):
+    """M15 (rule backend): location -> model input -> top-3 crops with yields."""
+    from agrolens.operators import rules
+    p = _profile(spark, sf_dir).select(
+        "location_id", F.col("N").alias("N_kg_ha"), F.col("P").alias("P_kg_ha"), F.col("K").alias("K_kg_ha"),
+        F.col("temperature").alias("avg_temp_c"), F.col("humidity").alias("humidity_pct"), F.col("ph").alias("pH"),
+        F.col("rainfall").alias("avg_precip_mm"))
+    t = rules.rule_topk_long(p, ["location_id"], 3)
+    return t.select("location_id", "rank", "crop", F.round(F.col("score") / F.col("denom"), 4).alias("probability"),
+                    "expected_yield_kg_ha")

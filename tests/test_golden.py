@@ -95,7 +95,7 @@ def test_soil_units_and_npk(spark):
 
 
 def test_weather_normals(spark):
-    rows = [(1, f"2024-01-0{i + 1}", t, tx, tn, p, h) for i, (t, tx, tn, p, h) in
+    rows = [(1, f"2024-01-0{i + 1}", float(t), float(tx), float(tn), float(p), float(h)) for i, (t, tx, tn, p, h) in
             enumerate(zip([25, 26, 27], [30, 31, 32], [20, 21, 22], [5, 0, 10], [70, 72, 68]))]
     df = spark.createDataFrame(rows, "location_id int, d string, t_mean double, t_max double, t_min double, "
                                      "precip double, humidity double")
