@@ -68,3 +68,16 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     left = df.withColumn(key, F.lit(1))
     right = one_row.withColumn(key, F.lit(1))
     return left.join(F.broadcast(right), key).drop(key)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a narrow input over all cores when its scan gave too few splits.
+
+    Only fires when the input has fewer partitions than the cluster's
+    default parallelism (e.g. one small single-row-group file); on large
+    inputs with many splits it is a no-op, so no shuffle is added there.
+    Round-robin repartition is deterministic under recomputation
+    (sort-before-repartition is on by default).
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -17,7 +17,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from agrolens.functions.columns import spread
 from agrolens.session import ship_package
 from agrolens.sources import dims
 
@@ -62,7 +64,7 @@ def _prep(df: DataFrame, keys: list[str]) -> DataFrame:
         else:
             cols.append(F.lit(float(default)).alias(f"_rf{j}"))
     ship_package(df.sparkSession)
-    return df.select(*cols)
+    return spread(df.select(*cols))
 
 
 def _key_schema(df: DataFrame, keys: list[str]) -> str:
@@ -86,37 +88,54 @@ def rule_scores_long(df: DataFrame, keys: list[str]) -> DataFrame:
     return x.mapInPandas(run, f"{_key_schema(x, keys)}, rule_idx int, crop string, score double")
 
 
+_TOPK_SCHEMA = T.StructType(
+    [T.StructField(f"i{j}", T.IntegerType()) for j in (1, 2, 3)]
+    + [T.StructField(f"s{j}", T.DoubleType()) for j in (1, 2, 3)]
+    + [T.StructField("denom", T.DoubleType())])
+
+
+@F.pandas_udf(_TOPK_SCHEMA)
+def _top3_udf(f0: pd.Series, f1: pd.Series, f2: pd.Series, f3: pd.Series, f4: pd.Series,
+              f5: pd.Series, f6: pd.Series) -> pd.DataFrame:
+    """Scalar (Arrow-batched) kernel: only the 7 features go in, only rule
+    indices and scores come out; keys never leave the JVM."""
+    x = np.column_stack([c.to_numpy(dtype=float, na_value=np.nan) for c in (f0, f1, f2, f3, f4, f5, f6)])
+    s = score_matrix(x)
+    order = np.argsort(-s, axis=1, kind="stable")[:, :3]
+    top = np.take_along_axis(s, order, axis=1)
+    total = top[:, 0] + top[:, 1]
+    total = total + top[:, 2]
+    return pd.DataFrame({"i1": order[:, 0].astype(np.int32), "i2": order[:, 1].astype(np.int32),
+                         "i3": order[:, 2].astype(np.int32), "s1": top[:, 0], "s2": top[:, 1], "s3": top[:, 2],
+                         "denom": np.where(total == 0, 1.0, total)})
+
+
+def _crop_at(i):
+    return F.element_at(F.array(*[F.lit(c) for c in _CROPS]), i + 1)
+
+
+def _yield_at(i):
+    return F.element_at(F.array(*[F.lit(float(y)) for y in _YIELD]), i + 1)
+
+
 def rule_topk_long(df: DataFrame, keys: list[str], k: int = 3, extra: list[str] | None = None) -> DataFrame:
     """W2 + J14: one row per (sample, rank): crop, score, denominator, yield.
 
-    ``probability = score / denom`` where denom = sum of the top-k scores
-    (1 when that sum is 0); rounding is left to Spark.
+    ``probability = score / denom`` where denom = sum of the top-3 scores
+    (1 when that sum is 0); rounding is left to Spark.  The kernel is a
+    scalar pandas UDF over the 7 numeric inputs; the long form is produced
+    JVM-side with ``inline``.
     """
+    if k != 3:
+        raise ValueError("the vectorised kernel returns the top 3")
     extra = extra or []
     x = _prep(df, keys + extra)
-    cols = keys + extra
-
-    def run(it):
-        for pdf in it:
-            s = score_matrix(_features(pdf))
-            order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            top = np.take_along_axis(s, order, axis=1)
-            total = top[:, 0].copy()
-            for j in range(1, k):
-                total = total + top[:, j]
-            denom = np.where(total == 0, 1.0, total)
-            n = len(pdf)
-            out = pdf[cols].loc[np.repeat(np.arange(n), k)].reset_index(drop=True)
-            out["rank"] = np.tile(np.arange(1, k + 1, dtype=np.int32), n)
-            out["rule_idx"] = order.reshape(-1).astype(np.int32)
-            out["crop"] = _CROPS[order.reshape(-1)]
-            out["score"] = top.reshape(-1)
-            out["denom"] = np.repeat(denom, k)
-            out["expected_yield_kg_ha"] = _YIELD[order.reshape(-1)]
-            yield out
-
-    return x.mapInPandas(run, f"{_key_schema(x, cols)}, rank int, rule_idx int, crop string, "
-                              f"score double, denom double, expected_yield_kg_ha double")
+    t = x.withColumn("_t", _top3_udf(*[F.col(f"_rf{j}") for j in range(7)]))
+    items = [F.struct(F.lit(j + 1).alias("rank"), F.col(f"_t.i{j + 1}").alias("rule_idx"),
+                      _crop_at(F.col(f"_t.i{j + 1}")).alias("crop"), F.col(f"_t.s{j + 1}").alias("score"),
+                      F.col("_t.denom").alias("denom"), _yield_at(F.col(f"_t.i{j + 1}")).alias("expected_yield_kg_ha"))
+             for j in range(3)]
+    return t.select(*keys, *extra, F.inline(F.array(*items)))
 
 
 def rule_top3(samples: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agrolens.functions.columns import spread
 from agrolens.sources import dims
 from agrolens.sources.tables import table
 
@@ -35,8 +36,8 @@ def _profile_value(k: Column, m: Column, s: Column, prime: int) -> Column:
 
 def soil_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FX1: raw crop-sample rows (CSV schema of the reference) from lineitem."""
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate")
+    li = spread(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate"))
     k = (F.col("l_orderkey") * 31 + F.col("l_partkey") * 17 + F.col("l_suppkey") * 13
          + F.col("l_linenumber") * 7 + F.floor("l_quantity").cast("bigint") * 3)
     prof = F.broadcast(dims.dim(spark, "sample_profile"))
