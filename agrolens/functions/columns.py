@@ -79,5 +79,7 @@ def spread(df: DataFrame) -> DataFrame:
     Round-robin repartition is deterministic under recomputation
     (sort-before-repartition is on by default).
     """
+    if df.isStreaming:
+        return df
     target = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df

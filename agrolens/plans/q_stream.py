@@ -38,3 +38,39 @@ SELECT request_id, ts, {CROPS}[pred_idx + 1] AS crop, latency_s
 FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ts) AS rn FROM scored_requests) WHERE rn = 1""")
 def q_stream_dedupe(spark, sf_dir):
     return jobs.dedupe(spark, sf_dir)
+
+
+def _gate_sql():
+    from agrolens.plans.common import SAMPLES_SQL
+    parts = []
+    for f in dims.REQUIRED_FEATURES:
+        lo, hi = next((a, b) for n, a, b in dims.FEATURE_RANGES if n == f)
+        parts.append(f"CASE WHEN {f} IS NULL OR isnan({f}) THEN 'missing:{f}' "
+                     f"WHEN {f} < {d(lo)} OR {f} > {d(hi)} THEN 'range:{f}' END")
+    gate = f"concat_ws(',', {', '.join(parts)})"
+    return [SAMPLES_SQL.replace("samples AS (", "raw_samples AS (", 1),
+            f"gated AS (SELECT *, {gate} AS violations FROM raw_samples)"]
+
+
+@register("request_gate", sql=with_fx("soil_samples", extra=_gate_sql()) + """
+SELECT row_uid, violations, violations = '' AS accepted FROM gated""")
+def q_request_gate(spark, sf_dir):
+    from agrolens.operators.serving import request_gate
+    from agrolens.plans.common import samples
+    return request_gate(samples(spark, sf_dir)).select("row_uid", "violations", "accepted")
+
+
+def _stream_recommend_sql():
+    from agrolens.plans.common import rsql
+    from agrolens.plans.q_rules import SCORED_CTES
+    ctes = _gate_sql() + ["samples AS (SELECT * FROM gated WHERE violations = '')"] + SCORED_CTES[1:]
+    return with_fx("soil_samples", extra=ctes) + f"""
+SELECT row_uid, sample_id, CAST(rk AS INTEGER) AS rank, crop,
+       {rsql(f"score / CASE WHEN tot = 0 THEN {d(1.0)} ELSE tot END", 4)} AS probability,
+       y.kg_ha AS expected_yield_kg_ha, {rsql("score", 4)} AS rule_score
+FROM top3 JOIN crop_avg_yield y USING (crop)"""
+
+
+@register("stream_recommend", sql=_stream_recommend_sql())
+def q_stream_recommend(spark, sf_dir):
+    return jobs.recommend(spark, sf_dir)

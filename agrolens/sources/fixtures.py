@@ -34,10 +34,17 @@ def _profile_value(k: Column, m: Column, s: Column, prime: int) -> Column:
     return ((m - F.lit(2) * s).cast("bigint") + step).cast("double") / F.lit(10.0)
 
 
+LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate"]
+
+
 def soil_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FX1: raw crop-sample rows (CSV schema of the reference) from lineitem."""
-    li = spread(table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate"))
+    li = spread(table(spark, sf_dir, "lineitem").select(*LINEITEM_COLS))
+    return soil_samples_from(spark, li)
+
+
+def soil_samples_from(spark: SparkSession, li: DataFrame) -> DataFrame:
+    """FX1 over any lineitem-shaped frame (batch or stream)."""
     k = (F.col("l_orderkey") * 31 + F.col("l_partkey") * 17 + F.col("l_suppkey") * 13
          + F.col("l_linenumber") * 7 + F.floor("l_quantity").cast("bigint") * 3)
     prof = F.broadcast(dims.dim(spark, "sample_profile"))

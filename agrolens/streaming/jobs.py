@@ -89,3 +89,24 @@ def dedupe(spark: SparkSession, sf_dir: str, watermark: str = "2 hours") -> Data
     q = s.dropDuplicatesWithinWatermark(["request_id"]).select(
         "request_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "crop", "latency_s")
     return _run(spark, q, "dedupe", "append")
+
+
+LINEITEM_SCHEMA = ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                   "l_quantity double, l_shipdate timestamp_ntz")
+
+
+def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score a stream of sample rows: gate, quarantine, rule top-3.
+
+    Accepted rows get the same top-3 as the batch job; rejected rows would go
+    to a quarantine sink with their violations (here: kept out of the output)."""
+    from agrolens.operators import rules, serving
+    from agrolens.operators.ingest import to_canonical
+    from agrolens.sources.fixtures import soil_samples_from
+    li = (spark.readStream.schema(LINEITEM_SCHEMA).option("maxFilesPerTrigger", 1)
+          .parquet(f"{sf_dir.rstrip('/')}/lineitem*.parquet"))
+    samples = to_canonical(soil_samples_from(spark, li)).withColumnsRenamed(
+        {"sample_date": "date", "lat": "latitude", "lon": "longitude"})
+    gated = serving.request_gate(samples).where("accepted")
+    q = rules.rule_top3(gated, ["row_uid", "sample_id"])
+    return _run(spark, q, "recommend", "append")
