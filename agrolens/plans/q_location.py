@@ -127,6 +127,7 @@ def _wrap(k):
 
 EXPORT_SQL = RESOLVE_SQL + PORT_SQL + [
     dim_cte("state_crop"), dim_cte("export_stats"), dim_cte("state_suitability"), dim_cte("default_suitability"),
+    "rec AS (SELECT CAST(NULL AS BIGINT) AS location_id, CAST(NULL AS VARCHAR) AS crop, TRUE AS hit WHERE FALSE)",
     f"""cand AS (
   SELECT location_id, crop, MIN(pos) AS pos FROM (
     SELECT v.location_id, t.crop, t.pos FROM resolved v CROSS JOIN {_TARGETS} WHERE v.error IS NULL
@@ -159,16 +160,18 @@ EXPORT_SQL = RESOLVE_SQL + PORT_SQL + [
   LEFT JOIN state_suitability ss ON ss.state = lower(v.state) AND ss.crop = lower(c.crop)
   LEFT JOIN default_suitability ds ON ds.crop = lower(c.crop)
 )""", f"""totals AS (
-  SELECT *, ({d(0.35)} * demand_score + {d(0.2)} * price_score + {d(0.2)} * {rsql('logistics_score', 1)}
+  SELECT *, CASE WHEN ml THEN LEAST({d(100.0)}, base + {d(15.0)}) ELSE base END AS total FROM (
+    SELECT sc.*, COALESCE(rc.hit, FALSE) AS ml,
+           ({d(0.35)} * demand_score + {d(0.2)} * price_score + {d(0.2)} * {rsql('logistics_score', 1)}
              + {d(0.15)} * timing_score + {d(0.1)} * regulatory_score)
             * CASE WHEN suitability_score < 40 THEN {d(0.3)} WHEN suitability_score < 60 THEN {d(0.7)} ELSE {d(1.0)} END
-            AS total
-  FROM scored
+            AS base
+    FROM scored sc LEFT JOIN rec rc ON rc.location_id = sc.location_id AND rc.crop = lower(sc.crop))
 )""", f"""final AS (
   SELECT location_id, crop, {rsql('total', 1)} AS export_score, {rsql('demand_score', 1)} AS demand_score,
          {rsql('price_score', 1)} AS price_score, {rsql('logistics_score', 1)} AS logistics_score,
          {rsql('timing_score', 1)} AS timing_score, {rsql('regulatory_score', 1)} AS regulatory_score,
-         suitability_score, FALSE AS ml_recommended, {rsql(f'LEAST({d(92.0)}, total * {d(0.92)})', 1)} AS confidence,
+         suitability_score, ml AS ml_recommended, {rsql(f'LEAST({d(92.0)}, total * {d(0.92)})', 1)} AS confidence,
          nearest_port, distance_km AS port_distance_km, CAST(avg_price_usd_ton AS BIGINT) AS avg_price_usd_ton,
          cold_chain_required, processing_required, certification_days,
          concat_ws(' | ',
@@ -182,6 +185,7 @@ EXPORT_SQL = RESOLVE_SQL + PORT_SQL + [
                 || price_trend || ')' END,
            CASE WHEN harvest_to_export_weeks <> 0 THEN 'Harvest to export: ~' || CAST(harvest_to_export_weeks AS VARCHAR)
                 || ' weeks' END,
+           CASE WHEN ml THEN 'Soil & climate suitable for this location (AI-verified)' END,
            CASE WHEN suitability_score >= 70 THEN 'Agroclimatic suitability: High (' || CAST(suitability_score AS VARCHAR) || '/100)'
                 WHEN suitability_score >= 50 THEN 'Agroclimatic suitability: Moderate (' || CAST(suitability_score AS VARCHAR) || '/100)'
                 END) AS reason
@@ -353,3 +357,25 @@ def q_recommend_by_location(spark, sf_dir):
     t = rules.rule_topk_long(p, ["location_id"], 3)
     return t.select("location_id", "rank", "crop", F.round(F.col("score") / F.col("denom"), 4).alias("probability"),
                     "expected_yield_kg_ha")
+
+
+
+def _boosted_sql():
+    rule_ctes = [c.replace("scored AS (", "rscored AS (", 1).replace("FROM scored", "FROM rscored")
+                 for c in _loc_samples_sql()]
+    rec = "rec AS (SELECT DISTINCT CAST(row_uid AS BIGINT) AS location_id, crop, TRUE AS hit FROM top3)"
+    base = [c for c in EXPORT_SQL if not c.startswith("rec AS (")]
+    i = next(k for k, c in enumerate(base) if c.startswith("cand AS ("))
+    extra = ([c for c in base[:i] if c not in RESOLVE_SQL] + [_SOIL_SQL] + WEATHER_SQL + [_WX_SQL, _PROFILE_SQL]
+             + rule_ctes + [rec] + base[i:])
+    return with_fx("locations_raw", "pin_directory", "soil_values", "weather_daily",
+                   extra=RESOLVE_SQL + extra) + "SELECT * FROM ranked_exports"
+
+
+@register("export_scores_boosted", sql=_boosted_sql())
+def q_export_scores_boosted(spark, sf_dir):
+    """E7 + E8 + J10: export scores with +15 (capped at 100) for crops the
+    recommender puts in a location's top 3."""
+    rec = q_recommend_by_location(spark, sf_dir).select("location_id", "crop")
+    r = _resolved(spark, sf_dir).where(F.col("error").isNull())
+    return export.export_scores(spark, r, AS_OF, recommended=rec)
