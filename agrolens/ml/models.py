@@ -1,4 +1,4 @@
-"""Learning jobs on ``pyspark.ml``.
+"""Learning jobs on ``pyspark.ml``.
 
 Splits are by group (location), seeded through ``sha2`` so they are
 reproducible on any cluster; training and scoring are distributed by
@@ -86,3 +86,45 @@ def zones_kmeans(samples: DataFrame, keys: list[str], k: int = 20, seed: int = 4
     vec = VectorAssembler(inputCols=[f"{c}_z" for c in cols], outputCol="features").transform(z)
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="zone").fit(vec)
     return model.transform(vec).select(*keys, F.col("zone").cast("int"))
+
+
+def train_yield(production: DataFrame, min_rows: int = 10, max_iter: int = 20, seed: int = 42) -> DataFrame:
+    """M7 + M8 + F2 + S10: yield regressor with per-crop median fallback.
+
+    Fits a GBT regressor (depth 5, step 0.1) on rows with a yield, using
+    area, year and one-hot season and crop (the crop is a feature, so each
+    crop gets its own estimate).  With <= ``min_rows`` valid rows the model
+    is skipped.  Predictions fall back to the exact per-crop median, then 0.
+    The fitted pipeline is saved to and reloaded from the shared folder.
+    """
+    import uuid
+
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    from pyspark.ml.regression import GBTRegressor
+
+    from agrolens.session import shared_dir
+
+    spark = production.sparkSession
+    base = production.select("record_id", "target_crop", "season", "year",
+                             F.col("area_ha").cast("double"), "yield_kg_ha")
+    valid = base.where(F.col("yield_kg_ha").isNotNull())
+    medians = ingest.yield_median_by_crop(production).select("target_crop", "yield_kg_ha_median")
+    out = base.join(medians, "target_crop", "left")
+    if valid.limit(min_rows + 1).count() <= min_rows:
+        return out.select("record_id", "target_crop", "yield_kg_ha",
+                          F.coalesce("yield_kg_ha_median", F.lit(0.0)).alias("predicted_yield"))
+    stages = [StringIndexer(inputCol="target_crop", outputCol="_ci", handleInvalid="keep"),
+              StringIndexer(inputCol="season", outputCol="_si", handleInvalid="keep"),
+              OneHotEncoder(inputCols=["_ci", "_si"], outputCols=["_co", "_so"], handleInvalid="keep"),
+              VectorAssembler(inputCols=["area_ha", "year", "_co", "_so"], outputCol="features",
+                              handleInvalid="keep"),
+              GBTRegressor(featuresCol="features", labelCol="yield_kg_ha", maxDepth=5, maxIter=max_iter,
+                           stepSize=0.1, seed=seed, predictionCol="_pred")]
+    model = Pipeline(stages=stages).fit(valid)
+    path = shared_dir(spark, f"models/yield-{uuid.uuid4().hex[:12]}")
+    model.write().overwrite().save(path)
+    loaded = PipelineModel.load(path)
+    scored = loaded.transform(out)
+    return scored.select("record_id", "target_crop", "yield_kg_ha",
+                         F.coalesce("_pred", "yield_kg_ha_median", F.lit(0.0)).alias("predicted_yield"))

@@ -52,3 +52,17 @@ def q_classifier_eval(spark, sf_dir):
 @register("zones_kmeans", note="KMeans labels are not bit-reproducible across engines: rows-only")
 def q_zones_kmeans(spark, sf_dir):
     return models.zones_kmeans(samples(spark, sf_dir), KEYS)
+
+
+@register("train_yield", note="boosted-tree predictions: rows-only")
+def q_train_yield(spark, sf_dir):
+    from agrolens.operators import ingest
+    from agrolens.sources import fixtures
+    p = ingest.production_canonical(fixtures.crop_production(spark, sf_dir))
+    return models.train_yield(p)
+
+
+@register("yield_model_mae", note="MAE of the boosted-tree predictions: rows-only")
+def q_yield_model_mae(spark, sf_dir):
+    from agrolens.operators import metrics
+    return metrics.yield_mae(q_train_yield(spark, sf_dir))
