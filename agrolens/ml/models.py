@@ -128,3 +128,58 @@ def train_yield(production: DataFrame, min_rows: int = 10, max_iter: int = 20, s
     scored = loaded.transform(out)
     return scored.select("record_id", "target_crop", "yield_kg_ha",
                          F.coalesce("_pred", "yield_kg_ha_median", F.lit(0.0)).alias("predicted_yield"))
+
+
+def _feature_means(data: DataFrame, cols: list[str]) -> dict:
+    """Training-set means (one aggregation, one row to the driver)."""
+    row = data.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    return {c: float(row[c] or 0.0) for c in cols}
+
+
+def linear_attributions(model, data: DataFrame, cols: list[str], keys: list[str], top_n: int = 5) -> DataFrame:
+    """M10 + W11: per row, contribution of each feature to the predicted
+    class's margin, coef[pred, j] * (x_j - mean_j) (exact Shapley values of
+    a linear model under feature independence); the ``top_n`` by absolute
+    value.  Coefficients are a fixed 22 x n_features matrix (inlined)."""
+    coef = model.coefficientMatrix.toArray()
+    means = _feature_means(data.where(~F.col("is_test")), cols)
+    scored = model.transform(data.where(F.col("is_test")))
+    pred = F.col("prediction").cast("int")
+    items = []
+    for j, c in enumerate(cols):
+        w = F.element_at(F.array(*[F.lit(float(coef[k][j])) for k in range(coef.shape[0])]), pred + 1)
+        items.append(F.struct((-F.abs(w * (F.col(c) - F.lit(means[c])))).alias("neg_abs"), F.lit(c).alias("feature"),
+                              (w * (F.col(c) - F.lit(means[c]))).alias("contribution")))
+    top = F.slice(F.sort_array(F.array(*items)), 1, top_n)
+    out = scored.select(*keys, pred.alias("class_idx"), F.posexplode(top).alias("pos", "t"))
+    return out.select(*keys, "class_idx", (F.col("pos") + 1).cast("int").alias("rank"),
+                      F.col("t.feature").alias("feature"), F.round("t.contribution", 4).alias("contribution"))
+
+
+def global_importance(model, data: DataFrame, cols: list[str], top_n: int = 10) -> DataFrame:
+    """Mean |attribution| over rows and classes, sorted desc (4 dp).
+
+    mean_{rows,classes} |coef[c,j] (x_j - mu_j)| = mean_c |coef[c,j]| *
+    mean_rows |x_j - mu_j|, so one aggregation over the data suffices."""
+    import numpy as np
+    coef = np.abs(model.coefficientMatrix.toArray()).mean(axis=0)
+    train = data.where(~F.col("is_test"))
+    means = _feature_means(train, cols)
+    dev = train.agg(*[F.avg(F.abs(F.col(c) - F.lit(means[c]))).alias(c) for c in cols])
+    items = [F.struct(F.lit(c).alias("feature"), (F.col(c) * F.lit(float(coef[j]))).alias("importance"))
+             for j, c in enumerate(cols)]
+    long = dev.select(F.explode(F.array(*items)).alias("s")).select("s.feature", "s.importance")
+    ranked = global_row_number(long, [F.desc("importance"), F.asc("feature")], "rank")
+    return ranked.where(F.col("rank") <= top_n).select(
+        F.col("rank").cast("int"), "feature", F.round("importance", 4).alias("importance"))
+
+
+def importance_fallback(data: DataFrame, cols: list[str], num_trees: int = 20, seed: int = 42) -> DataFrame:
+    """Tree-model feature importances joined to feature names."""
+    from pyspark.ml.classification import RandomForestClassifier
+    rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=num_trees, maxDepth=8,
+                                seed=seed).fit(data.where(~F.col("is_test")))
+    imp = rf.featureImportances.toArray()
+    spark = data.sparkSession
+    return spark.createDataFrame([(c, float(imp[j])) for j, c in enumerate(cols)], "feature string, importance double") \
+        .select("feature", F.round("importance", 4).alias("importance"))

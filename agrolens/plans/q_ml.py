@@ -66,3 +66,21 @@ def q_train_yield(spark, sf_dir):
 def q_yield_model_mae(spark, sf_dir):
     from agrolens.operators import metrics
     return metrics.yield_mae(q_train_yield(spark, sf_dir))
+
+
+@register("explain_top_features", note="attributions of a fitted model: rows-only")
+def q_explain_top_features(spark, sf_dir):
+    model, data, cols = models.train_classifier(samples(spark, sf_dir), KEYS)
+    return models.linear_attributions(model, data, cols, KEYS, 5)
+
+
+@register("global_importance", note="importance of a fitted model: rows-only")
+def q_global_importance(spark, sf_dir):
+    model, data, cols = models.train_classifier(samples(spark, sf_dir), KEYS)
+    return models.global_importance(model, data, cols, 10)
+
+
+@register("importance_fallback", note="random-forest importances: rows-only")
+def q_importance_fallback(spark, sf_dir):
+    _, data, cols = models.train_classifier(samples(spark, sf_dir), KEYS, max_iter=5)
+    return models.importance_fallback(data, cols)
