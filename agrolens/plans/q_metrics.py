@@ -133,3 +133,70 @@ FROM scored_requests r LEFT JOIN crop_avg_yield y ON y.crop = {CROPS}[r.pred_idx
 def q_predict_yield_fallback(spark, sf_dir):
     r = fixtures.scored_requests(spark, sf_dir).select("request_id", metrics.crop_name("pred_idx").alias("crop"))
     return _with_fallback_yield(r, "crop", "expected_yield_kg_ha")
+
+
+def _eval_long(spark, sf_dir):
+    req = fixtures.scored_requests(spark, sf_dir)
+    prf = metrics.per_class_prf(req)
+    mw = metrics.macro_weighted(prf)
+    top = metrics.topk_accuracy(table(spark, sf_dir, "embeddings"))
+    names = ["macro_precision", "macro_recall", "macro_f1", "weighted_precision", "weighted_recall", "weighted_f1"]
+    overall = mw.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value"))
+                                            for n in names])).alias("s"))
+    overall = overall.select(F.lit("overall").alias("scope"), "s.metric", "s.value")
+    topk = top.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value"))
+                                          for n in ["top1_accuracy", "top3_accuracy"]])).alias("s"))
+    topk = topk.select(F.lit("overall").alias("scope"), "s.metric", "s.value")
+    per = prf.where(F.col("support") > 0).select(
+        F.col("crop").alias("scope"),
+        F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value"))
+                            for n in ["precision", "recall", "f1"]])).alias("s")).select("scope", "s.metric", "s.value")
+    return overall.unionByName(topk).unionByName(per)
+
+
+_TOPK_SQL = f"""topk AS (
+  SELECT {rsql('AVG(CASE WHEN better < 1 THEN 1.0 ELSE 0.0 END)', 6)} AS top1_accuracy,
+         {rsql('AVG(CASE WHEN better < 3 THEN 1.0 ELSE 0.0 END)', 6)} AS top3_accuracy
+  FROM (SELECT (SELECT COUNT(*) FROM class_scores c
+                WHERE c.vec_id = e.vec_id AND t.score IS NOT NULL
+                  AND (c.score > t.score OR (c.score = t.score AND c.class_idx > t.class_idx))) AS better
+        FROM embeddings e LEFT JOIN class_scores t ON t.vec_id = e.vec_id AND t.class_idx = e.label)
+)"""
+_PRR = f"""prr AS (
+  SELECT class_idx, {rsql('precision', 6)} AS precision, {rsql('recall', 6)} AS recall, {rsql('f1', 6)} AS f1, support
+  FROM prf)"""
+_MW = f"""mw AS (
+  SELECT {rsql('AVG(precision)', 6)} AS macro_precision, {rsql('AVG(recall)', 6)} AS macro_recall,
+         {rsql('AVG(f1)', 6)} AS macro_f1,
+         {rsql('SUM(precision * support) / SUM(support)', 6)} AS weighted_precision,
+         {rsql('SUM(recall * support) / SUM(support)', 6)} AS weighted_recall,
+         {rsql('SUM(f1 * support) / SUM(support)', 6)} AS weighted_f1
+  FROM prr)"""
+_EVAL_FX = with_fx("scored_requests", "class_scores", extra=[PRF_SQL, _PRR, _MW, _TOPK_SQL])
+_UNPIVOT_MW = " UNION ALL ".join(f"SELECT 'overall' AS scope, '{n}' AS metric, {n} AS value FROM mw" for n in
+                                 ["macro_precision", "macro_recall", "macro_f1", "weighted_precision",
+                                  "weighted_recall", "weighted_f1"])
+_UNPIVOT_TOP = " UNION ALL ".join(f"SELECT 'overall', '{n}', {n} FROM topk" for n in ["top1_accuracy", "top3_accuracy"])
+_UNPIVOT_PRF = " UNION ALL ".join(f"SELECT {CROPS}[class_idx + 1], '{n}', {n} FROM prr WHERE support > 0"
+                                  for n in ["precision", "recall", "f1"])
+
+
+@register("eval_report", sql=_EVAL_FX + f"{_UNPIVOT_MW} UNION ALL {_UNPIVOT_TOP} UNION ALL {_UNPIVOT_PRF}")
+def q_eval_report(spark, sf_dir):
+    """Evaluation metrics as a long (scope, metric, value) table."""
+    return _eval_long(spark, sf_dir)
+
+
+_REMEDIATION = "Top-3 accuracy below target: add data, tune hyper-parameters or revisit features"
+
+
+@register("target_gate", sql=_EVAL_FX + f"""
+SELECT top3_accuracy, top3_accuracy >= {d(0.75)} AS passed,
+       CASE WHEN top3_accuracy >= {d(0.75)} THEN 'Target met' ELSE '{_REMEDIATION}' END AS message
+FROM topk""")
+def q_target_gate(spark, sf_dir):
+    """Success gate on top-3 accuracy (>= 0.75) with a remediation message."""
+    t = metrics.topk_accuracy(table(spark, sf_dir, "embeddings"))
+    ok = F.col("top3_accuracy") >= 0.75
+    return t.select("top3_accuracy", ok.alias("passed"),
+                    F.when(ok, F.lit("Target met")).otherwise(F.lit(_REMEDIATION)).alias("message"))
