@@ -84,3 +84,28 @@ def q_global_importance(spark, sf_dir):
 def q_importance_fallback(spark, sf_dir):
     _, data, cols = models.train_classifier(samples(spark, sf_dir), KEYS, max_iter=5)
     return models.importance_fallback(data, cols)
+
+
+@register("train_run_log", note="appends one run row to a shared 'runs' table: rows-only")
+def q_train_run_log(spark, sf_dir):
+    """S9 + M9: train, evaluate on held-out groups, append params and metrics
+    to the ``runs`` table in the shared folder, return this run's row."""
+    import time
+    import uuid
+
+    from agrolens.session import shared_dir
+    t0 = time.time()
+    model, data, _ = models.train_classifier(samples(spark, sf_dir), KEYS)
+    train_s = time.time() - t0
+    top = models.topk_from_probabilities(model.transform(data.where(F.col("is_test"))), KEYS, 3)
+    hits = top.groupBy(*KEYS, "label").agg(
+        F.max(F.when((F.col("rank") == 1) & (F.col("class_idx") == F.col("label")), 1).otherwise(0)).alias("h1"),
+        F.max(F.when(F.col("class_idx") == F.col("label"), 1).otherwise(0)).alias("h3"))
+    run_id = uuid.uuid4().hex[:12]
+    row = hits.agg(F.lit(run_id).alias("run_id"), F.lit("logistic_regression").alias("model_type"),
+                   F.lit(50).alias("max_iter"), F.count("*").alias("n_test"),
+                   F.round(F.avg("h1"), 4).alias("top1_accuracy"), F.round(F.avg("h3"), 4).alias("top3_accuracy"),
+                   F.lit(round(train_s, 3)).alias("train_time_seconds"))
+    path = shared_dir(spark, "runs")
+    row.write.mode("append").parquet(path)
+    return spark.read.parquet(path).where(F.col("run_id") == run_id)
