@@ -1,6 +1,6 @@
 """All queries of the subpackage, by name."""
 
-from agrolens.llm import bpe, chat_format, license_scan, line_dedup, quality_rules, secret_scan, simhash  # noqa: F401
+from agrolens.llm import bpe, chat_format, license_scan, line_dedup, maxent_lm, quality_rules, secret_scan, simhash  # noqa: F401
 from agrolens.llm.common import QUERIES
 
 __all__ = ["QUERIES"]
