@@ -5,8 +5,9 @@
 frequency; the other words' classes are powers of two of their counts.  Both
 factors of a head word are softmaxes over hashed features: the word before,
 the pair before, and the word before that (a skip).  Inside a count class a
-word has its smoothed share.  All probabilities sum to one, with half a count
-for what training has not seen, as in the unigram base.
+word has its smoothed share.  Half a count stands for any word that training has not
+seen, as in the unigram base; the probabilities of all others sum to one or
+less (a class may have unused places).
 
 Jobs: (1) texts are tokenised once, in chunks with a dictionary of their own;
 (2) the dictionaries are counted by word and every chunk gets its words' total
@@ -32,7 +33,7 @@ import numpy as np
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,15 +44,15 @@ from agrolens.llm.common import arrow_map, documents, query, slices, stored
 class Shape:
     """Sizes of the model.  ``chunk`` is the text bytes that share a dictionary."""
 
-    head: int = 1024
+    head: int = 512
     width: int = 32  # words a head class
-    bins: int = 24  # count classes
+    bins: int = 16  # count classes
     rows: int = 1 << 14  # hashed features of the class softmax
     word_rows: int = 1 << 13  # hashed features of the word softmaxes
     rounds: int = 4
     batch: int = 8192
     rate: float = 0.1
-    chunk: int = 16 << 20
+    chunk: int = 32 << 20
     blocks: int = 32
 
     @property
@@ -135,82 +136,89 @@ class Weights:
 
     def class_rows(self, h1, h2):
         r = self.shape.rows - 1
-        return np.stack([np.ones_like(h1), h1 * 2654435761 >> 7, h2 * 2246822519 + 97 >> 9, (h1 * 3266489917 ^ h2 * 668265263) + 31 >> 5], 1) % r + 1
+        return np.stack([h1 * 2654435761 >> 7, h2 * 2246822519 + 97 >> 9, (h1 * 3266489917 ^ h2 * 668265263) + 31 >> 5]) % r + 1
 
     def word_rows(self, cls, h1, h2):
         first = self.shape.head // self.shape.width  # rows below are the classes' own biases
         r = self.shape.word_rows - first
-        return np.stack([cls, (h1 * 2654435761 + cls * 40503 >> 7) % r + first, (h2 * 2246822519 + cls * 60493 >> 9) % r + first], 1)
+        return np.stack([cls, (h1 * 2654435761 + cls * 40503 >> 7) % r + first, (h2 * 2246822519 + cls * 60493 >> 9) % r + first])
 
 
-def _log_softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = table[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        z = z + table[rows[:, k]]
+def _log_softmax(table: np.ndarray, rows: np.ndarray, bias: bool) -> np.ndarray:
+    """Rows of ``rows`` are features; ``bias`` adds the table's first row to all."""
+    z = table[rows[0]]
+    for r in rows[1:]:
+        z += table[r]
+    if bias:
+        z += table[0]
     z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
 
 
-def _step(table: np.ndarray, square: np.ndarray, rows: np.ndarray, y: np.ndarray, rate: float) -> None:
-    """One adaptive gradient step on a batch; rows that features share get their summed gradient."""
-    g = np.exp(_log_softmax(table, rows))
+def _step(table: np.ndarray, square: np.ndarray, rows: np.ndarray, y: np.ndarray, rate: float, bias: bool) -> None:
+    """One adaptive gradient step on a batch; rows that tokens share get their summed gradient."""
+    g = np.exp(_log_softmax(table, rows, bias))
     g[np.arange(len(y)), y] -= 1
-    flat = rows.T.ravel()
+    flat = rows.ravel()
     order = np.argsort(flat, kind="stable")
     at = flat[order]
     start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     total = np.add.reduceat(g[order % len(y)], start, axis=0)
     at = at[start]
+    if bias:
+        at, total = np.r_[0, at], np.vstack([g.sum(axis=0), total])
     square[at] += total * total
     table[at] -= rate * total / np.sqrt(square[at] + 1e-6)
 
 
 class Chunk:
-    """One chunk's tokens with what the whole corpus knows about them."""
+    """One chunk's tokens, with what the whole corpus knows about its words."""
 
     def __init__(self, row: dict, shape: Shape):
-        codes = _unpack(row["codes"], np.int32)
-        count, head, hashed = _unpack(row["counts"], np.int64), _unpack(row["heads"], np.int32), _unpack(row["hashes"], np.int64)
+        self.codes = _unpack(row["codes"], np.int32)
+        self.word_count, head, self.hashed = _unpack(row["counts"], np.int64), _unpack(row["heads"], np.int32), _unpack(row["hashes"], np.int64)
         self.doc_ids, self.sizes = row["doc_ids"], _unpack(row["sizes"], np.int32)
         self.held = _unpack(row["held"], np.uint8).astype(bool)
-        tail = np.minimum(np.log2(np.maximum(count, 1)).astype(np.int64), shape.bins - 1)
-        cls = np.where(head >= 0, head // shape.width, shape.head // shape.width + tail)
-        self.count, self.cls = count[codes], cls[codes]
-        self.within = np.where(head >= 0, head % shape.width, -1)[codes]
-        h = hashed[codes]
-        first = np.cumsum(self.sizes) - self.sizes
-        self.h1, self.h2 = np.r_[0, h[:-1]], np.r_[0, 0, h[:-2]][:len(h)]
-        self.h1[first] = 1  # a text's start
-        self.h2[first] = 1
-        second = first[self.sizes > 1] + 1
-        self.h2[second] = 1
-        self.first = first
+        tail = np.minimum(np.log2(np.maximum(self.word_count, 1)).astype(np.int64), shape.bins - 1)
+        self.word_class = np.where(head >= 0, head // shape.width, shape.head // shape.width + tail)
+        self.word_within = np.where(head >= 0, head % shape.width, -1)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.nth = np.full(len(self.codes), 2, np.uint8)  # a text's first and second token have less history
+        self.nth[self.first[self.sizes > 1] + 1] = 1
+        self.nth[self.first] = 0
+
+    def tokens(self, k: np.ndarray):
+        """Class, place in it (-1: a count class), and hashes of the two words before, of tokens ``k``."""
+        w = self.codes[k]
+        h1 = np.where(self.nth[k] > 0, self.hashed[self.codes[k - 1]], 1)
+        h2 = np.where(self.nth[k] > 1, self.hashed[self.codes[k - 2]], 1)
+        return w, self.word_class[w], self.word_within[w], h1, h2
 
     def logs(self, weights: Weights, tail_mass: np.ndarray) -> np.ndarray:
         """Natural log probability of every token."""
-        shape, out = weights.shape, np.empty(len(self.cls))
+        shape, out = weights.shape, np.empty(len(self.codes))
+        tails = shape.head // shape.width
         for i in range(0, len(out), shape.batch):
-            s = slice(i, i + shape.batch)
-            cls, within, h1, h2 = self.cls[s], self.within[s], self.h1[s], self.h2[s]
-            lp = _log_softmax(weights.classes, weights.class_rows(h1, h2))[np.arange(len(cls)), cls].astype(np.float64)
-            in_head = within >= 0
-            k = np.flatnonzero(in_head)
+            w, cls, within, h1, h2 = self.tokens(np.arange(i, min(i + shape.batch, len(out))))
+            lp = _log_softmax(weights.classes, weights.class_rows(h1, h2), True)[np.arange(len(cls)), cls].astype(np.float64)
+            k = np.flatnonzero(within >= 0)
             if len(k):
-                lp[k] += _log_softmax(weights.words, weights.word_rows(cls[k], h1[k], h2[k]))[np.arange(len(k)), within[k]]
-            k = np.flatnonzero(~in_head)
-            lp[k] += np.log((self.count[s][k] + 0.5) / tail_mass[cls[k] - shape.head // shape.width])
-            out[s] = lp
+                lp[k] += _log_softmax(weights.words, weights.word_rows(cls[k], h1[k], h2[k]), False)[np.arange(len(k)), within[k]]
+            k = np.flatnonzero(within < 0)
+            lp[k] += np.log((self.word_count[w[k]] + 0.5) / tail_mass[cls[k] - tails])
+            out[i:i + shape.batch] = lp
         return out
 
     def train(self, weights: Weights, squares: Weights) -> int:
         shape = weights.shape
         mine = np.flatnonzero(np.repeat(~self.held, self.sizes))
         for i in range(0, len(mine), shape.batch):
-            k = mine[i:i + shape.batch]
-            _step(weights.classes, squares.classes, weights.class_rows(self.h1[k], self.h2[k]), self.cls[k], shape.rate)
-            k = k[self.within[k] >= 0]
+            _, cls, within, h1, h2 = self.tokens(mine[i:i + shape.batch])
+            _step(weights.classes, squares.classes, weights.class_rows(h1, h2), cls, shape.rate, True)
+            k = np.flatnonzero(within >= 0)
             if len(k):
-                _step(weights.words, squares.words, weights.word_rows(self.cls[k], self.h1[k], self.h2[k]), self.within[k], shape.rate)
+                _step(weights.words, squares.words, weights.word_rows(cls[k], h1[k], h2[k]), within[k], shape.rate, False)
         return len(mine)
 
 
@@ -224,15 +232,19 @@ def encoded(docs: DataFrame, shape: Shape) -> tuple[DataFrame, int, int, np.ndar
     """(chunks with their words' counts, N, V, mass of each count class)."""
     parts = stored(chunked(docs, shape), "lm-chunks")
     words = parts.where("word IS NOT NULL").select("chunk", "local", "word", "hash", "n")
-    counts = stored(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
-    seen = counts.where("c > 0")
+    # One shuffle by word gives each chunk's entry the word's count; the first entry stands for the word itself.
+    by_word = Window.partitionBy("word")
+    counted = words.withColumns({"c": F.sum("n").over(by_word), "first": F.min("chunk").over(by_word) == F.col("chunk")})
+    counted = stored(counted.select("chunk", "local", "hash", "c", F.when(F.col("first"), F.col("word")).alias("word")), "lm-counted")
+    seen = counted.where("word IS NOT NULL AND c > 0")
     total, distinct = seen.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     head = [r.word for r in seen.orderBy(F.desc("c"), "word").limit(shape.head).collect()]
     rank = docs.sparkSession.createDataFrame([(bytes(w), i) for i, w in enumerate(head)], "word binary, head int")
-    named = counts.join(F.broadcast(rank), "word", "left").select("word", "c", F.coalesce("head", F.lit(-1)).alias("head"))
+    heads = words.select("chunk", "local", "word").join(F.broadcast(rank), "word").select("chunk", "local", "head")
     tail = F.least(F.floor(F.log2(F.col("c").cast("double"))), F.lit(shape.bins - 1))
     mass = np.zeros(shape.bins)
-    for r in named.where("c > 0 AND head < 0").groupBy(tail.cast("int").alias("bin")).agg((F.sum("c") + 0.5 * F.count("*")).alias("m")).collect():
+    rest = seen.join(F.broadcast(rank), "word", "left_anti")
+    for r in rest.groupBy(tail.cast("int").alias("bin")).agg((F.sum("c") + 0.5 * F.count("*")).alias("m")).collect():
         mass[r.bin] = r.m
     mass[0] += 0.5
     schema = T.StructType([T.StructField("chunk", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("counts", "heads", "hashes"))])
@@ -241,11 +253,14 @@ def encoded(docs: DataFrame, shape: Shape) -> tuple[DataFrame, int, int, np.ndar
         chunk, held = None, []
 
         def done() -> dict:
-            c, h, x = (np.concatenate(z) for z in zip(*held))
-            return {"chunk": [chunk], "counts": [_pack(c.astype(np.int64))], "heads": [_pack(h.astype(np.int32))], "hashes": [_pack(x.astype(np.int64))]}
+            at, c, h, x = (np.concatenate(z) for z in zip(*held))
+            entry = c >= 0
+            heads = np.full(int(entry.sum()), -1, np.int32)
+            heads[at[~entry]] = h[~entry]
+            return {"chunk": [chunk], "counts": [_pack(c[entry].astype(np.int64))], "heads": [_pack(heads)], "hashes": [_pack(x[entry].astype(np.int64))]}
 
         for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3, 4)]
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             cut = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]]) if b.num_rows else []
             for s, e in zip(cut, [*cut[1:], b.num_rows]):
                 if held and cols[0][s] != chunk:
@@ -256,7 +271,9 @@ def encoded(docs: DataFrame, shape: Shape) -> tuple[DataFrame, int, int, np.ndar
         if held:
             yield done()
 
-    back = words.join(named, "word").select("chunk", "local", "c", "head", "hash")
+    # An entry comes with its count (rank -1), and once more with its rank if it is a head word (count -1).
+    back = counted.select("chunk", "local", "c", F.lit(-1).alias("head"), "hash")
+    back = back.unionByName(heads.select("chunk", "local", F.lit(-1).cast("long").alias("c"), "head", F.lit(0).cast("long").alias("hash")))
     known = arrow_map(back.repartition("chunk").sortWithinPartitions("chunk", "local"), assemble, schema)
     texts = parts.where("word IS NULL").select("chunk", "doc_ids", "sizes", "held", "codes")
     return stored(texts.join(known, "chunk"), "lm-encoded"), int(total), int(distinct), mass
@@ -307,9 +324,9 @@ def score(chunks: DataFrame, weights: Weights, total: int, distinct: int, mass:
         w = Weights(shape, sent.value)
         for row in _rows(batches):
             c = Chunk(row, shape)
-            base = np.log10((c.count + 0.5) / (total + 0.5 * (distinct + 1)))
+            base = np.log10((c.word_count + 0.5) / (total + 0.5 * (distinct + 1)))[c.codes]
             logs = c.logs(w, mass) / np.log(10)
-            yield {"doc_id": c.doc_ids, "held_out": c.held, "n_tokens": c.sizes.astype(np.int64), "n_known": np.add.reduceat((c.count > 0).astype(np.int64), c.first),
+            yield {"doc_id": c.doc_ids, "held_out": c.held, "n_tokens": c.sizes.astype(np.int64), "n_known": np.add.reduceat((c.word_count > 0)[c.codes].astype(np.int64), c.first),
                    "train_tokens": np.full(len(c.sizes), total), "base_score": np.add.reduceat(base, c.first), "score": np.add.reduceat(logs, c.first)}
 
     return arrow_map(chunks, run, schema)
