@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agrolens.llm import quality_rules, secret_scan, simhash
+from agrolens.llm import bpe, decontaminate, quality_rules, secret_scan, simhash
 from agrolens.llm.common import documents, stored
 
 
@@ -19,15 +19,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_first(docs)
 
 
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or a paraphrase of one, go."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the texts; every document stays."""
     return secret_scan.redact(docs)
 
 
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left, with the round trip's text digest."""
+    import public_tokenizers
+
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES = [
     ("quality_rules", quality),
     ("simhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", benchmarks),
     ("secret_scans", secrets),
+    ("bpe_encoding", tokens),
 ]
 
 #: The stages score, hash and encode in ways that SQL cannot express; tests hold them against plain versions.
