@@ -60,26 +60,7 @@ def safe_div(num: Column, den: Column) -> Column:
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate to every row of ``df``.
 
-    A broadcast hash join on a constant key: the small side is one row by
-    construction (a global aggregate), so the broadcast is size-bounded and
-    no row is multiplied.
+    A cross join with one broadcast row: the small side is a global aggregate,
+    so its size is bounded and no row is multiplied.
     """
-    key = "_scalar_key"
-    left = df.withColumn(key, F.lit(1))
-    right = one_row.withColumn(key, F.lit(1))
-    return left.join(F.broadcast(right), key).drop(key)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a narrow input over all cores when its scan gave too few splits.
-
-    Only fires when the input has fewer partitions than the cluster's
-    default parallelism (e.g. one small single-row-group file); on large
-    inputs with many splits it is a no-op, so no shuffle is added there.
-    Round-robin repartition is deterministic under recomputation
-    (sort-before-repartition is on by default).
-    """
-    if df.isStreaming:
-        return df
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    return df.crossJoin(F.broadcast(one_row))

@@ -2,18 +2,19 @@
 
 ``F.median``/``percentile`` keep every distinct value of a group in a single
 aggregation buffer, so one hot group (say a crop holding a third of all rows)
-ends up in one task's memory.  Here the rank of every value is found with a
-range-partitioned sort instead:
+ends up in one task's memory.  Here ranks are found by counting:
 
-1. ``repartitionByRange(keys, v)`` spreads each group's values over as many
-   partitions as its size needs; each partition is sorted.
-2. ``monotonically_increasing_id`` gives every row its position inside its
-   partition; a tiny per-(partition, group) block table (count, first
-   position) is prefix-summed per group to give each block's global offset.
-   That table has at most ``partitions + groups`` rows.
-3. Only the (at most two per percentile) ranks that are needed are joined
-   back; the result is the numpy/DuckDB "linear" interpolation
-   ``lo + (hi - lo) * frac``.
+1. ``(keys, value) -> count`` combines map-side, so a value that most rows
+   share is one row a task from there on.
+2. Each value falls into an ordered bucket, a fixed monotone function of the
+   value (256 to each power of two).  Bucket totals per group are prefix-summed;
+   a group has at most a few thousand of them however many rows it holds.
+3. The buckets that hold a needed rank (at most two per probability) are
+   opened, and their values' counts are prefix-summed.  The result is the
+   numpy/DuckDB "linear" interpolation ``lo + (hi - lo) * frac``.
+
+Every step is a function of the data alone, so the answer does not depend on
+whether an exchange is reused or a task runs again.
 
 ``approx=True`` swaps in ``percentile_approx`` (a mergeable sketch with
 map-side partial aggregation) when an approximate answer is acceptable.
@@ -21,13 +22,18 @@ map-side partial aggregation) when an approximate answer is acceptable.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def ordered_bucket(v: Column) -> Column:
+    """A long that never falls as ``v`` grows."""
+    size = F.floor(F.log2(F.abs(v)) * 256) + 300_000
+    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("bigint")
+
+
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
-                      num_partitions: int | None = None, approx: bool = False,
-                      prefix: str = "p") -> DataFrame:
+                      approx: bool = False, prefix: str = "p") -> DataFrame:
     """One row per group: ``keys`` + ``n`` + one column per probability.
 
     Column names are ``f"{prefix}{int(round(p*100))}"`` (e.g. p50, p95).
@@ -40,47 +46,29 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
         g = x.groupBy(*keys) if keys else x.groupBy()
         return g.agg(F.count("*").alias("n"), *aggs)
 
-    spark = df.sparkSession
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = (x.repartitionByRange(n_parts, *keys, "_v")
-         .sortWithinPartitions(*keys, "_v")
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_pos", F.monotonically_increasing_id()))
-
-    blocks = s.groupBy("_pid", *keys).agg(F.count("*").alias("_cnt"), F.min("_pos").alias("_start"))
-    by_group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    blocks = (blocks
-              .withColumn("_off", F.coalesce(F.sum("_cnt").over(
-                  by_group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .withColumn("_n", F.sum("_cnt").over(by_group)))
-
-    # Needed ranks per group and probability: floor/ceil of p*(n-1).
-    probs_arr = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
-                          for i, p in enumerate(probs)])
-    need = (blocks.select("_pid", *keys, "_cnt", "_start", "_off", "_n",
-                          F.explode(probs_arr).alias("q"))
-            .withColumn("_pos_f", F.col("q.p") * (F.col("_n") - 1))
-            .withColumn("_lo", F.floor("_pos_f").cast("bigint"))
-            .withColumn("_hi", F.ceil("_pos_f").cast("bigint"))
-            .select("_pid", *keys, "_start", "_off", "_n", F.col("q.i").alias("_qi"),
-                    (F.col("_pos_f") - F.col("_lo")).alias("_frac"),
-                    F.explode(F.array(F.struct(F.lit("lo").alias("side"), F.col("_lo").alias("r")),
-                                      F.struct(F.lit("hi").alias("side"), F.col("_hi").alias("r"))))
-                    .alias("t"))
-            .where((F.col("t.r") >= F.col("_off")) & (F.col("t.r") < F.col("_off") + F.col("_cnt")))
-            .select("_pid", *keys, "_n", "_qi", "_frac", F.col("t.side").alias("_side"),
-                    (F.col("_start") + F.col("t.r") - F.col("_off")).alias("_pos")))
-
-    picked = s.join(need, ["_pid", *keys, "_pos"])
-    g = picked.groupBy(*keys, "_qi") if keys else picked.groupBy("_qi")
-    vals = g.agg(F.first("_n").alias("n"), F.first("_frac").alias("_frac"),
-                 F.max(F.when(F.col("_side") == "lo", F.col("_v"))).alias("_a"),
-                 F.max(F.when(F.col("_side") == "hi", F.col("_v"))).alias("_b"))
-    vals = vals.withColumn("_val", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_frac"))
+    counts = x.groupBy(*keys, "_v").agg(F.count("*").alias("_c")).withColumn("_b", ordered_bucket(F.col("_v")))
+    totals = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_t"))
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    totals = totals.withColumns({
+        "_off": F.sum("_t").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t"),
+        "n": F.sum("_t").over(group)})
+    # Needed ranks per group and probability: floor and ceiling of p * (n - 1).
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    need = totals.select("*", F.explode(wanted).alias("q")).withColumn("_at", F.col("q.p") * (F.col("n") - 1))
+    need = need.select(*keys, "_b", "_off", "_t", "n", F.col("q.i").alias("_qi"),
+                       (F.col("_at") - F.floor("_at")).alias("_frac"),
+                       F.explode(F.array(F.floor("_at").cast("bigint"), F.ceil("_at").cast("bigint"))).alias("_r"))
+    need = need.where((F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_t"))).distinct()
+    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    opened = counts.join(need.select(*keys, "_b").distinct(), [*keys, "_b"]).withColumn("_upto", F.sum("_c").over(inside))
+    picked = opened.join(need, [*keys, "_b"]).where(
+        (F.col("_r") < F.col("_off") + F.col("_upto")) & (F.col("_r") >= F.col("_off") + F.col("_upto") - F.col("_c")))
+    vals = picked.groupBy(*keys, "_qi").agg(F.max("n").alias("n"), F.max("_frac").alias("_frac"),
+                                            F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    vals = vals.withColumn("_val", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac"))
     out = vals.groupBy(*keys) if keys else vals.groupBy()
-    return out.agg(F.first("n").alias("n"),
-                   *[F.max(F.when(F.col("_qi") == i, F.col("_val"))).alias(nm)
-                     for i, nm in enumerate(names)])
+    return out.agg(F.max("n").alias("n"),
+                   *[F.max(F.when(F.col("_qi") == i, F.col("_val"))).alias(nm) for i, nm in enumerate(names)])
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, alias: str = "median",

@@ -1,11 +1,7 @@
-"""Global row numbers without a single-partition window.
+"""Row numbers over tables that hold one row a group.
 
-``row_number() over (order by ...)`` with no partition moves every row to
-one task.  Here the rows are range-partitioned and sorted on the order
-key, each row's position inside its partition comes from
-``monotonically_increasing_id``, and a per-partition count table (one row
-per partition: bounded by the partition count, so safe to broadcast) is
-prefix-summed to give each partition's offset.
+The callers rank groups (locations, features), not rows, so the table is as
+small as the number of groups and one sorted window is the plain way.
 """
 
 from __future__ import annotations
@@ -14,17 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def global_row_number(df: DataFrame, order_cols: list, alias: str = "rn",
-                      num_partitions: int | None = None) -> DataFrame:
+def group_row_number(groups: DataFrame, order_cols: list, alias: str = "rn") -> DataFrame:
     """Adds ``alias`` = 1-based rank by ``order_cols`` (must be a total order)."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id()))
-    counts = s.groupBy("_pid").agg(F.count("*").alias("_cnt"), F.min("_mid").alias("_start"))
-    counts = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = s.join(F.broadcast(counts.select("_pid", "_start", "_off")), "_pid")
-    return out.withColumn(alias, F.col("_off") + F.col("_mid") - F.col("_start") + 1) \
-        .drop("_pid", "_mid", "_start", "_off")
+    return groups.withColumn(alias, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order_cols)))

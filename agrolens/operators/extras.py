@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agrolens.functions.columns import lit_d
+from agrolens.functions.joins import join_small
 from agrolens.functions.percentiles import exact_median
 
 
@@ -34,23 +35,23 @@ def outlier_filter(df: DataFrame, key: str, value: str, z: float = 3.0) -> DataF
     deviation).  NULL values are kept out."""
     v = df.where(F.col(value).isNotNull())
     med = exact_median(v, [key], value, alias="_med").select(key, "_med")
-    dev = v.join(med, key).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
+    dev = join_small(v, med, key).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
     mad = exact_median(dev, [key], "_dev", alias="_mad").select(key, "_mad")
-    j = dev.join(mad, key)
+    j = join_small(dev, mad, key)
     band = lit_d(z * 1.4826) * F.col("_mad")
     return j.where(F.abs(F.col(value) - F.col("_med")) <= band).drop("_med", "_dev", "_mad")
 
 
-def psi(reference: DataFrame, current: DataFrame, bin_col: str, eps: float = 1e-6) -> DataFrame:
-    """Population stability index and KL divergence between two bin
-    distributions (full outer join on the bin, epsilon for empty bins)."""
-    def dist(df, name):
-        c = df.groupBy(bin_col).agg(F.count("*").alias(f"_{name}_n"))
-        tot = df.agg(F.count("*").alias(f"_{name}_tot"))
-        from agrolens.functions.columns import with_scalars
-        return with_scalars(c, tot).select(bin_col, (F.col(f"_{name}_n") / F.col(f"_{name}_tot")).alias(name))
-    j = dist(reference, "p").join(dist(current, "q"), bin_col, "full_outer")
-    p = F.coalesce("p", lit_d(0.0)) + lit_d(eps)
-    q = F.coalesce("q", lit_d(0.0)) + lit_d(eps)
+def psi(df: DataFrame, is_reference, bin_col: str, eps: float = 1e-6) -> DataFrame:
+    """Population stability index and KL divergence between the bin
+    distributions of the reference rows and the others (epsilon for empty bins).
+
+    One scan: both counts come from one conditional aggregate by bin, and the
+    totals are sums over the bins."""
+    bins = df.groupBy(bin_col).agg(F.count_if(is_reference).alias("_p"), F.count_if(~is_reference).alias("_q"))
+    tot = bins.agg(F.sum("_p").alias("_pt"), F.sum("_q").alias("_qt"))
+    j = bins.crossJoin(F.broadcast(tot))  # one row
+    p = F.col("_p") / F.col("_pt") + lit_d(eps)
+    q = F.col("_q") / F.col("_qt") + lit_d(eps)
     return j.agg(F.round(F.sum((q - p) * F.log(q / p)), 6).alias("psi"),
                  F.round(F.sum(p * F.log(p / q)), 6).alias("kl"))

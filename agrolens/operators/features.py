@@ -62,8 +62,8 @@ def feature_transform(df: DataFrame) -> DataFrame:
 
 
 def model_matrix(df: DataFrame, keys: list[str]) -> DataFrame:
-    """P12 + P17: numeric features + indicators sorted by name (ASCII), NULL/NaN -> 0."""
+    """P12 + P17: numeric features + indicators sorted by name (ASCII); missing
+    values and features that the input has no column for are 0, so the width is fixed."""
     t = feature_transform(df)
-    feats = sorted([c for c in dims.NUMERIC_FEATURES if c in t.columns] + onehot_columns())
-    return t.select(*keys, *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")),
-                                        lit_d(0.0)).alias(c) for c in feats])
+    value = {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), lit_d(0.0)) for c in t.columns}
+    return t.select(*keys, *[value.get(c, lit_d(0.0)).alias(c) for c in sorted(dims.NUMERIC_FEATURES + onehot_columns())])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agrolens.functions.columns import lit_d, with_scalars
+from agrolens.functions.joins import join_small
 from agrolens.functions.percentiles import exact_median
 from agrolens.sources import dims
 
@@ -82,12 +83,10 @@ def yield_median_by_crop(production: DataFrame, approx: bool = False) -> DataFra
 def merge_median_yield(samples: DataFrame, medians: DataFrame) -> DataFrame:
     """Left-join per-crop medians and fill missing yields.
 
-    The median table has one row per distinct crop; it is not forced to
-    broadcast: AQE measures it at runtime and broadcasts it when small,
-    falling back to a shuffle join otherwise.
+    The median table has one row per distinct crop and is broadcast up to a
+    stated size; beyond it the join is salted, so a hot crop is spread.
     """
-    m = medians.select("target_crop", "yield_kg_ha_median")
-    out = samples.join(m, "target_crop", "left")
+    out = join_small(samples, medians.select("target_crop", "yield_kg_ha_median"), "target_crop", "left")
     if "yield_kg_ha" in samples.columns:
         out = out.withColumn("yield_kg_ha", F.coalesce(F.col("yield_kg_ha"), F.col("yield_kg_ha_median")))
     else:
@@ -101,26 +100,34 @@ def crop_counts(df: DataFrame) -> DataFrame:
 
 
 def run_manifest(df: DataFrame) -> DataFrame:
-    """S5 + A11: one-row manifest of the cleaned table (one pass)."""
-    return df.agg(
-        F.count("*").alias("num_samples"),
+    """S5 + A11: one-row manifest of the cleaned table.
+
+    Rows combine to one a (crop, location) first, so the distinct counts and
+    the crop list are taken over those few.
+    """
+    few = df.groupBy("target_crop", "location_id").agg(F.count("*").alias("n"), F.count("yield_kg_ha").alias("y"))
+    return few.agg(
+        F.sum("n").alias("num_samples"),
         F.lit(len(df.columns)).cast("bigint").alias("num_features"),
         F.countDistinct("target_crop").alias("num_crops"),
         F.countDistinct("location_id").alias("num_locations"),
         F.array_join(F.sort_array(F.collect_set("target_crop")), ",").alias("crops"),
-        F.round(F.avg(F.col("yield_kg_ha").isNotNull().cast("double")), 6).alias("yield_coverage"),
+        F.round(F.sum("y") / F.sum("n"), 6).alias("yield_coverage"),
     )
 
 
 def table_fingerprint(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Order-insensitive content checksum.
 
-    Per row: sha2 of the row's text form; the first 15 hex digits (60 bits)
+    Per row: sha2 of the row's text form (numbers as decimals of six places,
+    missing values as ``~``, joined by ``|``); the first 15 hex digits (60 bits)
     are summed modulo 2^60 over all rows, so the result is independent of
     partitioning and order, and merges map-side.
     """
     cols = cols or df.columns
-    row_text = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols])
+    types = dict(df.dtypes)
+    text = {c: F.col(c).cast("decimal(30,6)").cast("string") if types[c] in ("double", "float") else F.col(c).cast("string") for c in cols}
+    row_text = F.concat_ws("|", *[F.coalesce(text[c], F.lit("~")) for c in cols])
     h = F.conv(F.substring(F.sha2(row_text, 256), 1, 15), 16, 10).cast("decimal(20,0)")
     return df.agg(F.count("*").alias("num_rows"),
                   F.pmod(F.sum(h), F.lit(2 ** 60).cast("decimal(20,0)")).cast("bigint").alias("fingerprint"))
@@ -130,14 +137,14 @@ def zscore_features(df: DataFrame, cols: list[str] | None = None, approx: bool =
     """Fill NULLs with the column median, then z-score (sample std, +1e-8).
 
     Mean/std come from one aggregation; medians from the distributed exact
-    percentile (the whole column is one group here).  One-row stats frames
-    are attached with a broadcast equi-join on a constant key.
+    percentile (a whole column is one group here).  One-row stats frames
+    are attached by a cross join with one broadcast row.
     """
     cols = cols or ["avg_temp_c", "humidity_pct", "avg_precip_mm", "pH"]
-    meds = None
-    for c in cols:
-        m = exact_median(df, [], c, alias=f"_med_{c}", approx=approx).select(f"_med_{c}")
-        meds = m if meds is None else with_scalars(meds, m)
+    # One percentile run keyed by the column's name serves all columns.
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])).alias("s")).select("s.*")
+    each = exact_median(long, ["column"], "v", alias="m", approx=approx)
+    meds = each.groupBy().agg(*[F.max(F.when(F.col("column") == c, F.col("m"))).alias(f"_med_{c}") for c in cols])
     filled = with_scalars(df, meds).withColumns(
         {c: F.coalesce(F.col(c), F.col(f"_med_{c}")) for c in cols})
     stats = filled.agg(*[F.avg(c).alias(f"_mu_{c}") for c in cols],

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agrolens.functions.columns import spread
+from agrolens.functions.columns import lit_d
 from agrolens.session import ship_package
 from agrolens.sources import dims
 
@@ -64,7 +64,7 @@ def _prep(df: DataFrame, keys: list[str]) -> DataFrame:
         else:
             cols.append(F.lit(float(default)).alias(f"_rf{j}"))
     ship_package(df.sparkSession)
-    return spread(df.select(*cols))
+    return df.select(*cols)
 
 
 def _key_schema(df: DataFrame, keys: list[str]) -> str:
@@ -73,41 +73,22 @@ def _key_schema(df: DataFrame, keys: list[str]) -> str:
 
 def rule_scores_long(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row per (sample, rule): rule_idx, crop, score."""
-    x = _prep(df, keys)
-
-    def run(it):
-        for pdf in it:
-            s = score_matrix(_features(pdf))
-            n = len(pdf)
-            out = pdf[keys].loc[np.repeat(np.arange(n), 22)].reset_index(drop=True)
-            out["rule_idx"] = np.tile(np.arange(22, dtype=np.int32), n)
-            out["crop"] = np.tile(_CROPS, n)
-            out["score"] = s.reshape(-1)
-            yield out
-
-    return x.mapInPandas(run, f"{_key_schema(x, keys)}, rule_idx int, crop string, score double")
+    t = rule_topk_long(df, keys, len(dims.CROP_RULES))
+    return t.select(*keys, "rule_idx", "crop", "score")
 
 
-_TOPK_SCHEMA = T.StructType(
-    [T.StructField(f"i{j}", T.IntegerType()) for j in (1, 2, 3)]
-    + [T.StructField(f"s{j}", T.DoubleType()) for j in (1, 2, 3)]
-    + [T.StructField("denom", T.DoubleType())])
+_RANKED = T.StructType([T.StructField("idx", T.ArrayType(T.IntegerType())), T.StructField("score", T.ArrayType(T.DoubleType()))])
 
 
-@F.pandas_udf(_TOPK_SCHEMA)
-def _top3_udf(f0: pd.Series, f1: pd.Series, f2: pd.Series, f3: pd.Series, f4: pd.Series,
-              f5: pd.Series, f6: pd.Series) -> pd.DataFrame:
-    """Scalar (Arrow-batched) kernel: only the 7 features go in, only rule
-    indices and scores come out; keys never leave the JVM."""
+@F.pandas_udf(_RANKED)
+def _ranked_udf(f0: pd.Series, f1: pd.Series, f2: pd.Series, f3: pd.Series, f4: pd.Series,
+                f5: pd.Series, f6: pd.Series) -> pd.DataFrame:
+    """Scalar (Arrow-batched) kernel: only the 7 features go in, only the rules'
+    indices and scores come out, best first; keys never leave the JVM."""
     x = np.column_stack([c.to_numpy(dtype=float, na_value=np.nan) for c in (f0, f1, f2, f3, f4, f5, f6)])
     s = score_matrix(x)
-    order = np.argsort(-s, axis=1, kind="stable")[:, :3]
-    top = np.take_along_axis(s, order, axis=1)
-    total = top[:, 0] + top[:, 1]
-    total = total + top[:, 2]
-    return pd.DataFrame({"i1": order[:, 0].astype(np.int32), "i2": order[:, 1].astype(np.int32),
-                         "i3": order[:, 2].astype(np.int32), "s1": top[:, 0], "s2": top[:, 1], "s3": top[:, 2],
-                         "denom": np.where(total == 0, 1.0, total)})
+    order = np.argsort(-s, axis=1, kind="stable")
+    return pd.DataFrame({"idx": list(order.astype(np.int32)), "score": list(np.take_along_axis(s, order, axis=1))})
 
 
 def _crop_at(i):
@@ -121,26 +102,24 @@ def _yield_at(i):
 def rule_topk_long(df: DataFrame, keys: list[str], k: int = 3, extra: list[str] | None = None) -> DataFrame:
     """W2 + J14: one row per (sample, rank): crop, score, denominator, yield.
 
-    ``probability = score / denom`` where denom = sum of the top-3 scores
+    ``probability = score / denom`` where denom = sum of the top-k scores
     (1 when that sum is 0); rounding is left to Spark.  The kernel is a
-    scalar pandas UDF over the 7 numeric inputs; the long form is produced
-    JVM-side with ``inline``.
+    scalar pandas UDF over the 7 numeric inputs; the first ``k`` and the long
+    form are taken JVM-side.
     """
-    if k != 3:
-        raise ValueError("the vectorised kernel returns the top 3")
     extra = extra or []
     x = _prep(df, keys + extra)
-    t = x.withColumn("_t", _top3_udf(*[F.col(f"_rf{j}") for j in range(7)]))
-    items = [F.struct(F.lit(j + 1).alias("rank"), F.col(f"_t.i{j + 1}").alias("rule_idx"),
-                      _crop_at(F.col(f"_t.i{j + 1}")).alias("crop"), F.col(f"_t.s{j + 1}").alias("score"),
-                      F.col("_t.denom").alias("denom"), _yield_at(F.col(f"_t.i{j + 1}")).alias("expected_yield_kg_ha"))
-             for j in range(3)]
-    return t.select(*keys, *extra, F.inline(F.array(*items)))
+    t = x.withColumn("_t", _ranked_udf(*[F.col(f"_rf{j}") for j in range(7)]))
+    total = F.aggregate(F.slice("_t.score", 1, k), lit_d(0.0), lambda a, v: a + v)
+    t = t.withColumn("denom", F.when(total == 0, lit_d(1.0)).otherwise(total))
+    t = t.select(*keys, *extra, "denom", F.col("_t.score").alias("_s"), F.posexplode(F.slice("_t.idx", 1, k)).alias("_p", "rule_idx"))
+    return t.select(*keys, *extra, (F.col("_p") + 1).alias("rank"), "rule_idx", _crop_at(F.col("rule_idx")).alias("crop"),
+                    F.get("_s", F.col("_p")).alias("score"), "denom", _yield_at(F.col("rule_idx")).alias("expected_yield_kg_ha"))
 
 
-def rule_top3(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Long form of the top-3 with rounded probability and rule score."""
-    t = rule_topk_long(samples, keys, 3)
+def rule_top(samples: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
+    """Long form of the top-k with rounded probability and rule score."""
+    t = rule_topk_long(samples, keys, k)
     return t.select(*keys, "rank", "crop", F.round(F.col("score") / F.col("denom"), 4).alias("probability"),
                     "expected_yield_kg_ha", F.round("score", 4).alias("rule_score"))
 

@@ -1,9 +1,10 @@
-"""Data-validation suite (A2-A10) fused into one scan plus one small group-by.
+"""Data-validation suite (A2-A10).
 
-Every column statistic the checks need (null counts, range violations,
-min/max, distinct counts, duplicate counts) is computed by a single
-``agg`` over the table; class balance needs one ``groupBy(target_crop)``
-with map-side partial aggregation, so a hot class costs nothing extra.
+Three plain aggregates, each with one column-pruned scan and no expansion of
+rows: null counts, range violations and extremes in one global ``agg``;
+duplicates from ``groupBy(sample_id)``; locations and classes from one
+``groupBy(location_id, target_crop)``, which combines map-side, so a hot class
+costs nothing extra.
 Results are a long table: one row per check with its numbers.
 """
 
@@ -31,11 +32,6 @@ def column_stats(df: DataFrame) -> DataFrame:
                      F.count_if(v > lit_d(hi)).alias(f"above__{feat}"),
                      F.min(v).cast("double").alias(f"min__{feat}"),
                      F.max(v).cast("double").alias(f"max__{feat}")]
-    if "sample_id" in df.columns:
-        aggs.append(F.countDistinct("sample_id").alias("distinct__sample_id"))
-        aggs.append(F.count_if(F.col("sample_id").isNull()).alias("null__sample_id"))
-    if "location_id" in df.columns:
-        aggs.append(F.countDistinct("location_id").alias("distinct__location_id"))
     return df.agg(*aggs)
 
 
@@ -95,32 +91,48 @@ def validation_checks(df: DataFrame, max_null_pct: float = 0.5, min_samples: int
     viol = sum(((F.col(f"below__{f}") + F.col(f"above__{f}")) > 0).cast("int") for f in ranged)
     checks.append(F.struct(F.lit("feature_ranges_valid").alias("name"), F.lit("critical").alias("severity"),
                            (viol == 0).alias("passed"), viol.cast("double").alias("metric")))
+    parts = [st.select(F.explode(F.array(*checks)).alias("c")).select("c.*")]
     if "sample_id" in cols:
-        dup = F.col("n_rows") - F.col("distinct__sample_id") - F.least(F.col("null__sample_id"), F.lit(1))
-        checks.append(F.struct(F.lit("no_duplicate_sample_ids").alias("name"), F.lit("warning").alias("severity"),
-                               (dup == 0).alias("passed"), dup.cast("double").alias("metric")))
+        # NULL ids form one group, so they count as repeats of each other.
+        ids = df.groupBy("sample_id").agg(F.count("*").alias("n"))
+        dup = F.coalesce(F.sum("n"), F.lit(0)) - F.count("*")
+        parts.append(ids.agg(dup.alias("dup")).select(
+            F.lit("no_duplicate_sample_ids").alias("name"), F.lit("warning").alias("severity"),
+            (F.col("dup") == 0).alias("passed"), F.col("dup").cast("double").alias("metric")))
+    # One combinable pass gives the counts by location and crop; the rest reads that small result.
+    some = [c for c in ("location_id", "target_crop") if c in cols]
+    few = df.groupBy(*some).agg(F.count("*").alias("n")) if some else None
     if "location_id" in cols:
-        null_pct = F.lit(1.0) - F.col("nn__location_id") / F.col("n_rows")
-        checks.append(F.struct(F.lit("location_ids_present").alias("name"), F.lit("critical").alias("severity"),
-                               ((null_pct == 0) & (F.col("distinct__location_id") >= 2)).alias("passed"),
-                               F.col("distinct__location_id").cast("double").alias("metric")))
-    base = st.select(F.explode(F.array(*checks)).alias("c")).select("c.*")
-    if "target_crop" not in cols:
-        return base
-    # One partial-aggregated pass gives the per-crop counts; class balance and
-    # the unknown-label check both read that tiny result.
-    counts = df.where(F.col("target_crop").isNotNull()).groupBy("target_crop").count()
-    known = df.sparkSession.createDataFrame([(c,) for c in dims.CROP_LABELS], "target_crop string")
-    flagged = counts.join(F.broadcast(known.withColumn("_known", F.lit(True))), "target_crop", "left")
-    tail = flagged.agg(
-        F.count_if(F.col("_known").isNull()).cast("double").alias("n_unknown"),
-        F.count_if(F.col("count") < min_samples).cast("double").alias("n_under"))
-    more = tail.select(F.explode(F.array(
-        F.struct(F.lit("target_cardinality").alias("name"), F.lit("warning").alias("severity"),
-                 (F.col("n_unknown") == 0).alias("passed"), F.col("n_unknown").alias("metric")),
-        F.struct(F.lit("class_balance_minimum").alias("name"), F.lit("warning").alias("severity"),
-                 (F.col("n_under") == 0).alias("passed"), F.col("n_under").alias("metric")))).alias("c")).select("c.*")
-    return base.unionByName(more)
+        places = few.groupBy("location_id").agg(F.sum("n").alias("n"))
+        found = places.agg(F.count("location_id").alias("d"), F.count_if(F.col("location_id").isNull()).alias("u"))
+        parts.append(found.select(
+            F.lit("location_ids_present").alias("name"), F.lit("critical").alias("severity"),
+            ((F.col("u") == 0) & (F.col("d") >= 2)).alias("passed"), F.col("d").cast("double").alias("metric")))
+    else:
+        parts.append(_absent(df, "location_ids_present"))
+    if "target_crop" in cols:
+        counts = few.where(F.col("target_crop").isNotNull()).groupBy("target_crop").agg(F.sum("n").alias("count"))
+        known = df.sparkSession.createDataFrame([(c,) for c in dims.CROP_LABELS], "target_crop string")
+        flagged = counts.join(F.broadcast(known.withColumn("_known", F.lit(True))), "target_crop", "left")
+        tail = flagged.agg(
+            F.count_if(F.col("_known").isNull()).cast("double").alias("n_unknown"),
+            F.count_if(F.col("count") < min_samples).cast("double").alias("n_under"))
+        parts.append(tail.select(F.explode(F.array(
+            F.struct(F.lit("target_cardinality").alias("name"), F.lit("warning").alias("severity"),
+                     (F.col("n_unknown") == 0).alias("passed"), F.col("n_unknown").alias("metric")),
+            F.struct(F.lit("class_balance_minimum").alias("name"), F.lit("warning").alias("severity"),
+                     (F.col("n_under") == 0).alias("passed"), F.col("n_under").alias("metric")))).alias("c")).select("c.*"))
+    else:
+        parts.append(_absent(df, "target_cardinality"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _absent(df: DataFrame, name: str) -> DataFrame:
+    """A check whose column the table does not have: a critical failure."""
+    return df.sparkSession.createDataFrame([(name, "critical", False, 0.0)], "name string, severity string, passed boolean, metric double")
 
 
 def validation_report(checks: DataFrame) -> DataFrame:

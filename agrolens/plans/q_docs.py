@@ -25,8 +25,15 @@ def q_grid_location_id(spark, sf_dir):
 
 
 @register("pseudonymize", sql="""
-SELECT c_nationkey, c_mktsegment, COUNT(*) AS n FROM customer GROUP BY 1, 2 HAVING COUNT(*) >= 5""")
+SELECT sha256('agrolens-salt|' || CAST(c_custkey AS VARCHAR)) AS participant_id, c_nationkey, c_mktsegment FROM customer""")
 def q_pseudonymize(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return extras.pseudonymize(c, "c_custkey", "agrolens-salt", ["c_name"]).select("participant_id", "c_nationkey", "c_mktsegment")
+
+
+@register("k_anonymous_counts", sql="""
+SELECT c_nationkey, c_mktsegment, COUNT(*) AS n FROM customer GROUP BY 1, 2 HAVING COUNT(*) >= 5""")
+def q_k_anonymous_counts(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     p = extras.pseudonymize(c, "c_custkey", "agrolens-salt", ["c_name"])
     return extras.k_anonymous_counts(p, ["c_nationkey", "c_mktsegment"], 5)
@@ -94,6 +101,4 @@ SELECT {rsql('SUM((q - p) * LN(q / p))', 6)} AS psi, {rsql('SUM(p * LN(p / q))',
 def q_drift_psi(spark, sf_dir):
     """Rainfall-bin drift between samples before 1998 and from 1998 on."""
     b = features.add_bins(samples(spark, sf_dir)).select("date", "rainfall_bin")
-    ref = b.where(F.col("date") < F.lit("1998-01-01").cast("date"))
-    cur = b.where(F.col("date") >= F.lit("1998-01-01").cast("date"))
-    return extras.psi(ref, cur, "rainfall_bin")
+    return extras.psi(b, F.col("date") < F.lit("1998-01-01").cast("date"), "rainfall_bin")

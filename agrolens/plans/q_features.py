@@ -70,3 +70,15 @@ def q_model_matrix(spark, sf_dir):
     m = features.model_matrix(samples(spark, sf_dir), ["row_uid"])
     return m.select("row_uid", *[F.round(c, 6).alias(c) if c in dims.NUMERIC_FEATURES else F.col(c)
                                  for c in _MATRIX_COLS])
+
+
+_ABSENT = ("avg_precip_mm", "N_kg_ha")
+_WITHOUT = {c for c in _MATRIX_COLS if c in ("avg_precip_mm", "N_kg_ha", "N_P_ratio", "N_K_ratio") or c.startswith("rainfall_bin_")}
+
+
+@register("model_matrix_absent", sql=_FX + "SELECT row_uid, " + ",\n       ".join(
+    f"{d(0.0)} AS {c}" if c in _WITHOUT else _matrix_col(c) for c in _MATRIX_COLS) + "\nFROM samples")
+def q_model_matrix_absent(spark, sf_dir):
+    """Rows that lack the rain and nitrogen columns altogether."""
+    m = features.model_matrix(samples(spark, sf_dir).drop(*_ABSENT), ["row_uid"])
+    return m.select("row_uid", *[F.round(c, 6).alias(c) if c in dims.NUMERIC_FEATURES else F.col(c) for c in _MATRIX_COLS])

@@ -105,7 +105,13 @@ def q_run_manifest(spark, sf_dir):
     return ingest.run_manifest(ingest.align_canonical(merged))
 
 
-@register("table_fingerprint", note="sha2 over Spark's text form of each row; rows-only check")
+_TEXTS = ", ".join(f"COALESCE(CAST({n if t != 'double' else f'CAST({n} AS DECIMAL(30,6))'} AS VARCHAR), '~')" for n, t in dims.CANONICAL_COLUMNS)
+
+
+@register("table_fingerprint", sql=with_fx("soil_samples", extra=[SAMPLES_SQL, f"aligned AS (SELECT {_ALIGN_COLS} FROM samples)"]) + f"""
+SELECT COUNT(*) AS num_rows,
+       CAST(SUM(CAST(CAST('0x' || substr(sha256(concat_ws('|', {_TEXTS})), 1, 15) AS BIGINT) AS HUGEINT)) % {2 ** 60} AS BIGINT) AS fingerprint
+FROM aligned""")
 def q_table_fingerprint(spark, sf_dir):
     return ingest.table_fingerprint(ingest.align_canonical(samples(spark, sf_dir)))
 

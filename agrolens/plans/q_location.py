@@ -127,13 +127,16 @@ def _wrap(k):
 
 EXPORT_SQL = RESOLVE_SQL + PORT_SQL + [
     dim_cte("state_crop"), dim_cte("export_stats"), dim_cte("state_suitability"), dim_cte("default_suitability"),
-    "rec AS (SELECT CAST(NULL AS BIGINT) AS location_id, CAST(NULL AS VARCHAR) AS crop, TRUE AS hit WHERE FALSE)",
+    "rec AS (SELECT CAST(NULL AS BIGINT) AS location_id, CAST(NULL AS VARCHAR) AS crop, 0 AS rk, TRUE AS hit WHERE FALSE)",
     f"""cand AS (
   SELECT location_id, crop, MIN(pos) AS pos FROM (
     SELECT v.location_id, t.crop, t.pos FROM resolved v CROSS JOIN {_TARGETS} WHERE v.error IS NULL
     UNION ALL
     SELECT v.location_id, c.crop, {_NT} + c.rank - 1 FROM resolved v JOIN state_crop c ON lower(c.state) = lower(v.state)
-    WHERE v.error IS NULL AND c.rank <= 5) GROUP BY location_id, crop
+    WHERE v.error IS NULL AND c.rank <= 5
+    UNION ALL
+    SELECT v.location_id, r.crop, 1000 + r.rk FROM resolved v JOIN rec r ON r.location_id = v.location_id WHERE v.error IS NULL
+  ) GROUP BY location_id, crop
 )""", f"""scored AS (
   SELECT c.location_id, c.crop, s.*, v.state, n.name AS nearest_port, n.distance_km, n.transit_hours,
          n.type AS port_type, n.cold_storage AS port_cold,
@@ -212,10 +215,10 @@ def q_export_best(spark, sf_dir):
     return export.export_best(_export_scores(spark, sf_dir))
 
 
-@register("candidate_crops", sql=_EXP_FX + "SELECT location_id, crop, pos FROM cand")
+@register("candidate_crops", sql=_EXP_FX + "SELECT location_id, crop, row_number() OVER (PARTITION BY location_id ORDER BY pos) - 1 AS pos FROM cand")
 def q_candidate_crops(spark, sf_dir):
     r = _resolved(spark, sf_dir).where(F.col("error").isNull())
-    return export.candidate_crops(spark, r).select("location_id", "crop", F.col("pos").cast("int").alias("pos"))
+    return export.candidate_crops(spark, r).select("location_id", "crop", F.col("pos").cast("bigint").alias("pos"))
 
 
 # ---- weather ----------------------------------------------------------------
@@ -363,7 +366,7 @@ def q_recommend_by_location(spark, sf_dir):
 def _boosted_sql():
     rule_ctes = [c.replace("scored AS (", "rscored AS (", 1).replace("FROM scored", "FROM rscored")
                  for c in _loc_samples_sql()]
-    rec = "rec AS (SELECT DISTINCT CAST(row_uid AS BIGINT) AS location_id, crop, TRUE AS hit FROM top3)"
+    rec = "rec AS (SELECT CAST(row_uid AS BIGINT) AS location_id, crop, MIN(rk) AS rk, TRUE AS hit FROM top3 GROUP BY ALL)"
     base = [c for c in EXPORT_SQL if not c.startswith("rec AS (")]
     i = next(k for k, c in enumerate(base) if c.startswith("cand AS ("))
     extra = ([c for c in base[:i] if c not in RESOLVE_SQL] + [_SOIL_SQL] + WEATHER_SQL + [_WX_SQL, _PROFILE_SQL]
@@ -374,8 +377,8 @@ def _boosted_sql():
 
 @register("export_scores_boosted", sql=_boosted_sql())
 def q_export_scores_boosted(spark, sf_dir):
-    """E7 + E8 + J10: export scores with +15 (capped at 100) for crops the
-    recommender puts in a location's top 3."""
-    rec = q_recommend_by_location(spark, sf_dir).select("location_id", "crop")
+    """E7 + E8 + J10: the recommender's top 3 join a location's candidates, and
+    score +15 (capped at 100)."""
+    rec = q_recommend_by_location(spark, sf_dir).select("location_id", "rank", "crop")
     r = _resolved(spark, sf_dir).where(F.col("error").isNull())
     return export.export_scores(spark, r, AS_OF, recommended=rec)

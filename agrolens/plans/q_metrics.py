@@ -52,8 +52,7 @@ def q_per_class_prf(spark, sf_dir):
     return metrics.per_class_prf(fixtures.scored_requests(spark, sf_dir))
 
 
-@register("macro_weighted", sql=with_fx("scored_requests", extra=[PRF_SQL, f"""prr AS (
-  SELECT {rsql('precision', 6)} AS precision, {rsql('recall', 6)} AS recall, {rsql('f1', 6)} AS f1, support FROM prf)"""]) + f"""
+@register("macro_weighted", sql=with_fx("scored_requests", extra=[PRF_SQL, "prr AS (SELECT precision, recall, f1, support FROM prf)"]) + f"""
 SELECT {rsql('AVG(precision)', 6)} AS macro_precision, {rsql('AVG(recall)', 6)} AS macro_recall,
        {rsql('AVG(f1)', 6)} AS macro_f1,
        {rsql('SUM(precision * support) / SUM(support)', 6)} AS weighted_precision,
@@ -61,7 +60,7 @@ SELECT {rsql('AVG(precision)', 6)} AS macro_precision, {rsql('AVG(recall)', 6)}
        {rsql('SUM(f1 * support) / SUM(support)', 6)} AS weighted_f1
 FROM prr""")
 def q_macro_weighted(spark, sf_dir):
-    return metrics.macro_weighted(metrics.per_class_prf(fixtures.scored_requests(spark, sf_dir)))
+    return metrics.macro_weighted(metrics.per_class_prf(fixtures.scored_requests(spark, sf_dir), digits=None))
 
 
 @register("topk_accuracy", sql=with_fx("class_scores") + f"""
@@ -138,7 +137,7 @@ def q_predict_yield_fallback(spark, sf_dir):
 def _eval_long(spark, sf_dir):
     req = fixtures.scored_requests(spark, sf_dir)
     prf = metrics.per_class_prf(req)
-    mw = metrics.macro_weighted(prf)
+    mw = metrics.macro_weighted(metrics.per_class_prf(req, digits=None))
     top = metrics.topk_accuracy(table(spark, sf_dir, "embeddings"))
     names = ["macro_precision", "macro_recall", "macro_f1", "weighted_precision", "weighted_recall", "weighted_f1"]
     overall = mw.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value"))
@@ -171,7 +170,7 @@ _MW = f"""mw AS (
          {rsql('SUM(precision * support) / SUM(support)', 6)} AS weighted_precision,
          {rsql('SUM(recall * support) / SUM(support)', 6)} AS weighted_recall,
          {rsql('SUM(f1 * support) / SUM(support)', 6)} AS weighted_f1
-  FROM prr)"""
+  FROM prf)"""
 _EVAL_FX = with_fx("scored_requests", "class_scores", extra=[PRF_SQL, _PRR, _MW, _TOPK_SQL])
 _UNPIVOT_MW = " UNION ALL ".join(f"SELECT 'overall' AS scope, '{n}' AS metric, {n} AS value FROM mw" for n in
                                  ["macro_precision", "macro_recall", "macro_f1", "weighted_precision",

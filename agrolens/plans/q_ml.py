@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agrolens.ml import models
+from agrolens.operators import metrics, rules
 from agrolens.plans.common import SAMPLES_SQL, samples
 from agrolens.plans.oracle_fixtures import with_fx
+from agrolens.plans.q_ingest import PRODUCTION_SQL, _production
 from agrolens.plans.registry import register
+from agrolens.sources import dims
 
 KEYS = ["row_uid"]
 _FX = with_fx("soil_samples", extra=[SAMPLES_SQL])
@@ -31,22 +34,61 @@ def q_group_folds(spark, sf_dir):
     return models.group_folds(samples(spark, sf_dir))
 
 
+@register("label_quarantine", sql=_FX + """
+SELECT row_uid, target_crop, CASE WHEN target_crop IS NULL THEN 'missing label' ELSE 'unknown label' END AS reason
+FROM samples WHERE target_crop IS NULL OR target_crop NOT IN (""" + ", ".join(f"'{c}'" for c in dims.CROP_LABELS) + ")")
+def q_label_quarantine(spark, sf_dir):
+    return models.label_quarantine(samples(spark, sf_dir)).select("row_uid", "target_crop", "reason")
+
+
+@register("yield_fit_gate", sql=with_fx("crop_production", extra=[PRODUCTION_SQL]) + """
+SELECT COUNT(yield_kg_ha) AS n_valid, COUNT(yield_kg_ha) > 10 AS fits FROM production""")
+def q_yield_fit_gate(spark, sf_dir):
+    return models.yield_fit_gate(_production(spark, sf_dir))
+
+
+_FITTED: dict = {}
+
+
+def _once(spark, what: str, sf_dir: str, make):
+    """One fit a session and table; the queries that read it share it."""
+    key = (spark.sparkContext.applicationId, what, sf_dir)
+    if key not in _FITTED:
+        _FITTED[key] = make()
+    return _FITTED[key]
+
+
+def _classifier(spark, sf_dir):
+    """(model, data, feature names)"""
+    def make():
+        data, cols = models.classifier_data(samples(spark, sf_dir), KEYS)
+        return models.train_classifier(data), data, cols
+    return _once(spark, "classifier", sf_dir, make)
+
+
+def _held_out(spark, sf_dir):
+    model, data, _ = _classifier(spark, sf_dir)
+    return model.transform(data.where(F.col("is_test")))
+
+
 @register("classifier_top3", note="model output: rows-only check")
 def q_classifier_top3(spark, sf_dir):
-    model, data, _ = models.train_classifier(samples(spark, sf_dir), KEYS)
-    scored = model.transform(data.where(F.col("is_test")))
-    return models.topk_from_probabilities(scored, KEYS, 3)
+    return models.topk_from_probabilities(_held_out(spark, sf_dir), KEYS, 3)
 
 
 @register("classifier_eval", note="model metrics: rows-only check")
 def q_classifier_eval(spark, sf_dir):
-    top = q_classifier_top3(spark, sf_dir)
-    per = top.groupBy(*KEYS, "label").agg(
-        F.max(F.when((F.col("rank") == 1) & (F.col("class_idx") == F.col("label")), 1).otherwise(0)).alias("h1"),
-        F.max(F.when(F.col("class_idx") == F.col("label"), 1).otherwise(0)).alias("h3"))
-    return per.agg(F.round(F.avg("h1"), 4).alias("top1_accuracy"), F.round(F.avg("h3"), 4).alias("top3_accuracy"),
-                   F.count("*").alias("n_test"),
-                   (F.avg("h3") >= 0.75).alias("meets_target"))
+    a = models.accuracy(_held_out(spark, sf_dir))
+    return a.select(F.round("top1_accuracy", 4).alias("top1_accuracy"), F.round("topk_accuracy", 4).alias("top3_accuracy"),
+                    "n_test", (F.col("topk_accuracy") >= 0.75).alias("meets_target"))
+
+
+@register("classifier_search", note="mean fold accuracy of fitted models: rows-only")
+def q_classifier_search(spark, sf_dir):
+    """M6: two strengths of regularisation over the group folds, by mean top-3 accuracy."""
+    grid = [("logit", {"maxIter": 20, "regParam": r}) for r in (0.0, 0.01)]
+    rows = models.tune_classifier(samples(spark, sf_dir), KEYS, grid)
+    return spark.createDataFrame([(i + 1, *r[1:]) for i, r in enumerate(rows)], "rank int, backend string, params string, folds int, top3_accuracy double")
 
 
 @register("zones_kmeans", note="KMeans labels are not bit-reproducible across engines: rows-only")
@@ -56,56 +98,41 @@ def q_zones_kmeans(spark, sf_dir):
 
 @register("train_yield", note="boosted-tree predictions: rows-only")
 def q_train_yield(spark, sf_dir):
-    from agrolens.operators import ingest
-    from agrolens.sources import fixtures
-    p = ingest.production_canonical(fixtures.crop_production(spark, sf_dir))
-    return models.train_yield(p)
+    return _once(spark, "yield", sf_dir, lambda: models.train_yield(_production(spark, sf_dir)))
 
 
-@register("yield_model_mae", note="MAE of the boosted-tree predictions: rows-only")
+@register("yield_model_mae", note="MAE of the boosted-tree predictions on held-out districts: rows-only")
 def q_yield_model_mae(spark, sf_dir):
-    from agrolens.operators import metrics
-    return metrics.yield_mae(q_train_yield(spark, sf_dir))
+    return metrics.yield_mae(q_train_yield(spark, sf_dir).where("is_test").drop("is_test"))
 
 
 @register("explain_top_features", note="attributions of a fitted model: rows-only")
 def q_explain_top_features(spark, sf_dir):
-    model, data, cols = models.train_classifier(samples(spark, sf_dir), KEYS)
+    model, data, cols = _classifier(spark, sf_dir)
     return models.linear_attributions(model, data, cols, KEYS, 5)
 
 
 @register("global_importance", note="importance of a fitted model: rows-only")
 def q_global_importance(spark, sf_dir):
-    model, data, cols = models.train_classifier(samples(spark, sf_dir), KEYS)
-    return models.global_importance(model, data, cols, 10)
+    model, data, cols = _classifier(spark, sf_dir)
+    return models.global_importance(model, data, cols)
 
 
 @register("importance_fallback", note="random-forest importances: rows-only")
 def q_importance_fallback(spark, sf_dir):
-    _, data, cols = models.train_classifier(samples(spark, sf_dir), KEYS, max_iter=5)
+    data, cols = models.classifier_data(samples(spark, sf_dir), KEYS)
     return models.importance_fallback(data, cols)
 
 
-@register("train_run_log", note="appends one run row to a shared 'runs' table: rows-only")
+@register("train_run_log", note="one run's parameters and metrics: rows-only")
 def q_train_run_log(spark, sf_dir):
-    """S9 + M9: train, evaluate on held-out groups, append params and metrics
-    to the ``runs`` table in the shared folder, return this run's row."""
-    import time
-    import uuid
-
-    from agrolens.session import shared_dir
-    t0 = time.time()
-    model, data, _ = models.train_classifier(samples(spark, sf_dir), KEYS)
-    train_s = time.time() - t0
-    top = models.topk_from_probabilities(model.transform(data.where(F.col("is_test"))), KEYS, 3)
-    hits = top.groupBy(*KEYS, "label").agg(
-        F.max(F.when((F.col("rank") == 1) & (F.col("class_idx") == F.col("label")), 1).otherwise(0)).alias("h1"),
-        F.max(F.when(F.col("class_idx") == F.col("label"), 1).otherwise(0)).alias("h3"))
-    run_id = uuid.uuid4().hex[:12]
-    row = hits.agg(F.lit(run_id).alias("run_id"), F.lit("logistic_regression").alias("model_type"),
-                   F.lit(50).alias("max_iter"), F.count("*").alias("n_test"),
-                   F.round(F.avg("h1"), 4).alias("top1_accuracy"), F.round(F.avg("h3"), 4).alias("top3_accuracy"),
-                   F.lit(round(train_s, 3)).alias("train_time_seconds"))
-    path = shared_dir(spark, "runs")
-    row.write.mode("append").parquet(path)
-    return spark.read.parquet(path).where(F.col("run_id") == run_id)
+    """S9 + M9: parameters and held-out metrics of the classifier, the rule baseline and the yield
+    model as one row; ``models.append_run`` adds such rows to a shared table."""
+    scored = _held_out(spark, sf_dir)
+    a = models.accuracy(scored).select(F.round("top1_accuracy", 4).alias("top1_accuracy"), F.round("topk_accuracy", 4).alias("top3_accuracy"), "n_test")
+    per = metrics.per_class_prf(scored.select(F.col("label").alias("actual_idx"), F.col("prediction").cast("int").alias("pred_idx")), digits=None)
+    f1 = metrics.macro_weighted(per).select("macro_f1", "weighted_f1")
+    base = rules.baseline_accuracy(samples(spark, sf_dir), KEYS).select(F.col("top1_accuracy").alias("baseline_top1"), F.col("top3_accuracy").alias("baseline_top3"))
+    mae = q_train_yield(spark, sf_dir).where("is_test AND yield_kg_ha IS NOT NULL").agg(F.round(F.avg(F.abs(F.col("yield_kg_ha") - F.col("predicted_yield"))), 2).alias("yield_mae"))
+    row = a.crossJoin(f1).crossJoin(base).crossJoin(mae)  # one row each
+    return row.select(F.lit("logit").alias("model_type"), F.lit(50).alias("max_iter"), "*")

@@ -45,7 +45,7 @@ SELECT row_uid, sample_id, CAST(rk AS INTEGER) AS rank, crop,
        y.kg_ha AS expected_yield_kg_ha, {rsql("score", 4)} AS rule_score
 FROM top3 JOIN crop_avg_yield y USING (crop)""")
 def q_rule_top3(spark, sf_dir):
-    return rules.rule_top3(samples(spark, sf_dir), KEYS)
+    return rules.rule_top(samples(spark, sf_dir), KEYS)
 
 
 @register("rule_scores", sql=with_fx("soil_samples", extra=SCORED_CTES[:3]) + f"""
@@ -78,3 +78,17 @@ FROM ranked s JOIN crop_rule c ON c.rule_idx = s.rule_idx
 WHERE s.rk = 1""")
 def q_rule_explain(spark, sf_dir):
     return rules.rule_explain(samples(spark, sf_dir), KEYS)
+
+
+def _topk_sql(k: int) -> str:
+    total = " + ".join(f"COALESCE(MAX(CASE WHEN rk = {i} THEN score END) OVER (PARTITION BY rid), {d(0.0)})" for i in range(1, k + 1))
+    topk = f"topk AS (SELECT *, {total} AS tot FROM ranked WHERE rk <= {k})"
+    return with_fx("soil_samples", extra=[*SCORED_CTES[:-1], topk]) + f"""
+SELECT row_uid, sample_id, CAST(rk AS INTEGER) AS rank, crop,
+       {rsql(f"score / CASE WHEN tot = 0 THEN {d(1.0)} ELSE tot END", 4)} AS probability,
+       y.kg_ha AS expected_yield_kg_ha, {rsql("score", 4)} AS rule_score
+FROM topk JOIN crop_avg_yield y USING (crop)"""
+
+
+for _k in (1, 5, 22):
+    register(f"rule_top{_k}", sql=_topk_sql(_k))(lambda spark, sf_dir, k=_k: rules.rule_top(samples(spark, sf_dir), KEYS, k))

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolens.functions.columns import spread
 from agrolens.sources import dims
 from agrolens.sources.tables import table
 
@@ -39,7 +38,7 @@ LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quan
 
 def soil_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FX1: raw crop-sample rows (CSV schema of the reference) from lineitem."""
-    li = spread(table(spark, sf_dir, "lineitem").select(*LINEITEM_COLS))
+    li = table(spark, sf_dir, "lineitem").select(*LINEITEM_COLS)
     return soil_samples_from(spark, li)
 
 

@@ -108,5 +108,5 @@ def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = to_canonical(soil_samples_from(spark, li)).withColumnsRenamed(
         {"sample_date": "date", "lat": "latitude", "lon": "longitude"})
     gated = serving.request_gate(samples).where("accepted")
-    q = rules.rule_top3(gated, ["row_uid", "sample_id"])
+    q = rules.rule_top(gated, ["row_uid", "sample_id"])
     return _run(spark, q, "recommend", "append")
