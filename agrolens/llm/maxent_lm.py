@@ -30,7 +30,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -52,7 +51,7 @@ class Shape:
     rounds: int = 4
     batch: int = 8192
     rate: float = 0.1
-    chunk: int = 32 << 20
+    chunk: int = 16 << 20
     blocks: int = 32
 
     @property
@@ -81,7 +80,7 @@ def tokens(text: str | None) -> list[bytes]:
 def chunked(docs: DataFrame, shape: Shape) -> DataFrame:
     """Rows of both kinds: a chunk's documents as dictionary codes (word null), and its words."""
     ids = T.ArrayType(docs.schema["doc_id"].dataType)
-    fields = [("chunk", T.LongType()), ("local", T.IntegerType()), ("word", T.BinaryType()), ("hash", T.LongType()), ("n", T.LongType()),
+    fields = [("chunk", T.LongType()), ("local", T.IntegerType()), ("word", T.BinaryType()), ("n", T.LongType()),
               ("doc_ids", ids), ("sizes", T.BinaryType()), ("held", T.BinaryType()), ("codes", T.BinaryType())]
     names = [f for f, _ in fields]
 
@@ -95,13 +94,13 @@ def chunked(docs: DataFrame, shape: Shape) -> DataFrame:
             codes = np.concatenate(lists)
             train = np.repeat(~np.array(held, bool), sizes)
             n = np.bincount(codes[train], minlength=len(code))
-            row = (chunk, None, None, None, None, docs_, _pack(np.array(sizes, np.int32)), _pack(np.array(held, np.uint8)), _pack(codes))
+            row = (chunk, None, None, None, docs_, _pack(np.array(sizes, np.int32)), _pack(np.array(held, np.uint8)), _pack(codes))
             yield dict(zip(names, ([x] for x in row)))
             words = list(code)
             for i in range(0, len(words), 50_000):
                 some = words[i:i + 50_000]
                 k, none = len(some), [None] * len(some)
-                yield dict(zip(names, ([chunk] * k, np.arange(i, i + k, dtype=np.int32), some, [xxhash.xxh32_intdigest(w) for w in some], n[i:i + k], none, none, none, none)))
+                yield dict(zip(names, ([chunk] * k, np.arange(i, i + k, dtype=np.int32), some, n[i:i + k], none, none, none, none)))
 
         for b in slices(batches):
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -231,11 +230,11 @@ def _rows(batches) -> Iterator[dict]:
 def encoded(docs: DataFrame, shape: Shape) -> tuple[DataFrame, int, int, np.ndarray]:
     """(chunks with their words' counts, N, V, mass of each count class)."""
     parts = stored(chunked(docs, shape), "lm-chunks")
-    words = parts.where("word IS NOT NULL").select("chunk", "local", "word", "hash", "n")
+    words = parts.where("word IS NOT NULL").select("chunk", "local", "word", "n")
     # One shuffle by word gives each chunk's entry the word's count; the first entry stands for the word itself.
     by_word = Window.partitionBy("word")
     counted = words.withColumns({"c": F.sum("n").over(by_word), "first": F.min("chunk").over(by_word) == F.col("chunk")})
-    counted = stored(counted.select("chunk", "local", "hash", "c", F.when(F.col("first"), F.col("word")).alias("word")), "lm-counted")
+    counted = stored(counted.select("chunk", "local", F.hash("word").alias("hash"), "c", F.when(F.col("first"), F.col("word")).alias("word")), "lm-counted")
     seen = counted.where("word IS NOT NULL AND c > 0")
     total, distinct = seen.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     head = [r.word for r in seen.orderBy(F.desc("c"), "word").limit(shape.head).collect()]
@@ -273,7 +272,7 @@ def encoded(docs: DataFrame, shape: Shape) -> tuple[DataFrame, int, int, np.ndar
 
     # An entry comes with its count (rank -1), and once more with its rank if it is a head word (count -1).
     back = counted.select("chunk", "local", "c", F.lit(-1).alias("head"), "hash")
-    back = back.unionByName(heads.select("chunk", "local", F.lit(-1).cast("long").alias("c"), "head", F.lit(0).cast("long").alias("hash")))
+    back = back.unionByName(heads.select("chunk", "local", F.lit(-1).cast("long").alias("c"), "head", F.lit(0).alias("hash")))
     known = arrow_map(back.repartition("chunk").sortWithinPartitions("chunk", "local"), assemble, schema)
     texts = parts.where("word IS NULL").select("chunk", "doc_ids", "sizes", "held", "codes")
     return stored(texts.join(known, "chunk"), "lm-encoded"), int(total), int(distinct), mass
