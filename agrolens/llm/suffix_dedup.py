@@ -294,13 +294,15 @@ def _by_chunk(batches) -> Iterator[tuple[int, list, _Texts, list[list]]]:
 
 def repeated_bytes(chunks: DataFrame, found: DataFrame, length: int, hot: int) -> DataFrame:
     """(place, start, end): stretches whose bytes all lie in repeated strings."""
-    shared = stored(found.join(found.groupBy("gram").count().where("count > 1").select("gram"), "gram"), "suffix-shared")
+    # Aggregates are stored before a join, so that both sides come straight from an exchange and Spark can split a hot key.
+    grams = stored(found.groupBy("gram").count().where("count > 1").select("gram"), "suffix-grams")
+    shared = stored(found.join(grams, "gram"), "suffix-shared")
     contexts = shared.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("place", "pos", "head")).alias("rep"))
     contexts = stored(contexts, "suffix-contexts")
     copies = shared.join(contexts.where("n > 1").select("gram", "context"), ["gram", "context"])
     first = F.shiftright("pos", 20)
     whole = copies.select("place", first.alias("start"), (first + F.shiftright("pos", 10).bitwiseAND(F.lit(1023)) + length).alias("end"))
-    several = contexts.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
+    several = stored(contexts.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "suffix-several")
     reps = contexts.join(several, "gram").select("rep.place", "rep.pos", "rep.head", (F.col("n") > 1).alias("many"), (F.col("m") > hot).alias("hot"))
     reps = stored(reps, "suffix-reps")
     ranges = max(1, -(-reps.count() * length * 3 // 2 // RANGE))
@@ -384,7 +386,7 @@ def repeated_bytes(chunks: DataFrame, found: DataFrame, length: int, hot: int) -
     ordered = runs.repartition(ranges, "range").sortWithinPartitions("range")
     around = arrow_map(ordered, merge_ranges, place)
     starts = laid.where("digest IS NOT NULL").select("digest", "place", "start")
-    twice = starts.groupBy("digest").count().where("count > 1").select("digest")
+    twice = stored(starts.groupBy("digest").count().where("count > 1").select("digest"), "suffix-twice")
     hot_ones = starts.join(twice, "digest").select("place", "start", (F.col("start") + length).alias("end"))
     return whole.unionByName(around).unionByName(hot_ones)
 
