@@ -29,14 +29,19 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    This cuts lineage in a way that survives lost executors.
+    This cuts lineage in a way that survives lost executors.  ``group_rows``
+    limits a row group; a table of few large rows needs small groups to be
+    read by many tasks.
     """
     spark = df.sparkSession
     path = shared_dir(spark, f"llm-{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    write = df.write
+    if group_rows:
+        write = write.option("parquet.block.row.count.limit", group_rows)
+    write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

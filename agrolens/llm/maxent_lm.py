@@ -275,7 +275,7 @@ def encoded(docs: DataFrame, shape: Shape) -> tuple[DataFrame, int, int, np.ndar
     back = back.unionByName(heads.select("chunk", "local", F.lit(-1).cast("long").alias("c"), "head", F.lit(0).alias("hash")))
     known = arrow_map(back.repartition("chunk").sortWithinPartitions("chunk", "local"), assemble, schema)
     texts = parts.where("word IS NULL").select("chunk", "doc_ids", "sizes", "held", "codes")
-    return stored(texts.join(known, "chunk"), "lm-encoded"), int(total), int(distinct), mass
+    return stored(texts.join(known, "chunk"), "lm-encoded", 1), int(total), int(distinct), mass
 
 
 def train(chunks: DataFrame, shape: Shape) -> Weights:
