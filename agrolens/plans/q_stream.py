@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from agrolens.plans.common import d
+from agrolens.plans.common import SAMPLES_SQL, d
 from agrolens.plans.oracle_fixtures import CROPS, with_fx
 from agrolens.plans.registry import register
 from agrolens.sources import dims
@@ -17,8 +17,9 @@ def q_stream_prediction_counts(spark, sf_dir):
 
 @register("stream_window_counts", sql="""
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
-       event_type, COUNT(*) AS n
-FROM events GROUP BY 1, 2, 3""")
+       event_type, COUNT(*) AS n,
+       (SELECT MAX(ts) FROM events) >= time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 3 HOUR AS closed
+FROM events GROUP BY 1, 2, 3, 5""")
 def q_stream_window_counts(spark, sf_dir):
     return jobs.window_counts(spark, sf_dir)
 
@@ -33,15 +34,14 @@ def q_stream_latency_hist(spark, sf_dir):
     return jobs.latency_histogram(spark, sf_dir)
 
 
-@register("stream_dedupe", sql=with_fx("scored_requests") + f"""
-SELECT request_id, ts, {CROPS}[pred_idx + 1] AS crop, latency_s
-FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ts) AS rn FROM scored_requests) WHERE rn = 1""")
+@register("stream_dedupe", sql=with_fx("soil_samples", extra=[SAMPLES_SQL]) + """
+SELECT sample_id, date, row_uid, target_crop FROM (
+  SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY date, row_uid, target_crop) AS rn FROM samples) WHERE rn = 1""")
 def q_stream_dedupe(spark, sf_dir):
     return jobs.dedupe(spark, sf_dir)
 
 
 def _gate_sql():
-    from agrolens.plans.common import SAMPLES_SQL
     parts = []
     for f in dims.REQUIRED_FEATURES:
         lo, hi = next((a, b) for n, a, b in dims.FEATURE_RANGES if n == f)
@@ -73,4 +73,10 @@ FROM top3 JOIN crop_avg_yield y USING (crop)"""
 
 @register("stream_recommend", sql=_stream_recommend_sql())
 def q_stream_recommend(spark, sf_dir):
-    return jobs.recommend(spark, sf_dir)
+    return jobs.recommend(spark, sf_dir)["out"]
+
+
+@register("stream_quarantine", sql=with_fx("soil_samples", extra=_gate_sql()) + """
+SELECT row_uid, sample_id, violations FROM gated WHERE violations <> ''""")
+def q_stream_quarantine(spark, sf_dir):
+    return jobs.recommend(spark, sf_dir)["quarantine"]

@@ -1,17 +1,22 @@
-"""Structured Streaming jobs over the events table.
-
-Each job reads the events parquet as a file stream with an explicit schema,
-runs a stateful aggregation (or dedupe), and writes through ``foreachBatch``
-into a table under the shared checkpoint folder.  ``trigger(availableNow)``
-processes everything available and stops, so a run equals the batch answer
-and restarts from its checkpoint after a failure (exactly-once per batch:
-each micro-batch overwrites the complete-mode state snapshot, or appends
-with the batch id recorded in the checkpoint).
+"""Structured Streaming jobs over file streams.
+
+Every job has two parts: what a micro-batch contributes, and how
+contributions merge.  ``foreachBatch`` writes a batch's contribution to a
+folder named by the batch id, replacing what an earlier attempt left there, so
+a retried batch counts once; with a stable ``run`` name a restarted job goes
+on from its checkpoint.  Reading merges the folders.
+
+The merges do not depend on the order of batches, so nothing is lost when
+files arrive out of time order: there is no watermark beyond which rows are
+dropped.  What lateness means here is stated where it matters: a window is
+``closed`` once the latest event seen lies ``lateness`` past its end, and a row
+that still comes later is counted and reopens nothing.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,72 +46,91 @@ def _scored(stream: DataFrame) -> DataFrame:
         F.element_at(F.array(*[F.lit(c) for c in dims.CROP_LABELS]), pred.cast("int") + 1).alias("crop"))
 
 
-def _run(spark: SparkSession, query: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run to completion (availableNow) and return the sink table."""
-    run = f"{name}-{uuid.uuid4().hex[:12]}"
-    out = shared_dir(spark, f"streams/{run}/out")
-    ckpt = shared_dir(spark, f"streams/{run}/checkpoint")
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        w = batch.write.mode("overwrite" if mode == "complete" else "append")
-        w.parquet(out)
+LINEITEM_SCHEMA = ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                   "l_quantity double, l_shipdate timestamp_ntz")
 
-    q = (query.writeStream.outputMode(mode).foreachBatch(sink)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
 
+def run_stream(stream: DataFrame, name: str, parts: dict[str, Callable[[DataFrame], DataFrame]],
+               run: str | None = None) -> dict[str, DataFrame]:
+    """Process what is available; return each part's contributions (with ``batch_id``).
 
-def prediction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running prediction count per crop (complete mode)."""
-    q = _scored(_event_stream(spark, sf_dir)).groupBy("crop").agg(F.count("*").alias("n_predictions"))
-    return _run(spark, q, "prediction_counts", "complete")
+    ``parts`` maps an output's name to what a batch contributes to it.
+    """
+    spark = stream.sparkSession
+    base = shared_dir(spark, f"streams/{name}-{run or uuid.uuid4().hex[:12]}")
 
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        for part, contribution in parts.items():
+            contribution(batch).write.mode("overwrite").parquet(f"{base}/{part}/batch_id={batch_id}")
 
-def window_counts(spark: SparkSession, sf_dir: str, size: str = "1 hour", watermark: str = "2 hours") -> DataFrame:
-    """Events per event-time tumbling window and type, with a watermark."""
-    s = _event_stream(spark, sf_dir).withWatermark("ts", watermark)
-    q = (s.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"))
-         .select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-                 F.col("window.end").cast("timestamp_ntz").alias("window_end"), "event_type", "n"))
-    return _run(spark, q, "window_counts", "complete")
+    q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return {part: spark.read.parquet(f"{base}/{part}") for part in parts}
 
 
-def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4: cumulative latency buckets as a streaming aggregate."""
-    s = _scored(_event_stream(spark, sf_dir))
-    aggs = [F.count_if(F.col("latency_s") <= lit_d(b)).alias(f"b{i}") for i, b in enumerate(dims.LATENCY_BUCKETS)]
-    q = s.groupBy().agg(*aggs, F.count("*").alias("binf"))
-    wide = _run(spark, q, "latency_histogram", "complete")
-    items = [F.struct(F.lit(str(b)).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(dims.LATENCY_BUCKETS)]
-    items.append(F.struct(F.lit("+Inf").alias("le"), F.col("binf").alias("n")))
-    return wide.select(F.explode(F.array(*items)).alias("s")).select("s.le", F.col("s.n").cast("bigint").alias("n"))
+def prediction_counts(spark: SparkSession, sf_dir: str, run: str | None = None) -> DataFrame:
+    """Prediction count per crop."""
+    def count(batch):
+        return _scored(batch).groupBy("crop").agg(F.count("*").alias("n"))
+    got = run_stream(_event_stream(spark, sf_dir), "prediction_counts", {"out": count}, run)["out"]
+    return got.groupBy("crop").agg(F.sum("n").alias("n_predictions"))
 
 
-def dedupe(spark: SparkSession, sf_dir: str, watermark: str = "2 hours") -> DataFrame:
-    """T5: drop replayed requests (same id) within the watermark delay."""
-    s = _scored(_event_stream(spark, sf_dir)).withWatermark("ts", watermark)
-    q = s.dropDuplicatesWithinWatermark(["request_id"]).select(
-        "request_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "crop", "latency_s")
-    return _run(spark, q, "dedupe", "append")
+def window_counts(spark: SparkSession, sf_dir: str, size: str = "1 hour", lateness: str = "2 hours",
+                  run: str | None = None) -> DataFrame:
+    """Events per event-time tumbling window and type; every row counts, however late.
 
+    ``closed``: the latest event seen lies ``lateness`` or more past the window's end."""
+    def count(batch):
+        return batch.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.max("ts").alias("seen")) \
+            .select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "n", "seen")
+    got = run_stream(_event_stream(spark, sf_dir), "window_counts", {"out": count}, run)["out"]
+    latest = got.agg(F.max("seen").alias("_latest"))  # one row
+    out = got.groupBy("start", "end", "event_type").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(latest))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("window_start"), F.col("end").cast("timestamp_ntz").alias("window_end"),
+                      "event_type", "n", (F.col("_latest") >= F.col("end") + F.expr(f"INTERVAL {lateness}")).alias("closed"))
 
-LINEITEM_SCHEMA = ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
-                   "l_quantity double, l_shipdate timestamp_ntz")
 
+def latency_histogram(spark: SparkSession, sf_dir: str, run: str | None = None) -> DataFrame:
+    """T4: cumulative latency buckets."""
+    def count(batch):
+        x = _scored(batch)
+        items = [F.struct(F.lit(str(b)).alias("le"), F.count_if(F.col("latency_s") <= lit_d(b)).alias("n")) for b in dims.LATENCY_BUCKETS]
+        items.append(F.struct(F.lit("+Inf").alias("le"), F.count("*").alias("n")))
+        return x.agg(F.array(*items).alias("b")).select(F.inline("b"))
+    got = run_stream(_event_stream(spark, sf_dir), "latency_histogram", {"out": count}, run)["out"]
+    return got.groupBy("le").agg(F.sum("n").alias("n"))
 
-def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score a stream of sample rows: gate, quarantine, rule top-3.
 
-    Accepted rows get the same top-3 as the batch job; rejected rows would go
-    to a quarantine sink with their violations (here: kept out of the output)."""
-    from agrolens.operators import rules, serving
+def _sample_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from agrolens.operators.ingest import to_canonical
     from agrolens.sources.fixtures import soil_samples_from
     li = (spark.readStream.schema(LINEITEM_SCHEMA).option("maxFilesPerTrigger", 1)
           .parquet(f"{sf_dir.rstrip('/')}/lineitem*.parquet"))
-    samples = to_canonical(soil_samples_from(spark, li)).withColumnsRenamed(
+    return to_canonical(soil_samples_from(spark, li)).withColumnsRenamed(
         {"sample_date": "date", "lat": "latitude", "lon": "longitude"})
-    gated = serving.request_gate(samples).where("accepted")
-    q = rules.rule_top(gated, ["row_uid", "sample_id"])
-    return _run(spark, q, "recommend", "append")
+
+
+def dedupe(spark: SparkSession, sf_dir: str, run: str | None = None) -> DataFrame:
+    """T5: one row a sample id, the earliest by date and row key, whatever file it came in."""
+    first = F.min(F.struct("date", "row_uid", "target_crop"))
+
+    def earliest(batch):
+        return batch.groupBy("sample_id").agg(first.alias("first"))
+    got = run_stream(_sample_stream(spark, sf_dir), "dedupe", {"out": earliest}, run)["out"]
+    return got.groupBy("sample_id").agg(F.min("first").alias("first")).select("sample_id", "first.*")
+
+
+def recommend(spark: SparkSession, sf_dir: str, run: str | None = None) -> dict[str, DataFrame]:
+    """Score a stream of sample rows.  ``out``: rule top-3 of the accepted rows;
+    ``quarantine``: the rejected rows with their violations."""
+    from agrolens.operators import rules, serving
+
+    def accepted(batch):
+        return rules.rule_top(serving.request_gate(batch).where("accepted"), ["row_uid", "sample_id"])
+
+    def rejected(batch):
+        return serving.request_gate(batch).where("NOT accepted").select("row_uid", "sample_id", "violations")
+    got = run_stream(_sample_stream(spark, sf_dir), "recommend", {"out": accepted, "quarantine": rejected}, run)
+    return {k: v.drop("batch_id") for k, v in got.items()}

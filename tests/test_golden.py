@@ -33,7 +33,7 @@ def test_rule_top3_dataframe(spark):
     df = spark.createDataFrame([("a", 90.0, 42.0, 43.0, 25.0, 80.0, 6.5, 200.0)],
                                "id string, N_kg_ha double, P_kg_ha double, K_kg_ha double, avg_temp_c double, "
                                "humidity_pct double, pH double, avg_precip_mm double")
-    out = rules.rule_top3(df, ["id"]).orderBy("rank").collect()
+    out = rules.rule_top(df, ["id"]).orderBy("rank").collect()
     assert [r.crop for r in out][:2] == ["rice", "jute"]
     assert abs(sum(r.probability for r in out) - 1.0) < 1e-3
     assert out[0].expected_yield_kg_ha == 2500.0
@@ -115,3 +115,55 @@ def test_location_classification(spark):
     kinds = [r.kind for r in location.classify_location(df).orderBy("id").collect()]
     assert kinds == ["pin", "pin", "unrecognised", "unrecognised", "unrecognised", "coords", "coords",
                      "coords", "unrecognised", "unrecognised", "unrecognised", "empty"]
+
+
+def test_rule_top_any_k(spark):
+    df = spark.createDataFrame([("a", 90.0, 42.0, 43.0, 25.0, 80.0, 6.5, 200.0)],
+                               "id string, N_kg_ha double, P_kg_ha double, K_kg_ha double, avg_temp_c double, "
+                               "humidity_pct double, pH double, avg_precip_mm double")
+    for k in (1, 5, 22):
+        out = rules.rule_top(df, ["id"], k).orderBy("rank").collect()
+        assert len(out) == k and out[0].crop == "rice" and abs(sum(r.probability for r in out) - 1) < 2e-3
+
+
+def test_validation_fails_without_target_or_location(spark):
+    from agrolens.operators import validation
+    cols = "sample_id string, location_id int, target_crop string, N_kg_ha double"
+    df = spark.createDataFrame([(str(i), i % 3, "rice", 50.0) for i in range(30)], cols)
+    for absent, check in (("target_crop", "target_cardinality"), ("location_id", "location_ids_present")):
+        checks = validation.validation_checks(df.drop(absent))
+        row = checks.where(F.col("name") == check).first()
+        assert (row.severity, row.passed) == ("critical", False)
+        assert validation.validation_report(checks).first().overall_status == "FAIL"
+    dup = validation.validation_checks(df.union(df.limit(4)).union(df.limit(2).withColumn("sample_id", F.lit(None).cast("string"))))
+    assert dup.where("name = 'no_duplicate_sample_ids'").first().metric == 5.0
+
+
+def test_recommended_crops_become_candidates(spark):
+    loc = spark.createDataFrame([(1, "Karnataka", 12.97, 77.59), (2, None, 19.0, 73.0)], "location_id bigint, state string, latitude double, longitude double")
+    rec = spark.createDataFrame([(1, 1, "Banana"), (1, 2, "rice"), (2, 1, "jute"), (2, 2, "grapes")], "location_id bigint, rank int, crop string")
+    out = {(r.location_id, r.crop): r for r in export.export_scores(spark, loc, "2025-01-15", recommended=rec).collect()}
+    assert out[1, "banana"].ml_recommended and out[2, "jute"].ml_recommended and not out[2, "rice"].ml_recommended
+    base = {(r.location_id, r.crop): r for r in export.export_scores(spark, loc, "2025-01-15").collect()}
+    assert (1, "banana") not in base and (2, "grapes") not in out and set(base) < set(out)  # grapes have no export data
+    assert out[1, "rice"].export_score >= base[1, "rice"].export_score
+
+
+def test_shared_folder_is_required_off_local_masters(monkeypatch):
+    import pytest
+
+    from agrolens import session
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Conf:
+        @staticmethod
+        def get(key, default=None):
+            return default
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session, "x")
