@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,15 +81,23 @@ def rule_scores_long(df: DataFrame, keys: list[str]) -> DataFrame:
 _RANKED = T.StructType([T.StructField("idx", T.ArrayType(T.IntegerType())), T.StructField("score", T.ArrayType(T.DoubleType()))])
 
 
-@F.pandas_udf(_RANKED)
-def _ranked_udf(f0: pd.Series, f1: pd.Series, f2: pd.Series, f3: pd.Series, f4: pd.Series,
-                f5: pd.Series, f6: pd.Series) -> pd.DataFrame:
-    """Scalar (Arrow-batched) kernel: only the 7 features go in, only the rules'
-    indices and scores come out, best first; keys never leave the JVM."""
-    x = np.column_stack([c.to_numpy(dtype=float, na_value=np.nan) for c in (f0, f1, f2, f3, f4, f5, f6)])
-    s = score_matrix(x)
-    order = np.argsort(-s, axis=1, kind="stable")
-    return pd.DataFrame({"idx": list(order.astype(np.int32)), "score": list(np.take_along_axis(s, order, axis=1))})
+def _lists(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    n, k = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k), pa.int32()), pa.array(values.ravel(), kind))
+
+
+def _ranked_udf(k: int):
+    """Scalar Arrow kernel: only the 7 features go in, only the best ``k`` rules'
+    indices and scores come out; keys never leave the JVM."""
+    @F.arrow_udf(_RANKED)
+    def run(f0: pa.Array, f1: pa.Array, f2: pa.Array, f3: pa.Array, f4: pa.Array, f5: pa.Array, f6: pa.Array) -> pa.Array:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in (f0, f1, f2, f3, f4, f5, f6)])
+        s = score_matrix(x)
+        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        top = np.take_along_axis(s, order, axis=1)
+        return pa.StructArray.from_arrays([_lists(order.astype(np.int32), pa.int32()), _lists(top, pa.float64())], ["idx", "score"])
+
+    return run
 
 
 def _crop_at(i):
@@ -104,15 +113,14 @@ def rule_topk_long(df: DataFrame, keys: list[str], k: int = 3, extra: list[str]
 
     ``probability = score / denom`` where denom = sum of the top-k scores
     (1 when that sum is 0); rounding is left to Spark.  The kernel is a
-    scalar pandas UDF over the 7 numeric inputs; the first ``k`` and the long
-    form are taken JVM-side.
+    scalar Arrow UDF over the 7 numeric inputs; the long form is taken JVM-side.
     """
     extra = extra or []
     x = _prep(df, keys + extra)
-    t = x.withColumn("_t", _ranked_udf(*[F.col(f"_rf{j}") for j in range(7)]))
-    total = F.aggregate(F.slice("_t.score", 1, k), lit_d(0.0), lambda a, v: a + v)
+    t = x.withColumn("_t", _ranked_udf(k)(*[F.col(f"_rf{j}") for j in range(7)]))
+    total = F.aggregate("_t.score", lit_d(0.0), lambda a, v: a + v)
     t = t.withColumn("denom", F.when(total == 0, lit_d(1.0)).otherwise(total))
-    t = t.select(*keys, *extra, "denom", F.col("_t.score").alias("_s"), F.posexplode(F.slice("_t.idx", 1, k)).alias("_p", "rule_idx"))
+    t = t.select(*keys, *extra, "denom", F.col("_t.score").alias("_s"), F.posexplode("_t.idx").alias("_p", "rule_idx"))
     return t.select(*keys, *extra, (F.col("_p") + 1).alias("rank"), "rule_idx", _crop_at(F.col("rule_idx")).alias("crop"),
                     F.get("_s", F.col("_p")).alias("score"), "denom", _yield_at(F.col("rule_idx")).alias("expected_yield_kg_ha"))
 
