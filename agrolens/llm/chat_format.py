@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agrolens.llm import bpe
-from agrolens.llm.common import query
+from agrolens.llm.common import query, stored
 
 #: role: (opening, closing) control strings; other roles get both marks of ``OTHER``.
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
@@ -79,12 +79,13 @@ def windows(conversations: DataFrame, path: str | None = None, budget: int = 102
     """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tokens", count_tokens(path)("text") + MARK_TOKENS)
-    turns = _prefixes(rows, block)
+    turns = stored(_prefixes(stored(rows, "chat-tokens"), block), "chat-prefixes")
     # The first turn is the system turn if its role says so; it is counted in every window.
     system = turns.where("place = 1 AND role = 'system'").select(F.col("conv_id").alias("s"), F.struct("place", "role", "text").alias("system"), F.col("tokens").alias("fixed"))
     met = turns.join(system, turns.conv_id.eqNullSafe(F.col("s")), "left").drop("s")
     room = F.greatest(F.lit(budget - history) - F.coalesce("fixed", F.lit(0)), F.lit(1))
     met = met.withColumn("room", room).withColumn("window", F.floor((F.col("upto") - F.col("tokens")) / F.col("room")))
+    met = stored(met, "chat-turns")  # read four times below; tokens are counted once
     turn = F.struct("place", "role", "text")
     own = met.select("conv_id", "window", "system", turn.alias("t"), F.lit(True).alias("own"))
     # A span starts with the first turn that begins in it.  Turns before it repeat while their tokens fit the allowance.
