@@ -79,16 +79,16 @@ def validation_checks(df: DataFrame, max_null_pct: float = 0.5, min_samples: int
     missing = [c for c in dims.REQUIRED_FEATURES if c not in cols]
     checks.append(F.struct(F.lit("required_columns_present").alias("name"), F.lit("critical").alias("severity"),
                            F.lit(len(missing) == 0).alias("passed"), lit_d(len(missing)).alias("metric")))
-    all_null = sum((F.col(f"nn__{c}") == 0).cast("int") for c in cols)
+    all_null = sum(((F.col(f"nn__{c}") == 0).cast("int") for c in cols), F.lit(0))
     checks.append(F.struct(F.lit("no_all_null_columns").alias("name"), F.lit("warning").alias("severity"),
                            (all_null == 0).alias("passed"), all_null.cast("double").alias("metric")))
     feats = [c for c in dims.REQUIRED_FEATURES if c in cols]
-    high = sum(((F.lit(1.0) - F.col(f"nn__{c}") / F.col("n_rows")) > max_null_pct).cast("int") for c in feats)
+    high = sum((((F.lit(1.0) - F.col(f"nn__{c}") / F.col("n_rows")) > max_null_pct).cast("int") for c in feats), F.lit(0))
     checks.append(F.struct(F.lit("null_rates_acceptable").alias("name"), F.lit("critical").alias("severity"),
                            (high == 0).alias("passed"), high.cast("double").alias("metric")))
     types = dict(df.dtypes)
     ranged = [f for f, _, _ in dims.FEATURE_RANGES if f in cols and types[f] in NUMERIC_TYPES]
-    viol = sum(((F.col(f"below__{f}") + F.col(f"above__{f}")) > 0).cast("int") for f in ranged)
+    viol = sum((((F.col(f"below__{f}") + F.col(f"above__{f}")) > 0).cast("int") for f in ranged), F.lit(0))
     checks.append(F.struct(F.lit("feature_ranges_valid").alias("name"), F.lit("critical").alias("severity"),
                            (viol == 0).alias("passed"), viol.cast("double").alias("metric")))
     parts = [st.select(F.explode(F.array(*checks)).alias("c")).select("c.*")]

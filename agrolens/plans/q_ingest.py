@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agrolens.operators import ingest
-from agrolens.plans.common import SAMPLES_SQL, rsql, samples
+from agrolens.plans.common import AS_OF, SAMPLES_SQL, rsql, samples
 from agrolens.plans.oracle_fixtures import with_fx
 from agrolens.plans.registry import register
 from agrolens.sources import dims, fixtures
@@ -131,3 +131,12 @@ SELECT f.row_uid, {_ZOUT} FROM filled f, st""")
 def q_zscore_features(spark, sf_dir):
     z = ingest.zscore_features(samples(spark, sf_dir).select("row_uid", *_ZCOLS), _ZCOLS)
     return z.select("row_uid", *[F.round(f"{c}_z", 6).alias(f"{c}_z") for c in _ZCOLS])
+
+
+@register("stamp_samples", sql=with_fx("soil_samples", extra=[SAMPLES_SQL]) + """
+SELECT row_uid, substr(sha256(row_uid || '|' || CAST(location_id AS VARCHAR)), 1, 8) AS sample_id,
+       DATE '2025-01-15' AS date, 'kaggle_expert_recommendation' AS label_source FROM samples""")
+def q_stamp_samples(spark, sf_dir):
+    """Ids from the row's key, so that a repeated load stamps the same."""
+    s = ingest.stamp_samples(samples(spark, sf_dir), ["row_uid", "location_id"], AS_OF)
+    return s.select("row_uid", "sample_id", "date", "label_source")

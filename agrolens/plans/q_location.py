@@ -382,3 +382,12 @@ def q_export_scores_boosted(spark, sf_dir):
     rec = q_recommend_by_location(spark, sf_dir).select("location_id", "rank", "crop")
     r = _resolved(spark, sf_dir).where(F.col("error").isNull())
     return export.export_scores(spark, r, AS_OF, recommended=rec)
+
+
+@register("certification_info", sql=with_fx("locations_raw", "pin_directory", extra=EXPORT_SQL + [dim_cte("certification")]) + """
+SELECT r.location_id, r.crop, s.phytosanitary_complexity AS complexity, COALESCE(c.days, l.days) AS certification_days,
+       array_to_string(COALESCE(c.steps, l.steps), '; ') AS certification_steps
+FROM ranked_exports r LEFT JOIN export_stats s ON s.crop = r.crop LEFT JOIN certification c ON c.complexity = s.phytosanitary_complexity
+JOIN certification l ON l.complexity = 'low'""")
+def q_certification_info(spark, sf_dir):
+    return export.certification_info(_export_scores(spark, sf_dir))
