@@ -49,7 +49,7 @@ class Shape:
     rows: int = 1 << 14  # hashed features of the class softmax
     word_rows: int = 1 << 13  # hashed features of the word softmaxes
     rounds: int = 4
-    batch: int = 8192
+    batch: int = 16384
     rate: float = 0.1
     chunk: int = 16 << 20
     blocks: int = 32
@@ -145,9 +145,9 @@ class Weights:
 
 def _log_softmax(table: np.ndarray, rows: np.ndarray, bias: bool) -> np.ndarray:
     """Rows of ``rows`` are features; ``bias`` adds the table's first row to all."""
-    z = table[rows[0]]
+    z = table.take(rows[0], axis=0)
     for r in rows[1:]:
-        z += table[r]
+        z += table.take(r, axis=0)
     if bias:
         z += table[0]
     z -= z.max(axis=1, keepdims=True)
@@ -159,16 +159,23 @@ def _step(table: np.ndarray, square: np.ndarray, rows: np.ndarray, y: np.ndarray
     """One adaptive gradient step on a batch; rows that tokens share get their summed gradient."""
     g = np.exp(_log_softmax(table, rows, bias))
     g[np.arange(len(y)), y] -= 1
-    flat = rows.ravel()
+    flat = rows.ravel().astype(np.uint16 if len(table) <= 1 << 16 else np.int64)  # 16 bits sort by radix
     order = np.argsort(flat, kind="stable")
     at = flat[order]
     start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    total = np.add.reduceat(g[order % len(y)], start, axis=0)
-    at = at[start]
+    order %= len(y)
+    total = np.add.reduceat(g.take(order, axis=0), start, axis=0)
+    at = at[start].astype(np.int64)
     if bias:
         at, total = np.r_[0, at], np.vstack([g.sum(axis=0), total])
-    square[at] += total * total
-    table[at] -= rate * total / np.sqrt(square[at] + 1e-6)
+    now = square.take(at, axis=0)
+    now += total * total
+    square[at] = now
+    now += 1e-6
+    np.sqrt(now, out=now)
+    total *= rate
+    total /= now
+    table[at] -= total
 
 
 class Chunk:
