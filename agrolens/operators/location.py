@@ -233,3 +233,44 @@ def location_profile(resolved: DataFrame, soil: DataFrame, weather: DataFrame) -
             F.when(F.col("_w_t").isNotNull(), F.lit(SOURCE_WEATHER)),
             F.when(F.lower("state").isin(states), F.lit(SOURCE_REGIONAL)))), "; ").alias("data_sources"))
     return out
+
+
+SOURCE_MARKET = "Agmarknet/data.gov.in (market prices)"
+SOURCE_VEGETATION = "NASA POWER (satellite-derived)"
+SOURCE_EXPORT = "APEDA/MoC Export Statistics (export scoring)"
+WARN_SOIL = "SoilGrids API returned no data (service may be paused); using default soil values"
+WARN_WEATHER = "Weather data unavailable; using defaults"
+
+
+def market_by_state(prices: DataFrame, crops: list[str]) -> DataFrame:
+    """Latest prices of the crops' commodities, gathered per state (at most one entry a crop)."""
+    names = prices.sparkSession.createDataFrame(
+        [(dims.CROP_TO_COMMODITY[c], c) for c in crops if c in dims.CROP_TO_COMMODITY], "commodity string, crop string")
+    each = latest_prices(prices).join(F.broadcast(names), "commodity")
+    entry = F.concat(F.col("crop"), F.lit(":"), F.col("modal_price_per_quintal").cast("bigint").cast("string"))
+    return each.groupBy("state").agg(F.array_join(F.sort_array(F.collect_set(entry)), ", ").alias("market"))
+
+
+def location_profile_full(resolved: DataFrame, profile: DataFrame, soil: DataFrame, market: DataFrame,
+                          regional: DataFrame, vegetation: DataFrame, best: DataFrame) -> DataFrame:
+    """J13 + P30: one row a resolved location with every side that has something to say,
+    the ordered list of sources used and the warnings.
+
+    The sides hold one row a location (market: a state) and are left-joined;
+    Spark broadcasts those that are small."""
+    reg = regional.groupBy("location_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("rank", "crop"))), lambda s: s["crop"]), ", ").alias("regional_crops"))
+    x = (resolved.select("location_id", "state").join(profile.drop("data_sources"), "location_id")
+         .join(soil.select("location_id", F.col("source").alias("_soil")), "location_id", "left")
+         .join(market, "state", "left").join(reg, "location_id", "left")
+         .join(vegetation.select("location_id", "vegetation_activity", "vegetation_score"), "location_id", "left")
+         .join(best.select("location_id", F.col("crop").alias("best_export"), "export_score"), "location_id", "left"))
+    no_weather = F.array_contains(F.split("used_defaults", ", "), "temperature")
+    sources = F.array(
+        F.lit(SOURCE_GEO), F.lit(SOURCE_SOIL), F.when(~no_weather, F.lit(SOURCE_WEATHER)),
+        F.when(F.col("market").isNotNull(), F.lit(SOURCE_MARKET)), F.when(F.col("regional_crops").isNotNull(), F.lit(SOURCE_REGIONAL)),
+        F.when(F.col("vegetation_score").isNotNull(), F.lit(SOURCE_VEGETATION)), F.when(F.col("best_export").isNotNull(), F.lit(SOURCE_EXPORT)))
+    warned = F.array(F.when(F.coalesce("_soil", F.lit("defaults")) == "defaults", F.lit(WARN_SOIL)), F.when(no_weather, F.lit(WARN_WEATHER)))
+    return x.select(*profile.drop("data_sources").columns, "market", "regional_crops", "vegetation_activity", "vegetation_score", "best_export",
+                    "export_score", F.array_join(F.array_compact(sources), "; ").alias("data_sources"),
+                    F.array_join(F.array_compact(warned), "; ").alias("warnings"))

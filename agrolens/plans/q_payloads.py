@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from agrolens.operators import location, payloads
 from agrolens.plans.common import d, rsql
 from agrolens.plans.oracle_fixtures import CROPS, with_fx
+from agrolens.plans import q_location as ql
 from agrolens.plans.q_location import _SOIL_SQL
-from agrolens.plans.registry import register
+from agrolens.plans.registry import REGISTRY, register
 from agrolens.sources import dims, fixtures
 from agrolens.sources.tables import table
 
@@ -184,3 +185,43 @@ FROM (SELECT *, tier = 'Primary' AND ok AS use_lab FROM lab) l LEFT JOIN soil s
 def q_soil_tier(spark, sf_dir):
     modelled = location.soil_record(location.parse_soil(fixtures.soil_payloads(spark, sf_dir)))
     return payloads.soil_tier(lab_requests(spark, sf_dir), modelled)
+
+
+def _full_sql():
+    crops = [(dims.CROP_TO_COMMODITY[c], c) for c in dims.DEFAULT_TARGET_CROPS if c in dims.CROP_TO_COMMODITY]
+    names = ", ".join(f"('{a}', '{b}')" for a, b in crops)
+    market = f"""market AS (
+  SELECT state, string_agg(DISTINCT n.crop || ':' || CAST(CAST(modal AS BIGINT) AS VARCHAR), ', ' ORDER BY n.crop || ':' || CAST(CAST(modal AS BIGINT) AS VARCHAR)) AS market
+  FROM (SELECT *, TRY_CAST(modal_price AS DOUBLE) AS modal,
+               row_number() OVER (PARTITION BY state, commodity ORDER BY arrival_date DESC, record_id) AS rn
+        FROM mandi_prices WHERE TRY_CAST(modal_price AS DOUBLE) > 0) p
+  JOIN (VALUES {names}) AS n(commodity, crop) USING (commodity) WHERE rn = 1 GROUP BY state
+)"""
+    reg = """reg AS (
+  SELECT v.location_id, string_agg(c.crop, ', ' ORDER BY c.rank) AS regional_crops FROM resolved v
+  JOIN state_crop c ON lower(c.state) = lower(v.state) WHERE v.error IS NULL GROUP BY 1
+)"""
+    veg = REGISTRY["vegetation_score"].sql
+    extra = (ql.RESOLVE_SQL + [c for c in ql.EXPORT_SQL if c not in ql.RESOLVE_SQL] + [_SOIL_SQL] + ql.WEATHER_SQL
+             + [ql._WX_SQL, ql._PROFILE_SQL, market, reg, f"vegetation AS ({veg})"])
+    loc = location
+    return with_fx("locations_raw", "pin_directory", "soil_values", "weather_daily", "mandi_prices", extra=extra) + f"""
+SELECT p.* EXCLUDE (data_sources), m.market, r.regional_crops, g.vegetation_activity, g.vegetation_score, b.crop AS best_export, b.export_score,
+       concat_ws('; ', '{loc.SOURCE_GEO}', '{loc.SOURCE_SOIL}', CASE WHEN w.avg_temp_c IS NOT NULL THEN '{loc.SOURCE_WEATHER}' END,
+                 CASE WHEN m.market IS NOT NULL THEN '{loc.SOURCE_MARKET}' END, CASE WHEN r.regional_crops IS NOT NULL THEN '{loc.SOURCE_REGIONAL}' END,
+                 CASE WHEN g.vegetation_score IS NOT NULL THEN '{loc.SOURCE_VEGETATION}' END, CASE WHEN b.crop IS NOT NULL THEN '{loc.SOURCE_EXPORT}' END) AS data_sources,
+       concat_ws('; ', CASE WHEN COALESCE(s.source, 'defaults') = 'defaults' THEN '{loc.WARN_SOIL}' END,
+                 CASE WHEN w.avg_temp_c IS NULL THEN '{loc.WARN_WEATHER}' END) AS warnings
+FROM profile p JOIN resolved v USING (location_id) LEFT JOIN soil s USING (location_id) LEFT JOIN wxn w USING (location_id)
+LEFT JOIN market m ON m.state = v.state LEFT JOIN reg r USING (location_id) LEFT JOIN vegetation g USING (location_id)
+LEFT JOIN (SELECT * FROM ranked_exports WHERE rank = 1 AND export_score <> 0) b USING (location_id)"""
+
+
+@register("location_profile_full", sql=_full_sql())
+def q_location_profile_full(spark, sf_dir):
+    resolved = ql._resolved(spark, sf_dir).where(F.col("error").isNull())
+    soil = location.soil_record(location.parse_soil(fixtures.soil_payloads(spark, sf_dir)))
+    market = location.market_by_state(fixtures.mandi_prices(spark, sf_dir), dims.DEFAULT_TARGET_CROPS)
+    best = ql.q_export_best(spark, sf_dir)
+    return location.location_profile_full(resolved, ql._profile(spark, sf_dir), soil, market, ql.q_regional_crops(spark, sf_dir),
+                                          payloads.vegetation_score(vegetation_payloads(spark, sf_dir)), best)
