@@ -173,3 +173,30 @@ def baseline_accuracy(samples: DataFrame, keys: list[str]) -> DataFrame:
         .alias("top1_accuracy"),
         F.round(F.sum("_h") / F.sum(F.when(F.col("rank") == 1, 1.0)), 4).alias("top3_accuracy"),
         F.sum(F.when(F.col("rank") == 1, 1)).cast("bigint").alias("total_samples"))
+
+
+def scored_requests(samples: DataFrame, keys: list[str], k: int = 3, version: str = "rules-1") -> DataFrame:
+    """One nested row a request: the top-k crops with probability and yield, the per-feature
+    terms of the best crop, the model's version, and a checksum of the result's text."""
+    x = _prep(samples, keys)
+    t = x.withColumn("_t", _ranked_udf(k)(*[F.col(f"_rf{j}") for j in range(7)]))
+    total = F.aggregate("_t.score", lit_d(0.0), lambda a, v: a + v)
+    t = t.withColumn("_n", F.when(total == 0, lit_d(1.0)).otherwise(total))
+    crops = F.zip_with("_t.idx", "_t.score", lambda i, s: F.struct(
+        _crop_at(i).alias("crop"), F.round(s / F.col("_n"), 4).alias("probability"), _yield_at(i).alias("expected_yield_kg_ha")))
+    t = t.withColumn("top", crops)
+    text = F.array_join(F.transform("top", lambda c: F.concat_ws(":", c["crop"], F.format_string("%.4f", c["probability"]), c["expected_yield_kg_ha"].cast("bigint"))), "|")
+    best = F.get("_t.idx", F.lit(0))
+    terms = [F.struct(F.lit(name).alias("feature"), F.round(_term_at(F.col(f"_rf{j}"), best, j), 4).alias("contribution")) for j, name in enumerate(RULE_FEATURES)]
+    return t.select(*keys, "top", F.array(*terms).alias("explanation"), F.lit(version).alias("model_version"), text.alias("result"),
+                    F.sha2(F.concat_ws("|", F.lit(version), text), 256).alias("checksum"))
+
+
+def _term_at(v, rule, j: int):
+    """Term of feature ``j`` of the rule at an index, as ``term_matrix`` has it."""
+    lo = F.element_at(F.array(*[lit_d(r[j]) for r in _LO]), rule + 1)
+    hi = F.element_at(F.array(*[lit_d(r[j]) for r in _HI]), rule + 1)
+    one, zero = lit_d(1.0), lit_d(0.0)
+    return (F.when(v.isNull(), zero).when((v >= lo) & (v <= hi), one)
+            .when(v < lo, F.greatest(zero, one - (lo - v) / F.greatest(lo, one)))
+            .otherwise(F.greatest(zero, one - (v - hi) / F.greatest(hi, one))))

@@ -92,3 +92,18 @@ FROM topk JOIN crop_avg_yield y USING (crop)"""
 
 for _k in (1, 5, 22):
     register(f"rule_top{_k}", sql=_topk_sql(_k))(lambda spark, sf_dir, k=_k: rules.rule_top(samples(spark, sf_dir), KEYS, k))
+
+
+_TERMS = " || '|' || ".join(f"'{c}=' || printf('%.4f', {rsql(_term_sql('s.' + c, 'c.' + p + '_lo', 'c.' + p + '_hi'), 4)})" for c, p in _FEATS)
+
+
+@register("scored_requests", sql=with_fx("soil_samples", extra=[*SCORED_CTES, f"""res AS (
+  SELECT rid, string_agg(crop || ':' || printf('%.4f', {rsql(f"score / CASE WHEN tot = 0 THEN {d(1.0)} ELSE tot END", 4)}) || ':' || CAST(CAST(kg_ha AS BIGINT) AS VARCHAR), '|' ORDER BY rk) AS result
+  FROM top3 JOIN crop_avg_yield y USING (crop) GROUP BY rid
+)"""]) + f"""
+SELECT s.row_uid, r.result, {_TERMS} AS explained, 'rules-1' AS model_version, sha256('rules-1|' || r.result) AS checksum
+FROM ranked s JOIN crop_rule c ON c.rule_idx = s.rule_idx JOIN res r USING (rid) WHERE s.rk = 1""")
+def q_scored_requests(spark, sf_dir):
+    t = rules.scored_requests(samples(spark, sf_dir), ["row_uid"])
+    terms = F.transform("explanation", lambda e: F.concat(e["feature"], F.lit("="), F.format_string("%.4f", e["contribution"])))
+    return t.select("row_uid", "result", F.array_join(terms, "|").alias("explained"), "model_version", "checksum")
