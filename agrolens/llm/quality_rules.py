@@ -205,7 +205,7 @@ def verdict_udf(forest: Forest | None, threshold: float):
 def quality_rules(docs: DataFrame, forest: Forest | None, threshold: float = 0.5) -> DataFrame:
     """One row a document: the base counts, the base verdict, the score and ``kept``."""
     judged = docs.select("doc_id", verdict_udf(forest, threshold)(F.col("text")).alias("v"))
-    return judged.select("doc_id", "v.*")
+    return judged.select("doc_id", *[f"v.{c}" for c in (*BASE.fieldNames(), "base_failed", "kept", "score")])
 
 
 def keep_good(docs: DataFrame, forest: Forest | None, threshold: float = 0.5) -> DataFrame:
