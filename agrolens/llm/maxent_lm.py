@@ -15,7 +15,8 @@ counts back, so that no table of all words is ever in one place; (3) rounds
 of training, each over its share of the chunks: tasks run gradient steps from
 the round's weights and send their change in blocks, which are averaged by
 tokens; (4) chunks are scored.  What is kept on the driver is the weights,
-whose size is a parameter.
+whose size has a parameter as its least and grows with the roots of the
+corpus' tokens and distinct words.
 
 Defined results: a null text is empty; an empty text is one end token; a null
 id hashes as an empty text; repeated rows are trained on and scored each for
@@ -25,9 +26,10 @@ ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import zstandard
@@ -41,15 +43,19 @@ from agrolens.llm.common import arrow_map, documents, query, slices, stored
 
 @dataclass(frozen=True)
 class Shape:
-    """Sizes of the model.  ``chunk`` is the text bytes that share a dictionary."""
+    """Sizes of the model.  ``chunk`` is the text bytes that share a dictionary.
 
-    head: int = 512
+    ``head``, ``bins``, ``rows`` and ``word_rows`` are what a small corpus has;
+    ``fitted`` raises them with the corpus.
+    """
+
+    head: int = 1024
     width: int = 32  # words a head class
-    bins: int = 16  # count classes
+    bins: int = 24  # count classes
     rows: int = 1 << 14  # hashed features of the class softmax
     word_rows: int = 1 << 13  # hashed features of the word softmaxes
     rounds: int = 4
-    batch: int = 16384
+    batch: int = 8192
     rate: float = 0.1
     chunk: int = 16 << 20
     blocks: int = 32
@@ -58,6 +64,20 @@ class Shape:
     def classes(self) -> int:
         return self.head // self.width + self.bins
 
+    def fitted(self, total: int, distinct: int) -> Shape:
+        """The sizes for ``total`` training tokens of ``distinct`` words.
+
+        Each power of two that a count can reach is a class of its own; head
+        words grow with the root of the distinct words, and hashed features
+        with the root of the tokens, so that weights stay small on the driver.
+        """
+        head = math.isqrt(max(distinct, 1) - 1) + 1
+        grown = 1 << (math.isqrt(max(total, 1) - 1)).bit_length()
+        return replace(
+            self, head=max(self.head, -(-head // self.width) * self.width), bins=max(self.bins, total.bit_length()),
+            rows=max(self.rows, grown), word_rows=max(self.word_rows, grown // 2),
+        )
+
 
 def _pack(a: np.ndarray) -> bytes:
     return zstandard.compress(a.tobytes(), 1)
@@ -244,6 +264,7 @@ def encoded(docs: DataFrame, shape: Shape) -> tuple[DataFrame, int, int, np.ndar
     counted = stored(counted.select("chunk", "local", F.hash("word").alias("hash"), "c", F.when(F.col("first"), F.col("word")).alias("word")), "lm-counted")
     seen = counted.where("word IS NOT NULL AND c > 0")
     total, distinct = seen.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    shape = shape.fitted(int(total), int(distinct))
     head = [r.word for r in seen.orderBy(F.desc("c"), "word").limit(shape.head).collect()]
     rank = docs.sparkSession.createDataFrame([(bytes(w), i) for i, w in enumerate(head)], "word binary, head int")
     heads = words.select("chunk", "local", "word").join(F.broadcast(rank), "word").select("chunk", "local", "head")
@@ -341,7 +362,7 @@ def score(chunks: DataFrame, weights: Weights, total: int, distinct: int, mass:
 def lm_score(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """Train on the folds that are not held out, score all documents."""
     chunks, total, distinct, mass = encoded(docs, shape)
-    return score(chunks, train(chunks, shape), total, distinct, mass)
+    return score(chunks, train(chunks, shape.fitted(total, distinct)), total, distinct, mass)
 
 
 @query("op8_maxent_lm")

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from llm_frames import frame
 
 import corpus_pipeline
 from agrolens.llm import chat_format, decontaminate, maxent_lm, simhash
@@ -120,6 +121,20 @@ def test_lm_beats_unigrams_on_held_out(spark):
     assert r.s > r.b
 
 
+def test_lm_sizes_follow_the_corpus(spark):
+    ids = [i for i in range(400) if not maxent_lm.held_out(i)][:64]
+    counts = {f"w{i}": 64 for i in range(1500)} | {"few": 5, "more": 33}  # in 64 texts; ends of text are one more word
+    rows = [(d, " ".join(w for w, n in counts.items() if k < n)) for k, d in enumerate(ids)]
+    chunks, total, distinct, mass = maxent_lm.encoded(frame(spark, rows), maxent_lm.Shape())
+    heads = np.concatenate([maxent_lm._unpack(bytes(r.heads), np.int32) for r in chunks.collect()])
+    assert heads.max() == 1023 and distinct == 1503
+    # Counts of 5 and 33 stay apart though only two classes were asked for; no count is beyond the last class.
+    _, total, _, mass = maxent_lm.encoded(frame(spark, rows), maxent_lm.Shape(head=32, bins=2))
+    assert mass[2] == 5.5 and mass[5] == 33.5 and len(mass) == total.bit_length()
+    far = maxent_lm.Shape().fitted(6 << 30, 1 << 24)
+    assert far.bins == 33 and far.head == 4096 and far.rows == 1 << 17 and far.word_rows == 1 << 16
+
+
 def test_lm_probabilities_sum_to_at_most_one():
     shape = SMALL
     rnd = np.random.default_rng(3)
