@@ -2,8 +2,10 @@
 
 The three base patterns are matched over whole texts.  The method then looks
 at long strings that follow a sensitive word: the bytes that such a string
-adds to a zstandard frame primed with the code around it and a dictionary of
-usual identifiers.  A string that neither predicts is novel and is reported.
+adds to a zstandard frame primed with the code around it (less other
+occurrences of the string) and a dictionary of usual identifiers.  A string
+that neither predicts is novel and is reported: it takes the bytes that random
+characters of its alphabet would, or more.
 
 Defined results: a null text is empty; empty texts have no spans; repeated
 rows are scanned each for itself; other columns are ignored.  Spans are in
@@ -13,6 +15,7 @@ code points, end exclusive.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import pandas as pd
@@ -30,6 +33,8 @@ client_secret username default placeholder undefined null none true false localh
 getenv process.env request response session cookie authorization bearer credentials certificate configuration
 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 1234567890 0000000000 xxxxxxxxxxxxxxxx
 your_token_here your-api-key-here insert_key_here application/json https://www.example.com/index.html"""
+#: Bytes of a frame that holds a single match.
+MATCH_BYTES = 8
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -62,8 +67,19 @@ def novelty(candidate: str, around: str, identifiers: str = IDENTIFIERS) -> floa
     return (len(press.compress(raw)) - len(press.compress(b""))) / len(raw)
 
 
-def novel_spans(text: str, around: int = 2048, least: float = 0.75) -> list[tuple[int, int, int]]:
-    """Strings after a sensitive word that mix letters and digits and do not compress."""
+def entropy(word: str) -> float:
+    """Bytes a character that random characters of the string's alphabet hold."""
+    if re.fullmatch("[0-9]+", word):
+        n = 10
+    elif re.fullmatch("[0-9a-f]+|[0-9A-F]+", word):
+        n = 16
+    else:
+        n = sum(k for k, kind in ((10, "[0-9]"), (26, "[a-z]"), (26, "[A-Z]"), (5, "[^0-9A-Za-z]")) if re.search(kind, word))
+    return math.log2(n) / 8
+
+
+def novel_spans(text: str, around: int = 2048, least: float = 1.0) -> list[tuple[int, int, int]]:
+    """Strings after a sensitive word that do not compress below ``least`` of their alphabet's entropy."""
     low = text.lower()
     if not any(k in low for k in _CONTEXT):
         return []
@@ -71,10 +87,12 @@ def novel_spans(text: str, around: int = 2048, least: float = 0.75) -> list[tupl
     for m in _NEAR.finditer(text):
         s, e = m.span(1)
         word = m[1]
-        if sum(c.isdigit() for c in word) < 3 or not any(c.isalpha() for c in word):
-            continue
-        near = text[max(0, s - around):s] + "\n" + text[e:e + around]
-        if novelty(word, near) >= least:
+        # Its copies say nothing about it; wider by a copy, so that none is cut at the edge.
+        core = max(word.strip("+/_=-"), word[:MATCH_BYTES], key=len)  # a key's padding may be left out elsewhere
+        before = text[max(0, s - around - len(word)):s].replace(core, "\n")[-around:]
+        after = text[e:e + around + len(word)].replace(core, "\n")[:around]
+        # One match costs a frame MATCH_BYTES, however well it predicts.
+        if novelty(word, before + "\n" + after) > max(least * entropy(word), MATCH_BYTES / len(word)):
             found.append((s, 3, e))
     return found
 

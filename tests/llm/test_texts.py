@@ -113,6 +113,26 @@ def test_secret_novelty_and_mask(spark, edges):
     assert out.columns == edges.columns and out.count() == edges.count()
 
 
+def test_secret_novelty_of_every_candidate():
+    def novel(text):
+        return [text[s:e] for s, _, e in secret_scan.novel_spans(text)]
+
+    rnd = random.Random(4)
+    aws = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    assert novel(f"aws_secret_access_key = {aws}\n") == [aws]
+    kinds = ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEF", "0123456789abcdef", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+    for kind in kinds:
+        for n in (16, 20, 24, 40, 64, 128):
+            for _ in range(20):
+                key = "".join(rnd.choice(kind) for _ in range(n))
+                assert novel(f'x = 1\nprivate_key = "{key}"\n') == [key]
+                for gap in (5, 2048 - n // 2):  # a copy nearby, and one across the window's edge
+                    twice = f'private_key = "{key}"' + "\n" * gap + f'private_key = "{key}"\n'
+                    assert novel(twice) == [key, key] and key not in secret_scan.mask(twice)
+    for usual in ("=" * 16, "0" * 16, "x" * 30, "client_secret_name_placeholder_01234", "abcdefghijklmnop"):
+        assert novel(f"token: {usual}\n") == []
+
+
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(VOCABULARY)
