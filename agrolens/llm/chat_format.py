@@ -1,11 +1,13 @@
 """Chat formatting in budgeted windows.
 
-Each turn's tokens are counted; prefix sums over a conversation, in two
-levels so that a long one is not one task's work, cut it into spans of whole
-turns.  A window holds the system turn, as much of the turns just before its
-span as the history allowance covers, and the span.  Only the span's
-assistant texts are under the loss mask: what a window repeats is masked, so
-each assistant text is learned once.
+Each turn's tokens are counted as it is formatted; prefix sums over a
+conversation, in two levels so that a long one is not one task's work, cut it
+into stretches, and each stretch is packed into spans of whole turns: a span
+is closed before the turn that would exceed its room.  A window holds the
+system turn, as much of the turns just before its span as the history
+allowance covers, and the span, and its formatted text has at most the
+budget's tokens.  Only the span's assistant texts are under the loss mask:
+what a window repeats is masked, so each assistant text is learned once.
 
 The template marks turns with control strings.  Inside texts and roles each
 ``<``, ``[`` and backslash is followed by a backslash, which breaks every
@@ -13,27 +15,32 @@ control string and is undone by dropping it.
 
 Defined results: a null text or role is empty; turns are ordered by turn
 (nulls first), role and text, so ties and repeated rows have a place; rows
-with a null conv_id are one conversation; a turn above the budget is a window
-of its own and is never cut; other columns are ignored; an empty table gives
-an empty table.
+with a null conv_id are one conversation; ``window`` is the number of turns
+before the span; a turn above the room is a span of its own and is never cut,
+with the history that still fits, and without the system turn if that does not
+fit, so only a turn that alone exceeds the budget makes a window above it; other
+columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agrolens.llm import bpe
-from agrolens.llm.common import query, stored
+from agrolens.llm.common import arrow_map, query, stored
 
 #: role: (opening, closing) control strings; other roles get both marks of ``OTHER``.
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
 OTHER = ("[ROLE]", "[/ROLE]", "[TURN]", "[/TURN]")
-#: Tokens that a turn's marks are counted as.
-MARK_TOKENS = 8
+#: Rooms of a stretch, which one task packs in a row; only its last span is closed early.
+STRETCH = 64
 
 
 def escaped(c: Column) -> Column:
@@ -56,6 +63,40 @@ def count_tokens(path: str | None):
     return run
 
 
+def turn_tokens(path: str | None, role: Column, text: Column) -> Column:
+    """Tokens that a turn adds to a formatted window, at most.
+
+    The signs that a turn begins and ends with may share pre-tokens with its
+    neighbours' and count as a token a byte.  Next to them are letters, where
+    a pre-token ends in any context, so the rest counts the same as in the whole.
+    """
+    p = _part(role, text, F.lit(True))
+    whole = F.concat(p["open"], p["body"], p["close"])
+    core = F.regexp_replace(whole, r"\A[<\[]+|[>\]]+\z", "")
+    return count_tokens(path)(core) + (F.length(whole) - F.length(core)).cast("long")
+
+
+def _packed(met: DataFrame) -> DataFrame:
+    """Adds ``window``: a stretch's turns in order, in spans that sum to ``room`` at most or are one turn."""
+    rows = met.withColumn("stretch", F.floor((F.col("upto") - F.col("tokens")) / (F.col("room") * STRETCH)))
+    rows = rows.repartition("conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", "place")
+    schema = T.StructType([*rows.schema.fields, T.StructField("window", T.LongType())])
+
+    def run(batches):
+        of, window, held = None, 0, 0
+        for b in batches:
+            cols = {n: b.column(n) for n in b.schema.names}
+            at = []
+            for *key, place, tokens, room in zip(*(cols[n].to_pylist() for n in ("conv_id", "stretch", "place", "tokens", "room"))):
+                if key != of or held + tokens > room:
+                    of, window, held = key, place - 1, 0
+                held += tokens
+                at.append(window)
+            yield cols | {"window": pa.array(at, pa.int64())}
+
+    return arrow_map(rows, run, schema).drop("stretch")
+
+
 def _prefixes(turns: DataFrame, block: int) -> DataFrame:
     """Adds ``upto``, the tokens of a conversation up to and with a turn, and ``place``, its rank.
 
@@ -78,29 +119,29 @@ def windows(conversations: DataFrame, path: str | None = None, budget: int = 102
     Spans are of code points in ``formatted``, end exclusive.
     """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("tokens", count_tokens(path)("text") + MARK_TOKENS)
+    rows = rows.withColumn("tokens", turn_tokens(path, F.col("role"), F.col("text")))
     turns = stored(_prefixes(stored(rows, "chat-tokens"), block), "chat-prefixes")
-    # The first turn is the system turn if its role says so; it is counted in every window.
+    # The first turn is the system turn if its role says so; it is counted in every window, unless none can hold it.
     system = turns.where("place = 1 AND role = 'system'").select(F.col("conv_id").alias("s"), F.struct("place", "role", "text").alias("system"), F.col("tokens").alias("fixed"))
     met = turns.join(system, turns.conv_id.eqNullSafe(F.col("s")), "left").drop("s")
-    room = F.greatest(F.lit(budget - history) - F.coalesce("fixed", F.lit(0)), F.lit(1))
-    met = met.withColumn("room", room).withColumn("window", F.floor((F.col("upto") - F.col("tokens")) / F.col("room")))
-    met = stored(met, "chat-turns")  # read four times below; tokens are counted once
+    met = met.withColumn("fixed", F.coalesce("fixed", F.lit(0).cast("long")))
+    room = F.lit(budget - history) - F.when(F.col("fixed") < budget, F.col("fixed")).otherwise(0)
+    met = stored(_packed(met.withColumn("room", F.greatest(room, F.lit(1)))), "chat-turns")  # read four times below; tokens are counted once
+    # The system turn and the history get what the span leaves of the budget.
+    spent = met.groupBy("conv_id", "window").agg(F.min(F.col("upto") - F.col("tokens")).alias("start"), (F.lit(budget) - F.sum("tokens") - F.first("fixed")).alias("left"))
     turn = F.struct("place", "role", "text")
-    own = met.select("conv_id", "window", "system", turn.alias("t"), F.lit(True).alias("own"))
-    # A span starts with the first turn that begins in it.  Turns before it repeat while their tokens fit the allowance.
-    spans = met.groupBy("conv_id", "window").agg(F.min(F.col("upto") - F.col("tokens")).alias("start"))
-    order = Window.partitionBy("conv_id").orderBy("window")
-    spans = spans.withColumn("previous", F.lag("start").over(order)).where("previous IS NOT NULL")
-    spans = spans.select(F.col("conv_id").alias("v"), F.col("window").alias("next"), "start", F.floor((F.col("start") - history) / F.lit(1)).alias("oldest"))
+    own = met.select("conv_id", "window", "system", "fixed", "tokens", turn.alias("t"), F.lit(True).alias("own"))
+    # Turns before a span repeat while their tokens fit the allowance.
+    spans = spent.where("window > 0 AND left > 0").select(F.col("conv_id").alias("v"), F.col("window").alias("next"), "start", (F.col("start") - F.least("left", F.lit(history))).alias("oldest"))
     # Turns of one token or more: at most ``history`` of them fit, so a turn repeats in a bounded number of windows.
     buckets = F.sequence(F.floor(F.col("oldest") / budget), F.floor(F.col("start") / budget))
     asks = spans.withColumn("bucket", F.explode(buckets))
     gives = met.where("NOT (place = 1 AND role = 'system')").withColumn("begin", F.col("upto") - F.col("tokens")).withColumn("bucket", F.floor(F.col("begin") / budget))
     repeats = gives.join(asks, gives.conv_id.eqNullSafe(asks.v) & (gives.bucket == asks.bucket) & (F.col("begin") >= F.col("oldest")) & (F.col("upto") <= F.col("start")))
-    repeated = repeats.select("conv_id", F.col("next").alias("window"), "system", turn.alias("t"), F.lit(False).alias("own"))
+    repeated = repeats.select("conv_id", F.col("next").alias("window"), "system", "fixed", "tokens", turn.alias("t"), F.lit(False).alias("own"))
     both = own.unionByName(repeated)
-    grouped = both.groupBy("conv_id", "window").agg(F.first("system", True).alias("system"), F.sort_array(F.collect_list(F.struct("t", "own"))).alias("turns"))
+    fits = F.sum(F.when(F.col("own"), F.col("tokens"))) + F.first("fixed") <= budget
+    grouped = both.groupBy("conv_id", "window").agg(F.when(fits, F.first("system", True)).alias("system"), F.sort_array(F.collect_list(F.struct("t", "own"))).alias("turns"))
     head = F.when(F.col("system").isNotNull() & (F.col("turns")[0]["t"]["place"] > 1), F.array(F.struct(F.col("system").alias("t"), F.lit(False).alias("own")))).otherwise(F.array().cast(grouped.schema["turns"].dataType))
     grouped = grouped.withColumn("turns", F.concat(head, "turns"))
     parts = F.transform("turns", lambda x: _part(x["t"]["role"], x["t"]["text"], x["own"]))

@@ -10,11 +10,13 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import tiktoken
 import xxhash
 from llm_frames import frame
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from agrolens.llm import chat_format, decontaminate, maxent_lm, simhash
+from agrolens.llm import bpe, chat_format, decontaminate, maxent_lm, simhash
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 SMALL = maxent_lm.Shape(head=64, width=8, bins=6, rows=1 << 10, word_rows=1 << 9, rounds=2, batch=512, chunk=1 << 16)
@@ -242,6 +244,30 @@ def test_chat_windows_repeat_system_and_history(spark):
     assert sum(len(r.loss_spans) for r in made) == 10
 
 
+@pytest.mark.parametrize("budget,history", [(1024, 256), (120, 60), (40, 0)])
+def test_chat_windows_keep_the_budget(spark, budget, history):
+    rnd = random.Random(8)
+    core = tiktoken.Encoding("byte-level", pat_str=bpe.PATTERN, mergeable_ranks=bpe.vocabulary(VOCABULARY)[0], special_tokens={})
+
+    def size(text):
+        return len(core.encode_ordinary(text))
+
+    rows = []
+    for c in range(12):
+        for t in range(60):
+            text = "".join(rnd.choice(["word ", "<<[", "\\", "]>>", "'s", "x", " 12", "\n", "é"]) for _ in range(rnd.choice([0, 3, 20, 60, 400 if c % 3 else 1500])))
+            rows.append((c, t, "system" if t == 0 and c % 2 else rnd.choice(["user", "assistant", "a very long role [x] " * 6, "'", ""]), text))
+    talks = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(3)
+    made = chat_format.windows(talks, VOCABULARY, budget, history).withColumn("turns", chat_format.read_back(F.col("formatted"))).collect()
+    tight = 0
+    for r in made:
+        alone = len(r.turns) == 1 and r.n_repeated == 0
+        assert size(r.formatted) <= budget or alone, (r.conv_id, r.window)
+        tight += size(r.formatted) > 0.6 * budget
+    assert tight > len(made) / 4 and sum(len(r.turns) - r.n_repeated for r in made) == len(rows)
+    assert Counter(tuple(r)[:5] for r in chat_format.digests(chat_format.windows(talks, VOCABULARY, budget, history)).collect()) == Counter(plain_chat(rows))
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "benchmark_decontamination", "secret_scans", "bpe_encoding"]
