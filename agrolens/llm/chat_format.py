@@ -184,18 +184,43 @@ def read_back(formatted: Column) -> Column:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """Per conversation, read back from its windows: turns, text under the loss mask, and sizes."""
+    """Per conversation, read back from its windows: turns, text under the loss mask, and sizes.
+
+    A digest of a whole conversation is taken in its order, so one task reads
+    a conversation's windows; it holds a batch of them and two hash states.
+    """
     back = F.slice(read_back(F.col("formatted")), F.col("n_repeated") + 1, F.greatest(F.size(read_back(F.col("formatted"))), F.lit(1)))
     lost = F.transform("loss_spans", lambda s: unescaped(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
-    rows = formatted.select("conv_id", "window", F.length("formatted").alias("chars"), back.alias("turns"), lost.alias("lost"))
+    rows = formatted.select("conv_id", "window", F.length("formatted").alias("chars"), back.alias("turns"), F.array_join(lost, "").alias("lost"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    rows = rows.select("conv_id", F.struct("window", whole.alias("whole"), F.array_join("lost", "").alias("lost")).alias("w"), F.size("turns").alias("n"), "chars")
-    got = rows.groupBy("conv_id").agg(F.sum("n").cast("long").alias("n_turns"), F.sort_array(F.collect_list("w")).alias("w"), F.sum("chars").cast("long").alias("formatted_chars"))
-    loss = F.array_join(F.transform("w", lambda w: w["lost"]), "")
-    return got.select(
-        "conv_id", "n_turns", F.sha2(F.array_join(F.transform("w", lambda w: w["whole"]), ""), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
-    )
+    rows = rows.select("conv_id", "window", F.size("turns").cast("long").alias("n"), whole.cast("binary").alias("whole"), F.length("lost").cast("long").alias("k"), F.col("lost").cast("binary").alias("lost"), F.col("chars").cast("long").alias("chars"))
+    names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    kinds = (rows.schema["conv_id"].dataType, T.LongType(), T.StringType(), T.LongType(), T.StringType(), T.LongType())
+
+    def run(batches):
+        of, sums, hashes = None, [0, 0, 0], ()
+
+        def done() -> tuple:
+            n, k, chars = sums
+            return of[0], n, hashes[0].hexdigest(), k, hashes[1].hexdigest(), chars
+
+        for b in batches:
+            ready = []
+            for i in range(b.num_rows):
+                conv, _, n, whole, k, lost, chars = (b.column(j)[i].as_py() for j in range(b.num_columns))
+                if of is None or of[0] != conv:
+                    if of is not None:
+                        ready.append(done())
+                    of, sums, hashes = (conv,), [0, 0, 0], (hashlib.sha256(), hashlib.sha256())
+                hashes[0].update(whole)
+                hashes[1].update(lost)
+                sums = [x + y for x, y in zip(sums, (n, k, chars))]
+            if ready:
+                yield dict(zip(names, zip(*ready)))
+        if of is not None:
+            yield dict(zip(names, zip(done())))
+
+    return arrow_map(rows.repartition("conv_id").sortWithinPartitions("conv_id", "window"), run, T.StructType([T.StructField(a, b) for a, b in zip(names, kinds)]))
 
 
 @query("op6_chat_format")

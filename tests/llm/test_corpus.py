@@ -268,6 +268,22 @@ def test_chat_windows_keep_the_budget(spark, budget, history):
     assert Counter(tuple(r)[:5] for r in chat_format.digests(chat_format.windows(talks, VOCABULARY, budget, history)).collect()) == Counter(plain_chat(rows))
 
 
+def test_chat_digests_gather_no_conversation(spark):
+    # One conversation's windows in batches of two rows: the states go on from batch to batch.
+    rows = [(c, t, "assistant" if t % 2 else "user", f"turn {t} é" * (t % 7)) for c, n in ((None, 120), (1, 3), (2, 1)) for t in range(n)]
+    talks = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(3)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        made = chat_format.digests(chat_format.windows(talks, VOCABULARY, 40, 0))
+        assert Counter(tuple(r)[:5] for r in made.collect()) == Counter(plain_chat(rows))
+        windows = spark.createDataFrame([(1, 0, "<s>a</s>", 0, [(3, 4)])], "conv_id long, window long, formatted string, n_repeated int, loss_spans array<struct<start:bigint,end:bigint>>")
+        plan = chat_format.digests(windows)._jdf.queryExecution().toString()
+        assert "collect_list" not in plan and "MapInArrow" in plan
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "benchmark_decontamination", "secret_scans", "bpe_encoding"]
