@@ -4,8 +4,7 @@ Terms are the benchmark's words.  One job counts, over all passages of all
 documents, how many hold each term; a second multiplies the TF-IDF matrix of
 passages, and its transpose, onto a random test matrix, and sums the small
 product; a randomised SVD of it (Nystroem form) gives the latent axes, the
-index's fitted part (on about ``fit_docs`` documents, chosen by a hash of
-their text; the counts, the folding-in and the search cover all).  In the third job every document is folded in: prefix sums of its words'
+index's fitted part, over all documents.  In the third job every document is folded in: prefix sums of its words'
 latent vectors give windows of each item's length, windows whose cosine with
 an item reaches ``cosine`` are candidates, and a candidate's words are held
 against the item's: their longest common subsequence covers ``copied`` of the
@@ -57,7 +56,6 @@ class Rule:
     answered: float = 0.8
     least_words: int = 8
     block: int = 2000
-    fit_docs: int = 50_000  # documents that the latent axes are fitted on, at most about; counts cover all
     seed: int = 42
 
 
@@ -309,15 +307,13 @@ class Searcher:
 def searchers(docs: DataFrame, benchmark: DataFrame, rule: Rule) -> list[Searcher]:
     """One searcher a block of items."""
     out, held = [], []
-    share = -(-docs.count() // rule.fit_docs)
-    fit = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(1, share))) == 0)
 
     def close():
         bench = Benchmark(held, rule)
         if bench.items:
             df, passages = _frequencies(docs, bench)
             idf = np.log((passages + 1) / (df + 1)) + 1e-3
-            out.append(Searcher(bench, _axes(fit, bench, idf, rule) * idf[:, None], rule))
+            out.append(Searcher(bench, _axes(docs, bench, idf, rule) * idf[:, None], rule))
 
     for r in benchmark.where("text IS NOT NULL").select("item_id", "text").toLocalIterator():
         held.append((r.item_id, r.text))

@@ -205,6 +205,15 @@ def test_decontaminate_recall_against_five_grams(spark):
     assert truth and truth <= got
 
 
+def test_decontaminate_fits_all_documents(spark, monkeypatch):
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    rows, axes = [], decontaminate._axes
+    monkeypatch.setattr(decontaminate, "_axes", lambda fit, *rest: rows.append(fit.count()) or axes(fit, *rest))
+    decontaminate.searchers(docs, bench, decontaminate.Rule())
+    assert rows == [60_000]
+
+
 def plain_chat(rows):
     talks = defaultdict(list)
     for c, t, r, x in rows:
