@@ -25,8 +25,9 @@ number of pieces of each length, ``capacity`` counts at most.  So
    (at most ``runs_bound``).
 
 Encoding goes by words: no token crosses ASCII white space, neither does any
-step of the tokenizer, so each distinct word is encoded by the library once a task
-(up to ``HELD`` of them) and a text is the words' ids joined.
+step of the tokenizer, so a text is its words' ids joined.  Where all characters are
+ASCII or Latin-1 letters, the tokenizer's parts of a word are cut out directly.  A task keeps the
+ids of what it has met, up to ``HELD`` of them.
 
 Defined results: a null text is empty and has only the closing id; repeated rows
 are each packed; a null id stays null; other columns are ignored; an empty table gives
@@ -35,6 +36,9 @@ an empty table.
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -47,39 +51,87 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from agrolens.llm.bpe import byte_alphabet
 from agrolens.llm.common import documents, fresh, query, quoted, slices, stored
 
-#: Words whose ids a task keeps; longer words than ``SHORT`` bytes are not kept.
+#: Parts and words whose ids a task keeps of each kind; longer ones than ``SHORT`` are not kept.
 HELD, SHORT = 400_000, 64
 
 Plan = dict[str, np.ndarray]
 
+#: Texts of these characters lower-case and split alike in every Unicode version and need no normalisation.
+PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+#: The vocabulary's own pattern over a lower-case word of those characters (a fixed value).
+PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^a-zß-öø-ÿ0-9]+")
 
-class Words:
-    """Encoder of one task: ids of a text as little-endian unsigned 32-bit integers."""
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Parts(dict):
+    """Ids of a plain part, as little-endian unsigned 32-bit integers: the library's merges over its bytes."""
+
+    def __init__(self, core):
+        self.merge = core.model.tokenize
+        self.alphabet = {byte: char for char, byte in byte_alphabet().items()}
+
+    def __missing__(self, text: str) -> bytes:
+        spelt = text if text.isascii() else text.encode().decode("latin-1").translate(self.alphabet)
+        ids = packed([t.id for t in self.merge(spelt)])
+        if len(text) <= SHORT:
+            self[text] = ids
+        return ids
+
+
+class PlainWords(dict):
+    """Ids of a lower-case plain word: those of its parts."""
+
+    def __init__(self, parts: Parts):
+        self.parts = parts
+
+    def __missing__(self, word: str) -> bytes:
+        cut = PARTS.findall(word)
+        ids = self.parts[word] if len(cut) == 1 else b"".join([self.parts[p] for p in cut])
+        if len(word) <= SHORT:
+            self[word] = ids
+        return ids
+
+
+class Words(dict):
+    """Ids of a word, by the library."""
+
+    def __init__(self, core):
+        self.core = core
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = packed(self.core.encode(word.decode(), add_special_tokens=False).ids)
+        if len(word) <= SHORT:
+            self[word] = ids
+        return ids
+
+
+class Encoder:
+    """Ids of a text, word by word."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
-        self.core = Tokenizer.from_str(spec)
-        self.core.no_truncation()
-        self.core.no_padding()
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.encode().split() if t else [] for t in texts]
-        if len(self.known) > HELD:
-            self.known = {}
-        new = [w for w in set().union(*split) if w not in self.known]
-        got = self.known
-        large: dict[bytes, bytes] = {}
-        for i in range(0, len(new), 1000):
-            part = new[i:i + 1000]
-            for w, e in zip(part, self.core.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                (got if len(w) <= SHORT else large)[w] = np.array(e.ids, "<u4").tobytes()
-        if large:
-            return [b"".join([large[w] if len(w) > SHORT else got[w] for w in x]) for x in split]
-        return [b"".join([got[w] for w in x]) for x in split]
+        core = Tokenizer.from_str(spec)
+        core.no_truncation()
+        core.no_padding()
+        self.parts, self.words = Parts(core), Words(core)
+        self.plain = PlainWords(self.parts)
+
+    def encode(self, text: str | None) -> bytes:
+        for held in (self.parts, self.plain, self.words):
+            if len(held) > HELD:
+                held.clear()
+        if not text:
+            return b""
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.plain.__getitem__, text.lower().split()))
+        return b"".join(map(self.words.__getitem__, text.encode().split()))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -91,14 +143,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) ->
     close, size = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
-        words = Words(share.value)
+        encoder = Encoder(share.value)
         for b in slices(batches):
             place, piece, ids = [], [], []
-            for i, got in enumerate(words.encode(b.column(1).to_pylist())):
-                got += close
+            for i, text in enumerate(b.column(1).to_pylist()):
+                got = encoder.encode(text) + close
                 for p in range(0, len(got), size):
                     place.append(i)
                     piece.append(p // size)

@@ -44,7 +44,7 @@ from agrolens.llm.common import arrow_map, documents, query, slices
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _byte_alphabet() -> dict[str, int]:
+def byte_alphabet() -> dict[str, int]:
     """Printable stand-ins of the 256 bytes in a byte-level vocabulary file."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
@@ -56,7 +56,7 @@ def vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    alphabet = _byte_alphabet()
+    alphabet = byte_alphabet()
     ranks = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
     merged = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
     order = [spec["model"]["vocab"][a + b] for a, b in merged]

@@ -197,11 +197,13 @@ def test_plan_of_many_items_is_small():
 def test_words_encode_like_whole_texts():
     rnd = random.Random(8)
     core = Tokenizer.from_file(WORD_BPE)
-    words = best_fit.Words(core.to_str())
+    encoder = best_fit.Encoder(core.to_str())
     alphabet = list("aAbÉéΣσς'sS'll ' 1٣²  \t\n\x0b\x0c\x1c\x85\xa0 　́̈e漢😀ＡİIıßſKÅ​\x00-.,<|>") + ["<|endoftext|>", "<|startoftext|>", "don't", "Word", "ΟΔΟΣ "]
     texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 30))) for _ in range(4000)] + ["x" * 3000, "ab " * 500]
-    for part in (texts[:2000], texts[2000:]):
-        got = words.encode(part)
+    latin = list("aBcÀéßÿÖ×÷ºª '0123.,<|>!\t\n_~") + ["'LL", "'s", "'re ", "don't"]
+    texts += ["".join(rnd.choice(latin) for _ in range(rnd.randint(0, 40))) for _ in range(4000)]
+    for part in (texts[:2000], texts[2000:6000], texts[6000:]):
+        got = [encoder.encode(t) for t in part]
         want = core.encode_batch(part, add_special_tokens=False)
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [w.ids for w in want]
 
