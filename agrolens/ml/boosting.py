@@ -75,6 +75,8 @@ class Booster:
     bin: np.ndarray = field(default=None)
     value: np.ndarray = field(default=None)
     cover: np.ndarray = field(default=None)
+    #: Groups of 0/1 features of which a row has at most one set (indicators of one column); a group is summed as one column.
+    exclusive: list[list[int]] = field(default_factory=list)
 
     def __post_init__(self):
         if self.feature is None:
@@ -112,7 +114,7 @@ class Booster:
         return np.stack([np.searchsorted(e, values[:, j], side="left") for j, e in enumerate(self.edges)], axis=1).astype(np.uint8)
 
     def arrays(self) -> dict:
-        return {k: getattr(self, k) for k in ("features", "edges", "params", "classes", "feature", "bin", "value", "cover")}
+        return {k: getattr(self, k) for k in ("features", "edges", "params", "classes", "feature", "bin", "value", "cover", "exclusive")}
 
 
 def softmax(margins: np.ndarray) -> np.ndarray:
@@ -123,8 +125,8 @@ def softmax(margins: np.ndarray) -> np.ndarray:
 def quantile_edges(df: DataFrame, cols: list[str], bins: int = BINS) -> list[np.ndarray]:
     """Distinct quantiles of each feature (one pass, mergeable sketches); a value above all is in the last bin."""
     probs = F.array(*[F.lit((i + 1) / bins) for i in range(bins - 1)])
-    row = df.agg(*[F.percentile_approx(F.col(f"`{c}`"), probs, 10_000).alias(f"q{j}") for j, c in enumerate(cols)]).first()
-    tops = df.agg(*[F.max(F.col(f"`{c}`")).alias(f"m{j}") for j, c in enumerate(cols)]).first()
+    got = df.agg(*[F.percentile_approx(F.col(f"`{c}`"), probs, 10_000).alias(f"q{j}") for j, c in enumerate(cols)], *[F.max(F.col(f"`{c}`")).alias(f"m{j}") for j, c in enumerate(cols)]).first()
+    row, tops = got[:len(cols)], got[len(cols):]
     out = []
     for j in range(len(cols)):
         e = np.unique(np.array(row[j] if row[j] is not None else [], np.float64))
@@ -190,17 +192,51 @@ def _leaf(s: np.ndarray, p: Params) -> float:
     return float(-np.sign(s[0]) * max(abs(s[0]) - p.alpha, 0.0) / (s[1] + p.lam) * p.rate)
 
 
-def _written(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
+    """The table, written to the shared folder and read back."""
     path = shared_dir(df.sparkSession, f"boost-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Columns:
+    """The columns that histograms sum over: each feature, or one for an exclusive group, side by side."""
+
+    def __init__(self, sizes: np.ndarray, exclusive: list[list[int]]):
+        self.sizes, self.groups = sizes, [g for g in exclusive if len(g) > 1 and all(sizes[f] == 2 for f in g)]
+        grouped = {f for g in self.groups for f in g}
+        self.single = [f for f in range(len(sizes)) if f not in grouped]
+        widths = np.array([*sizes[self.single], *[len(g) + 1 for g in self.groups]], np.int64)
+        self.at, self.width = np.cumsum(widths) - widths, int(widths.sum())
+        self.start = np.cumsum(sizes) - sizes
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """[row, column]: the slot of each row's bin; in a group, 0 where no feature is set."""
+        out = [x[:, self.single].astype(np.int64)]
+        for g in self.groups:
+            rows = x[:, g]
+            out.append(np.where(rows.any(1), rows.argmax(1) + 1, 0)[:, None])
+        return np.concatenate(out, axis=1) + self.at
+
+    def spread(self, sums: np.ndarray) -> np.ndarray:
+        """Sums by column slot [slot, 3] as sums by (feature, bin)."""
+        out = np.zeros((int(self.sizes.sum()), sums.shape[1]))
+        for f, at in zip(self.single, self.at):
+            out[self.start[f]:self.start[f] + self.sizes[f]] = sums[at:at + self.sizes[f]]
+        for g, at in zip(self.groups, self.at[len(self.single):]):
+            total = sums[at:at + len(g) + 1].sum(0)
+            for i, f in enumerate(g):
+                one = sums[at + 1 + i]
+                out[self.start[f]], out[self.start[f] + 1] = total - one, one
+        return out
+
+
 def _grow_level(rows: DataFrame, models: dict[int, tuple[Booster, int | None]], level: int, since: int) -> list:
     """Best splits of all nodes of a level, of all models."""
     some = next(iter(models.values()))[0]
     sizes = np.array([len(e) + 1 for e in some.edges])
-    offset, width, k_all = np.cumsum(sizes) - sizes, int(sizes.sum()), some.classes
+    columns, k_all = Columns(sizes, some.exclusive), some.classes
+    width = columns.width
     n_features, first, many = len(sizes), 2 ** level - 1, 2 ** level
     slots = list(models)
     everyone = max(slots) + 1
@@ -227,16 +263,16 @@ def _grow_level(rows: DataFrame, models: dict[int, tuple[Booster, int | None]],
                 grad[np.arange(len(xs)), ys] -= 1.0
                 hess = np.maximum(2.0 * prob * (1.0 - prob), 1e-16)
                 at = model.nodes(xs, r) - first
-                flat = xs.astype(np.int64) + offset
+                flat = columns.codes(xs)
                 for k in range(k_all):
                     live = at[:, k] >= 0
                     place = (flat[live] + (at[live, k] * width)[:, None]).ravel()
                     for c, weight in enumerate((grad[live, k], hess[live, k], None)):
-                        w = None if weight is None else np.repeat(weight, n_features)
+                        w = None if weight is None else np.repeat(weight, flat.shape[1])
                         sums[j][k, :, c] += np.bincount(place, w, many * width)
         part = TaskContext.get().partitionId()
         out = [(j, k, n, part, got[n * width:(n + 1) * width].tobytes()) for j, s in sums.items() for k in range(k_all) for n in range(many)
-               for got in (s[k],) if got[n * width:n * width + sizes[0], 2].any()]
+               for got in (s[k],) if got[n * width:(n + 1) * width, 2].any()]
         cols = list(zip(*out)) if out else [[]] * 5
         yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int32()) for c in cols[:4]], pa.array(cols[4], pa.binary())], names=["j", "k", "node", "part", "sums"])
 
@@ -246,7 +282,7 @@ def _grow_level(rows: DataFrame, models: dict[int, tuple[Booster, int | None]],
         def done():
             j, k, n = key
             model = models[j][0]
-            f, at, left, node = best_split(total, sizes, _columns(model, len(model.feature) - 1, k), model.params)
+            f, at, left, node = best_split(columns.spread(total), sizes, _columns(model, len(model.feature) - 1, k), model.params)
             out.append((j, k, n, f, at, [float(v) for v in (*left, *node)]))
 
         for b in batches:
@@ -288,7 +324,7 @@ def _refreshed(rows: DataFrame, models: dict[int, tuple[Booster, int | None]], s
                 new[:, j] += replace_rounds(model, since, len(model.feature)).margins(x)
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([r.tobytes() for r in new], pa.binary())], names=b.schema.names)
 
-    return _written(rows.mapInArrow(run, rows.schema))
+    return stored(rows.mapInArrow(run, rows.schema))
 
 
 def hits(rows: DataFrame, models: dict[int, tuple[Booster, int | None]], k: int = 3) -> dict[int, tuple[int, int]]:
@@ -349,12 +385,18 @@ def fit_many(rows: DataFrame, models: dict[int, tuple[Booster, int | None]], run
     return models
 
 
-def fit(train: DataFrame, cols: list[str], label: str, classes: int, params: Params, keys: list[str]) -> Booster:
+def prepared(df: DataFrame, cols: list[str], edges: list[np.ndarray], label: str, fold: Column, keys: list[str]) -> DataFrame:
+    """The binned rows, dealt over all cores by their hash and written once: every pass reads them."""
+    ship_package(df.sparkSession)
+    rows = bin_rows(df, cols, edges, label, fold, keys)
+    return stored(rows.repartition(df.sparkSession.sparkContext.defaultParallelism, "h"))
+
+
+def fit(train: DataFrame, cols: list[str], label: str, classes: int, params: Params, keys: list[str], exclusive: list[list[int]] | None = None) -> Booster:
     """One model on all rows of ``train``."""
-    ship_package(train.sparkSession)
     edges = quantile_edges(train, cols)
-    rows = _written(bin_rows(train, cols, edges, label, F.lit(0), keys))
-    model = Booster(list(cols), edges, params, classes)
+    rows = prepared(train, cols, edges, label, F.lit(0), keys)
+    model = Booster(list(cols), edges, params, classes, exclusive=exclusive or [])
     fit_many(rows, {0: (model, None)})
     return model
 
@@ -388,14 +430,14 @@ def sampled_settings(trials: int, seed: int, rounds: tuple[int, int], base: Para
 
 
 def search(rows: DataFrame, features: list[str], edges: list[np.ndarray], classes: int, settings: list[tuple[str, Params]], folds: list[int],
-           halve_at: tuple[int, ...] = (), k: int = 3) -> list[dict]:
+           halve_at: tuple[int, ...] = (), k: int = 3, exclusive: list[list[int]] | None = None) -> list[dict]:
     """Mean top-k accuracy over the folds for each setting, best first (ties: the earlier trial).
 
     All (setting, fold) models grow together.  At each number of rounds in ``halve_at`` the worse half of the
     settings still growing stops early; a stopped setting keeps the score of the rounds it has.
     """
     slots = [(t, f) for t in range(len(settings)) for f in folds]
-    models = {j: (Booster(list(features), edges, settings[t][1], classes), f) for j, (t, f) in enumerate(slots)}
+    models = {j: (Booster(list(features), edges, settings[t][1], classes, exclusive=exclusive or []), f) for j, (t, f) in enumerate(slots)}
 
     def score(got: dict[int, tuple[int, int]]) -> dict[int, float]:
         by: dict[int, list[float]] = {}

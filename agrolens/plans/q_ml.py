@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from agrolens.ml import models
-from agrolens.operators import metrics, rules
+from agrolens.ml import attribution, boosting, models, registry, serving
+from agrolens.functions.joins import join_small
+from agrolens.operators import features, ingest, metrics, rules
 from agrolens.plans.common import SAMPLES_SQL, samples
 from agrolens.plans.oracle_fixtures import with_fx
 from agrolens.plans.q_ingest import PRODUCTION_SQL, _production
 from agrolens.plans.registry import register
+from agrolens.session import shared_dir
 from agrolens.sources import dims
 
 KEYS = ["row_uid"]
@@ -58,37 +61,111 @@ def _once(spark, what: str, sf_dir: str, make):
     return _FITTED[key]
 
 
+#: Settings of the registered model: few rounds, as each level of a round is a job and the tables here are small.
+BOOSTED = boosting.Params(rounds=8, depth=3, rate=0.4)
+
+
+def _root(spark) -> str:
+    return shared_dir(spark, f"models-{spark.sparkContext.applicationId}")
+
+
+def _name(what: str, sf_dir: str) -> str:
+    return f"{what}-{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
+
+
+def _matrix(spark, sf_dir):
+    """Feature columns with label and location of the rows that have a known label, and the feature names."""
+    lab = models.labelled(samples(spark, sf_dir))
+    m = features.model_matrix(lab, [*KEYS, "label", "location_id"])
+    return lab, m, [c for c in m.columns if c not in (*KEYS, "label", "location_id")]
+
+
 def _classifier(spark, sf_dir):
-    """(model, data, feature names)"""
+    """(model as loaded from the store, its manifest, data with ``is_test``)"""
+    def make():
+        lab, m, cols = _matrix(spark, sf_dir)
+        data = join_small(m, models.holdout_groups(lab), "location_id")
+        fitted = boosting.fit(data.where("NOT is_test"), cols, "label", len(dims.CROP_LABELS), BOOSTED, KEYS, serving.exclusive_groups(cols))
+        name = _name("crop-classifier", sf_dir)
+        registry.save(spark, _root(spark), name, "boosted", fitted)
+        return *registry.load(spark, _root(spark), name), data
+    return _once(spark, "classifier", sf_dir, make)
+
+
+def _linear(spark, sf_dir):
+    """(logistic regression, data, feature names)"""
     def make():
         data, cols = models.classifier_data(samples(spark, sf_dir), KEYS)
         return models.train_classifier(data), data, cols
-    return _once(spark, "classifier", sf_dir, make)
+    return _once(spark, "logit", sf_dir, make)
+
+
+def _forest(spark, sf_dir):
+    """(random forest as loaded from the store, its manifest, data, feature names)"""
+    def make():
+        data, cols = models.classifier_data(samples(spark, sf_dir), KEYS)
+        fitted = models.train_classifier(data, "rf", numTrees=20, maxDepth=6)
+        name = _name("crop-forest", sf_dir)
+        registry.save(spark, _root(spark), name, "forest", fitted, {"numTrees": 20, "maxDepth": 6}, cols)
+        return *registry.load(spark, _root(spark), name), data, cols
+    return _once(spark, "forest", sf_dir, make)
+
+
+def _medians(spark, sf_dir):
+    """Median yields, as loaded from the store."""
+    def make():
+        name = _name("yield-medians", sf_dir)
+        registry.save(spark, _root(spark), name, "table", ingest.yield_median_by_crop(_production(spark, sf_dir)).select("target_crop", "yield_kg_ha_median").coalesce(1))
+        return registry.load(spark, _root(spark), name)[0]
+    return _once(spark, "medians", sf_dir, make)
 
 
-def _held_out(spark, sf_dir):
-    model, data, _ = _classifier(spark, sf_dir)
-    return model.transform(data.where(F.col("is_test")))
+def _scored(spark, sf_dir):
+    """The held-out rows with predicted class and rank of the true one, stored: every report reads them."""
+    def make():
+        model, _, data = _classifier(spark, sf_dir)
+        return boosting.stored(serving.scored_rows(data.where("is_test"), KEYS, model))
+    return _once(spark, "scored", sf_dir, make)
 
 
 @register("classifier_top3", note="model output: rows-only check")
 def q_classifier_top3(spark, sf_dir):
-    return models.topk_from_probabilities(_held_out(spark, sf_dir), KEYS, 3)
+    """W3 + M5: top-3 classes of the held-out rows by the boosted classifier."""
+    model, _, data = _classifier(spark, sf_dir)
+    top = data.where("is_test").select(*KEYS, "label", F.posexplode(serving.ranked(boosting.probabilities(model, spark), 3)).alias("pos", "t"))
+    return top.select(*KEYS, "label", (F.col("pos") + 1).cast("int").alias("rank"), "t.class_idx", F.round("t.probability", 4).alias("probability"))
 
 
 @register("classifier_eval", note="model metrics: rows-only check")
 def q_classifier_eval(spark, sf_dir):
-    a = models.accuracy(_held_out(spark, sf_dir))
-    return a.select(F.round("top1_accuracy", 4).alias("top1_accuracy"), F.round("topk_accuracy", 4).alias("top3_accuracy"),
-                    "n_test", (F.col("topk_accuracy") >= 0.75).alias("meets_target"))
+    """M4: held-out accuracy of the boosted classifier, the forest and logistic regression, side by side."""
+    mine = _scored(spark, sf_dir).agg(F.avg((F.col("true_rank") == 1).cast("double")).alias("top1_accuracy"), F.avg((F.col("true_rank") <= 3).cast("double")).alias("topk_accuracy"), F.count("*").alias("n_test"))
+    linear, data, _ = _linear(spark, sf_dir)
+    forest, _, same, _ = _forest(spark, sf_dir)
+    got = [("boosted", mine), ("logit", models.accuracy(linear.transform(data.where("is_test")))), ("forest", models.accuracy(forest.transform(same.where("is_test"))))]
+    out = [a.select(F.lit(b).alias("backend"), F.round("top1_accuracy", 4).alias("top1_accuracy"), F.round("topk_accuracy", 4).alias("top3_accuracy"), "n_test", (F.col("topk_accuracy") >= 0.75).alias("meets_target")) for b, a in got]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+#: The search's size here: trials, rounds at most and depth at most; the sampled space is the library's own.
+SEARCH = {"trials": 6, "seed": 42, "rounds": (3, 6), "depth": 4, "halve_at": (2, 4)}
 
 
 @register("classifier_search", note="mean fold accuracy of fitted models: rows-only")
 def q_classifier_search(spark, sf_dir):
-    """M6: two strengths of regularisation over the group folds, by mean top-3 accuracy."""
-    grid = [("logit", {"maxIter": 20, "regParam": r}) for r in (0.0, 0.01)]
-    rows = models.tune_classifier(samples(spark, sf_dir), KEYS, grid)
-    return spark.createDataFrame([(i + 1, *r[1:]) for i, r in enumerate(rows)], "rank int, backend string, params string, folds int, top3_accuracy double")
+    """M6: seeded random settings of both boosted backends over the group folds, grown together,
+    the worse half stopped early, by mean top-3 accuracy."""
+    def make():
+        lab, m, cols = _matrix(spark, sf_dir)
+        data = join_small(m, models.group_folds(lab).select("location_id", "fold"), "location_id")
+        edges = boosting.quantile_edges(data, cols)
+        rows = boosting.prepared(data, cols, edges, "label", F.col("fold"), KEYS)
+        folds = [r.fold for r in rows.select("fold").distinct().orderBy("fold").collect()]  # at most 5
+        settings = boosting.sampled_settings(SEARCH["trials"], SEARCH["seed"], SEARCH["rounds"], boosting.Params(depth=SEARCH["depth"]))
+        return boosting.search(rows, cols, edges, len(dims.CROP_LABELS), settings, folds, SEARCH["halve_at"], exclusive=serving.exclusive_groups(cols))
+    got = _once(spark, "search", sf_dir, make)
+    rows = [(i + 1, r["trial"], r["backend"], r["params"], r["folds"], r["rounds"], r["stopped_early"], r["top3_accuracy"]) for i, r in enumerate(got)]
+    return spark.createDataFrame(rows, "rank int, trial int, backend string, params string, folds int, rounds int, stopped_early boolean, top3_accuracy double")
 
 
 @register("zones_kmeans", note="KMeans labels are not bit-reproducible across engines: rows-only")
@@ -108,14 +185,71 @@ def q_yield_model_mae(spark, sf_dir):
 
 @register("explain_top_features", note="attributions of a fitted model: rows-only")
 def q_explain_top_features(spark, sf_dir):
-    model, data, cols = _classifier(spark, sf_dir)
+    """M10 + W11: of each held-out row, the five features that move the predicted class's margin most (exact tree attributions)."""
+    model, _, data = _classifier(spark, sf_dir)
+    x = data.where("is_test").withColumn("_c", F.get(serving.ranked(boosting.probabilities(model, spark), 1)["class_idx"], F.lit(0)))
+    x = x.select(*KEYS, "_c", F.get(attribution.booster_attributions(model, spark, F.array("_c")), F.lit(0)).alias("s"))
+    top = x.select(*KEYS, F.col("_c").alias("class_idx"), F.posexplode(attribution.top_contributions(F.col("s.contributions"), model.features, 5)).alias("pos", "t"))
+    return top.select(*KEYS, "class_idx", (F.col("pos") + 1).cast("int").alias("rank"), "t.feature", "t.contribution")
+
+
+@register("linear_attributions", note="attributions of a fitted linear model: rows-only")
+def q_linear_attributions(spark, sf_dir):
+    model, data, cols = _linear(spark, sf_dir)
     return models.linear_attributions(model, data, cols, KEYS, 5)
 
 
+@register("forest_attributions", note="attributions of a fitted forest: rows-only; base + contributions = probability")
+def q_forest_attributions(spark, sf_dir):
+    """M10 for the forest: base, sum of contributions and probability of the predicted class, and the five largest contributions."""
+    from pyspark.ml.functions import vector_to_array
+
+    model, saved, data, cols = _forest(spark, sf_dir)
+    leaves = attribution.forest_leaves(spark, saved.path, 20)
+    scored = model.transform(data.where("is_test"))
+    x = scored.withColumn("_c", F.col("prediction").cast("int"))
+    x = x.withColumn("s", attribution.forest_attributions(x, leaves, cols, F.col("_c")))
+    total = F.aggregate("s.contributions", F.lit(0.0), lambda a, v: a + v)
+    return x.select(*KEYS, F.col("_c").alias("class_idx"), F.round("s.base", 6).alias("base"), F.round(total, 6).alias("contributions"),
+                    F.round(F.get(vector_to_array("probability"), F.col("_c")), 6).alias("probability"), F.to_json(attribution.top_contributions(F.col("s.contributions"), cols, 5)).alias("top"))
+
+
 @register("global_importance", note="importance of a fitted model: rows-only")
 def q_global_importance(spark, sf_dir):
-    model, data, cols = _classifier(spark, sf_dir)
-    return models.global_importance(model, data, cols)
+    """M12 + W12: mean size of the attributions over all held-out rows and classes."""
+    model, _, data = _classifier(spark, sf_dir)
+    got = serving.importance(data.where("is_test"), model)
+    return got.select(F.row_number().over(Window.orderBy(F.desc("importance"), "feature")).alias("rank"), "feature", "importance")  # a row a feature
+
+
+@register("scored_requests_model", note="model output: rows-only check")
+def q_scored_requests_model(spark, sf_dir):
+    """M14 from the stored classifier: top-3 with probability, yield and explanation, version and checksums."""
+    model, saved, _ = _classifier(spark, sf_dir)
+    got = serving.recommend(samples(spark, sf_dir), KEYS, model, saved, _medians(spark, sf_dir))
+    return got.withColumn("top", F.to_json("top"))
+
+
+@register("model_report", note="metrics of a fitted model: rows-only")
+def q_model_report(spark, sf_dir):
+    """The evaluation report of the stored classifier and the yield model."""
+    def make():
+        model, _, data = _classifier(spark, sf_dir)
+        return boosting.stored(serving.importance(data.where("is_test"), model))
+    return serving.report(_scored(spark, sf_dir), q_yield_model_mae(spark, sf_dir), _once(spark, "importance", sf_dir, make))
+
+
+@register("model_gate", note="metrics of a fitted model: rows-only")
+def q_model_gate(spark, sf_dir):
+    return serving.gate(_scored(spark, sf_dir))
+
+
+@register("model_versions", note="manifests of the stored models: rows-only")
+def q_model_versions(spark, sf_dir):
+    """What the store holds after fitting the classifier, the forest and the yield medians."""
+    _classifier(spark, sf_dir), _forest(spark, sf_dir), _medians(spark, sf_dir)
+    got = [registry.versions(spark, _root(spark), _name(n, sf_dir)) for n in ("crop-classifier", "crop-forest", "yield-medians")]
+    return got[0].unionByName(got[1]).unionByName(got[2])
 
 
 @register("importance_fallback", note="random-forest importances: rows-only")
@@ -128,11 +262,11 @@ def q_importance_fallback(spark, sf_dir):
 def q_train_run_log(spark, sf_dir):
     """S9 + M9: parameters and held-out metrics of the classifier, the rule baseline and the yield
     model as one row; ``models.append_run`` adds such rows to a shared table."""
-    scored = _held_out(spark, sf_dir)
-    a = models.accuracy(scored).select(F.round("top1_accuracy", 4).alias("top1_accuracy"), F.round("topk_accuracy", 4).alias("top3_accuracy"), "n_test")
-    per = metrics.per_class_prf(scored.select(F.col("label").alias("actual_idx"), F.col("prediction").cast("int").alias("pred_idx")), digits=None)
+    scored = _scored(spark, sf_dir)
+    a = scored.agg(F.round(F.avg((F.col("true_rank") == 1).cast("double")), 4).alias("top1_accuracy"), F.round(F.avg((F.col("true_rank") <= 3).cast("double")), 4).alias("top3_accuracy"), F.count("*").alias("n_test"))
+    per = metrics.per_class_prf(scored, digits=None)
     f1 = metrics.macro_weighted(per).select("macro_f1", "weighted_f1")
     base = rules.baseline_accuracy(samples(spark, sf_dir), KEYS).select(F.col("top1_accuracy").alias("baseline_top1"), F.col("top3_accuracy").alias("baseline_top3"))
     mae = q_train_yield(spark, sf_dir).where("is_test AND yield_kg_ha IS NOT NULL").agg(F.round(F.avg(F.abs(F.col("yield_kg_ha") - F.col("predicted_yield"))), 2).alias("yield_mae"))
     row = a.crossJoin(f1).crossJoin(base).crossJoin(mae)  # one row each
-    return row.select(F.lit("logit").alias("model_type"), F.lit(50).alias("max_iter"), "*")
+    return row.select(F.lit("boosted").alias("model_type"), F.lit(BOOSTED.rounds).alias("rounds"), F.lit(BOOSTED.depth).alias("depth"), F.lit(_classifier(spark, sf_dir)[1].checksum).alias("model_checksum"), "*")

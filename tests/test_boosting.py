@@ -158,7 +158,7 @@ def test_sampled_settings_repeat():
 
 def test_search_stops_the_worse_half(rows):
     edges = boosting.quantile_edges(rows, COLS)
-    binned = boosting._written(boosting.bin_rows(rows, COLS, edges, "label", F.col("fold"), ["id"]))
+    binned = boosting.prepared(rows, COLS, edges, "label", F.col("fold"), ["id"])
     settings = [("boosted_weight", Params(rounds=6, depth=d, rate=r, subsample=1.0, colsample=1.0, min_child_weight=1.0)) for d, r in ((1, 0.01), (3, 0.3), (1, 0.02), (3, 0.2))]
     got = boosting.search(binned, COLS, edges, 3, settings, [0, 1], halve_at=(2,), k=1)
     assert len(got) == 4 and sum(r["stopped_early"] for r in got) == 2
@@ -167,3 +167,63 @@ def test_search_stops_the_worse_half(rows):
     n, hit = boosting.hits(binned, {0: (alone, 0)}, 1)[0]
     n1, hit1 = boosting.hits(binned, {0: (boosting.fit_many(binned, {0: (Booster(COLS, edges, settings[1][1], 3), 1)})[0][0], 1)}, 1)[0]
     assert next(r for r in got if r["trial"] == 1)["top3_accuracy"] == pytest.approx((hit / n + hit1 / n1) / 2)
+
+
+def test_exclusive_groups_change_nothing(rows):
+    """Indicators of one column, summed as one column: the same trees."""
+    cut = F.when(F.col("b") < -0.5, 0).when(F.col("b") < 0.5, 1).otherwise(2)
+    data = rows.select("*", *[(cut == i).cast("double").alias(f"b_{i}") for i in range(3)])
+    cols = ["a", "b_0", "c", "b_1", "b_2", "flag"]
+    p = Params(rounds=3, depth=3, rate=0.3, subsample=0.9, colsample=1.0, min_child_weight=1.0)
+    one = boosting.fit(data, cols, "label", 3, p, ["id"])
+    two = boosting.fit(data, cols, "label", 3, p, ["id"], exclusive=[[1, 3, 4]])
+    assert (one.feature == two.feature).all() and np.allclose(one.value, two.value, atol=1e-9) and (one.feature == 1).any()
+
+
+def test_registry_round_trip(rows, model, spark, tmp_path):
+    from agrolens.ml import registry
+    root = f"file://{tmp_path}/store"
+    with pytest.raises(LookupError):
+        registry.load(spark, root, "crop")
+    one = registry.save(spark, root, "crop", "boosted", model)
+    other = boosting.fit(rows, COLS, "label", 3, Params(rounds=2, depth=2, rate=0.3), ["id"])
+    two = registry.save(spark, root, "crop", "boosted", other)
+    assert (one.version, two.version) == (1, 2) and one.checksum != two.checksum
+    assert [r.version for r in registry.versions(spark, root, "crop").collect()] == [1, 2]
+    back, saved = registry.load(spark, root, "crop", 1)
+    assert saved.checksum == one.checksum and back.params == model.params and back.features == model.features
+    x = model.binned(np.array([[r[c] for c in COLS] for r in rows.limit(200).collect()]))
+    assert np.array_equal(back.margins(x), model.margins(x)) and np.array_equal(back.cover, model.cover)
+    assert len(registry.load(spark, root, "crop")[0].feature) == 2
+    data = VectorAssembler(inputCols=COLS, outputCol="features").transform(rows)
+    forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=3, maxDepth=3, seed=3).fit(data)
+    registry.save(spark, root, "forest", "forest", forest, {"numTrees": 3}, COLS)
+    loaded, meta = registry.load(spark, root, "forest")
+    key = lambda df: df.select("id", "prediction").orderBy("id").collect()
+    assert key(loaded.transform(data)) == key(forest.transform(data)) and meta.features == COLS
+    registry.save(spark, root, "medians", "table", rows.groupBy("label").agg(F.avg("a").alias("m")))
+    assert registry.load(spark, root, "medians")[0].count() == 3
+    spark.range(3).write.mode("append").parquet(f"{two.path}/trees")  # a file too many
+    with pytest.raises(ValueError):
+        registry.load(spark, root, "crop", 2)
+
+
+def test_stored_model_scores_requests(spark):
+    from agrolens.plans.registry import load_all
+    reg, sf = load_all(), "/root/testdata/sf0.001"
+    got = reg["scored_requests_model"].build(spark, sf)
+    n = reg["holdout_split"].build(spark, sf).count()
+    rows = got.limit(50).collect()
+    assert n and got.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    saved = {r.name.rsplit("-", 1)[0]: r for r in reg["model_versions"].build(spark, sf).collect()}
+    assert {r.model_checksum for r in rows} == {saved["crop-classifier"].checksum}
+    assert all(r.result.count("|") == 2 and '"contribution"' in r.top for r in rows)
+    report = {(r.scope, r.metric): r.value for r in reg["model_report"].build(spark, sf).collect()}
+    assert report["overall", "top3_accuracy"] >= 0.75 and report["overall", "target_met"] == 1.0
+    cells = sum(v for (_, m), v in report.items() if m.startswith("predicted:"))
+    assert cells == report["overall", "test_set_size"] == sum(v for (_, m), v in report.items() if m == "support")
+    assert reg["model_gate"].build(spark, sf).first().passed
+    off = reg["forest_attributions"].build(spark, sf).where("abs(base + contributions - probability) > 1e-5").count()
+    assert off == 0
+    ev = {r.backend: r.top3_accuracy for r in reg["classifier_eval"].build(spark, sf).collect()}
+    assert set(ev) == {"boosted", "logit", "forest"} and ev["boosted"] >= 0.9
