@@ -12,7 +12,7 @@ from agrolens.streaming import jobs
 @register("stream_prediction_counts", sql=with_fx("scored_requests") + f"""
 SELECT {CROPS}[pred_idx + 1] AS crop, COUNT(*) AS n_predictions FROM scored_requests GROUP BY 1""")
 def q_stream_prediction_counts(spark, sf_dir):
-    return jobs.prediction_counts(spark, sf_dir)
+    return jobs.prediction_counts_state(spark, sf_dir)
 
 
 @register("stream_window_counts", sql="""
@@ -21,7 +21,7 @@ SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1
        (SELECT MAX(ts) FROM events) >= time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 3 HOUR AS closed
 FROM events GROUP BY 1, 2, 3, 5""")
 def q_stream_window_counts(spark, sf_dir):
-    return jobs.window_counts(spark, sf_dir)
+    return jobs.window_counts_state(spark, sf_dir)
 
 
 _BUCKETS = " UNION ALL ".join(
@@ -41,6 +41,11 @@ def q_stream_dedupe(spark, sf_dir):
     return jobs.dedupe(spark, sf_dir)
 
 
+@register("stream_first_seen", sql=with_fx("soil_samples", extra=[SAMPLES_SQL]) + "SELECT DISTINCT sample_id FROM samples WHERE date IS NOT NULL")
+def q_stream_first_seen(spark, sf_dir):
+    return jobs.first_seen(spark, sf_dir)
+
+
 def _gate_sql():
     parts = []
     for f in dims.REQUIRED_FEATURES:

@@ -6,6 +6,10 @@ folder named by the batch id, replacing what an earlier attempt left there, so
 a retried batch counts once; with a stable ``run`` name a restarted job goes
 on from its checkpoint.  Reading merges the folders.
 
+``*_state`` jobs and ``first_seen`` keep their state in Spark's state store instead, bounded by a
+watermark or by the number of crops, and do not read their history again; the
+merging jobs below are for streams that must not drop a late row.
+
 The merges do not depend on the order of batches, so nothing is lost when
 files arrive out of time order: there is no watermark beyond which rows are
 dropped.  What lateness means here is stated where it matters: a window is
@@ -92,6 +96,59 @@ def window_counts(spark: SparkSession, sf_dir: str, size: str = "1 hour", latene
                       "event_type", "n", (F.col("_latest") >= F.col("end") + F.expr(f"INTERVAL {lateness}")).alias("closed"))
 
 
+def _stateful(frame: DataFrame, name: str, mode: str, run: str | None) -> str:
+    """Run a stateful stream over what is available; each batch's output goes to a folder of its own, so a
+    retried batch replaces what it wrote.  Returns the run's folder."""
+    base = shared_dir(frame.sparkSession, f"streams/{name}-{run or uuid.uuid4().hex[:12]}")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
+
+    q = frame.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return base
+
+
+def prediction_counts_state(spark: SparkSession, sf_dir: str, run: str | None = None) -> DataFrame:
+    """T2 with state: one running count a crop is kept (22 at most), and each batch writes them all; the last batch is the answer."""
+    counts = _scored(_event_stream(spark, sf_dir)).groupBy("crop").agg(F.count("*").alias("n_predictions"))
+    got = spark.read.parquet(f"{_stateful(counts, 'prediction_state', 'complete', run)}/out")
+    last = got.agg(F.max("batch_id").alias("_last"))  # one row
+    return got.crossJoin(F.broadcast(last)).where("batch_id = _last").select("crop", "n_predictions")
+
+
+def window_counts_state(spark: SparkSession, sf_dir: str, size: str = "1 hour", lateness: str = "2 hours",
+                        run: str | None = None) -> DataFrame:
+    """T3 with a watermark: counts per event-time window and type.
+
+    A window is in the state until the latest event lies ``lateness`` past its end; then it is
+    written once, ``closed``, and leaves the state.  So the state holds the windows of the last ``lateness`` and
+    the output one row a window, however long the stream runs.  Rows that come later than that are
+    dropped, as Spark counts in ``numRowsDroppedByWatermark``.  Windows still open are read from the state.
+    """
+    counts = (_event_stream(spark, sf_dir).withWatermark("ts", lateness).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n")))
+    flat = counts.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "n")
+    base = _stateful(flat, "window_state", "append", run)
+    closed = spark.read.schema("start timestamp, end timestamp, event_type string, n bigint").option("recursiveFileLookup", "true").parquet(f"{base}/out")
+    held = spark.read.format("statestore").load(f"{base}/checkpoint")
+    value = held.schema["value"].dataType.names[-1]  # the only aggregate
+    opened = held.select(F.col("key.window.start").alias("start"), F.col("key.window.end").alias("end"), F.col("key.event_type").alias("event_type"), F.col(f"value.{value}").alias("n"))
+    both = closed.withColumn("closed", F.lit(True)).unionByName(opened.withColumn("closed", F.lit(False)))
+    return both.select(F.col("start").cast("timestamp_ntz").alias("window_start"), F.col("end").cast("timestamp_ntz").alias("window_end"), "event_type", "n", "closed")
+
+
+def first_seen(spark: SparkSession, sf_dir: str, lateness: str = "3650 days", run: str | None = None) -> DataFrame:
+    """T5 with state: each sample id once, when it is first seen.
+
+    An id is remembered until the latest date lies ``lateness`` past it: a replay within that time is
+    dropped and the state is bounded by it.  The given samples span seven years in one file, hence the default.
+    """
+    ids = _sample_stream(spark, sf_dir).select("sample_id", F.col("date").cast("timestamp").alias("at")).where("at IS NOT NULL")
+    once = ids.withWatermark("at", lateness).dropDuplicatesWithinWatermark(["sample_id"]).select("sample_id")
+    base = _stateful(once, "first_seen", "append", run)
+    return spark.read.schema("sample_id string").option("recursiveFileLookup", "true").parquet(f"{base}/out")
+
+
 def latency_histogram(spark: SparkSession, sf_dir: str, run: str | None = None) -> DataFrame:
     """T4: cumulative latency buckets."""
     def count(batch):
