@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from agrolens.functions.columns import lit_d
 from agrolens.functions.joins import join_small
 from agrolens.functions.percentiles import exact_median
+from agrolens.functions.ranking import group_row_number
 from agrolens.sources import dims
 
 
@@ -110,8 +111,11 @@ def alternative_features(df: DataFrame) -> DataFrame:
 def stratified_folds(df: DataFrame, group: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Whole groups dealt into ``k`` folds, within the label that most of a group's rows have.
 
-    Ranked are groups, by a seeded hash, not rows."""
+    Ranked are groups, by a seeded hash, not rows; the rank within a stratum is the global
+    rank past the stratum's first."""
     each = df.where(F.col(label).isNotNull()).groupBy(group, label).agg(F.count("*").alias("n"))
     main = each.groupBy(group).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(label).alias("l"))).alias("b")).select(group, F.col("b.l").alias("stratum"))
     h = F.sha2(F.concat(F.lit(f"{seed}|"), F.col(group).cast("string")), 256)
-    return main.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy("stratum").orderBy(h, group)) - 1, F.lit(k)).cast("int"))
+    ranked = group_row_number(main.withColumn("_h", h), ["stratum", "_h", group], "_rn")
+    first = ranked.groupBy("stratum").agg(F.min("_rn").alias("_first"))
+    return join_small(ranked, first, "stratum").select(group, "stratum", F.pmod(F.col("_rn") - F.col("_first"), F.lit(k)).cast("int").alias("fold"))

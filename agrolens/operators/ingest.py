@@ -45,9 +45,9 @@ def align_canonical(df: DataFrame) -> DataFrame:
 
 def stamp_samples(df: DataFrame, key_cols: list[str], as_of: str,
                   label_source: str = "kaggle_expert_recommendation") -> DataFrame:
-    """Deterministic 8-char sample id, load date (a parameter), source literal."""
+    """Deterministic sample id of 16 hex digits (8 would repeat at some 100,000 rows), load date (a parameter), source literal."""
     return df.withColumns({
-        "sample_id": F.substring(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols]), 256), 1, 8),
+        "sample_id": F.substring(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols]), 256), 1, 16),
         "date": F.lit(_dt.date.fromisoformat(as_of)),
         "label_source": F.lit(label_source),
     })

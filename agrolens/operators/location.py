@@ -40,16 +40,18 @@ def parse_coordinates(df: DataFrame) -> DataFrame:
 def resolve_locations(locations: DataFrame, pin_directory: DataFrame) -> DataFrame:
     """J5 + F8 + P20: resolve PINs via the postal directory, parse coordinates,
     and reject empty / unrecognised / out-of-range / unknown-PIN inputs with a
-    reason.  Only PIN rows meet the directory: rows of other kinds carry no key, so
-    blank or repeated texts do not pile up on one (AQE broadcasts the directory
-    when it is small and splits a hot PIN otherwise)."""
+    reason.  One scan and one left join: a row that is no PIN carries a key of its
+    own, behind a mark that no PIN has, so it matches nothing and repeated or
+    blank texts do not pile up on one key (AQE broadcasts the directory when it is
+    small and splits a hot PIN otherwise)."""
     x = parse_coordinates(classify_location(locations))
-    pins = pin_directory.select(F.col("pin").alias("_loc"), F.col("lat").alias("_plat"),
+    own = F.concat(F.lit("#"), F.coalesce(F.col("location_id").cast("string"), F.xxhash64(*locations.columns).cast("string")))
+    x = x.withColumn("_key", F.when(F.col("kind") == "pin", F.col("_loc")).otherwise(own))
+    pins = pin_directory.select(F.col("pin").alias("_key"), F.col("lat").alias("_plat"),
                                 F.col("lon").alias("_plon"), F.col("state").alias("_pstate"),
                                 F.col("district").alias("_pdist"), F.col("place").alias("_pplace"),
                                 F.lit(True).alias("_found"))
-    rest = x.where(F.col("kind") != "pin")
-    x = x.where(F.col("kind") == "pin").join(pins, "_loc", "left").unionByName(rest, allowMissingColumns=True)
+    x = x.join(pins, "_key", "left").drop("_key")
     is_pin, is_c = F.col("kind") == "pin", F.col("kind") == "coords"
     error = (F.when(F.col("kind") == "empty", F.lit("location string is empty"))
              .when(F.col("kind") == "unrecognised", F.lit("unrecognized location format"))

@@ -134,7 +134,7 @@ def q_zscore_features(spark, sf_dir):
 
 
 @register("stamp_samples", sql=with_fx("soil_samples", extra=[SAMPLES_SQL]) + """
-SELECT row_uid, substr(sha256(row_uid || '|' || CAST(location_id AS VARCHAR)), 1, 8) AS sample_id,
+SELECT row_uid, substr(sha256(row_uid || '|' || CAST(location_id AS VARCHAR)), 1, 16) AS sample_id,
        DATE '2025-01-15' AS date, 'kaggle_expert_recommendation' AS label_source FROM samples""")
 def q_stamp_samples(spark, sf_dir):
     """Ids from the row's key, so that a repeated load stamps the same."""

@@ -97,12 +97,28 @@ for _k in (1, 5, 22):
 _TERMS = " || '|' || ".join(f"'{c}=' || printf('%.4f', {rsql(_term_sql('s.' + c, 'c.' + p + '_lo', 'c.' + p + '_hi'), 4)})" for c, p in _FEATS)
 
 
-@register("scored_requests", sql=with_fx("soil_samples", extra=[*SCORED_CTES, f"""res AS (
-  SELECT rid, string_agg(crop || ':' || printf('%.4f', {rsql(f"score / CASE WHEN tot = 0 THEN {d(1.0)} ELSE tot END", 4)}) || ':' || CAST(CAST(kg_ha AS BIGINT) AS VARCHAR), '|' ORDER BY rk) AS result
-  FROM top3 JOIN crop_avg_yield y USING (crop) GROUP BY rid
-)"""]) + f"""
-SELECT s.row_uid, r.result, {_TERMS} AS explained, 'rules-1' AS model_version, sha256('rules-1|' || r.result) AS checksum
-FROM ranked s JOIN crop_rule c ON c.rule_idx = s.rule_idx JOIN res r USING (rid) WHERE s.rk = 1""")
+def _place(j: int, what: str) -> str:
+    return f"(SELECT list({what} ORDER BY rule_idx) FROM named)[CAST(top[{j}].i AS INTEGER) + 1]"
+
+
+_RESULT = " || '|' || ".join(
+    f"{_place(j, 'crop')} || ':' || printf('%.4f', {rsql(f'-top[{j}].neg / CASE WHEN tot = 0 THEN {d(1.0)} ELSE tot END', 4)}) || ':' || CAST(CAST({_place(j, 'kg_ha')} AS BIGINT) AS VARCHAR)"
+    for j in (1, 2, 3))
+
+
+# Scores of a row as one sorted list: no window over all rows x rules.
+@register("scored_requests", sql=with_fx("soil_samples", extra=[*SCORED_CTES[:3], f"""named AS (
+  SELECT rule_idx, crop, kg_ha FROM crop_rule JOIN crop_avg_yield USING (crop)
+)""", f"""numbered AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, row_uid, {", ".join(c for c, _ in _FEATS)} FROM samples
+)""", f"""lists AS (
+  SELECT rid, list_sort(list({{'neg': -score, 'i': rule_idx}}))[1:3] AS top
+  FROM (SELECT s.rid, c.rule_idx, {SCORE_SQL} AS score FROM numbered s CROSS JOIN crop_rule c) GROUP BY rid
+)""", """best AS MATERIALIZED (
+  SELECT s.*, top, -top[1].neg - top[2].neg - top[3].neg AS tot, top[1].i AS rule_idx FROM numbered s JOIN lists USING (rid)
+)""", f"res AS (SELECT *, {_RESULT} AS result FROM best)"]) + f"""
+SELECT s.row_uid, s.result, {_TERMS} AS explained, 'rules-1' AS model_version, sha256('rules-1|' || s.result) AS checksum
+FROM res s JOIN crop_rule c ON c.rule_idx = s.rule_idx""")
 def q_scored_requests(spark, sf_dir):
     t = rules.scored_requests(samples(spark, sf_dir), ["row_uid"])
     terms = F.transform("explanation", lambda e: F.concat(e["feature"], F.lit("="), F.format_string("%.4f", e["contribution"])))
