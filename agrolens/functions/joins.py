@@ -15,7 +15,7 @@ BROADCAST_ROWS = 100_000
 SALTS = 32
 
 
-def join_small(large: DataFrame, small: DataFrame, key: str, how: str = "inner",
+def join_small(large: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner",
                limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join on ``key`` with a derived table that has one row a key.
 
@@ -32,4 +32,5 @@ def join_small(large: DataFrame, small: DataFrame, key: str, how: str = "inner",
         return large.join(F.broadcast(side), key, how)
     salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     mine = large.withColumn("_salt", F.pmod(F.xxhash64(*large.columns), F.lit(SALTS)).cast("int"))
-    return mine.join(salted, [key, "_salt"], how).drop("_salt")
+    keys = [key] if isinstance(key, str) else [*key]
+    return mine.join(salted, [*keys, "_salt"], how).drop("_salt")

@@ -56,6 +56,29 @@ def onehot_bins(df: DataFrame) -> DataFrame:
     return df.withColumns(cols).drop(*[b[1] for b in dims.BINS])
 
 
+def fit_onehot(df: DataFrame) -> list[str]:
+    """P11 fit: the sorted indicator names of the labels that occur in each bin column (a distinct pass;
+    the state is a few names, as a bin has at most seven labels)."""
+    cols = [out for _, out, _, _ in dims.BINS if out in df.columns]
+    seen = df.agg(*[F.collect_set(c).alias(c) for c in cols]).first()
+    return sorted(f"{c}_{v}" for c in cols for v in seen[c])
+
+
+def transform_onehot(df: DataFrame, fitted: list[str], unseen: list[str] | None = None) -> DataFrame:
+    """P11 transform: one indicator a fitted name, 0 where the column or label is absent; bin columns dropped.
+
+    A label that was not fitted sets no indicator.  The reference lets such labels through as
+    columns of their own: ``unseen`` gives those names (``fit_onehot`` of the rows to transform)."""
+    bins = {out for _, out, _, _ in dims.BINS}
+    have = [out for out in bins if out in df.columns]
+    cols = {}
+    for name in [*fitted, *sorted(set(unseen or []) - set(fitted))]:
+        out = max((b for b in bins if name.startswith(f"{b}_")), key=len)
+        hit = (F.col(out) == name[len(out) + 1:]).cast("double") if out in have else lit_d(0.0)
+        cols[name] = F.coalesce(hit, lit_d(0.0))
+    return df.withColumns(cols).drop(*have)
+
+
 def feature_transform(df: DataFrame) -> DataFrame:
     """The 6-stage chain (pH bin, ratios, rain/temp/humidity bins, one-hot)."""
     return onehot_bins(add_bins(nutrient_ratios(df)))

@@ -52,6 +52,14 @@ FX["soil_samples"] = f"""soil_samples AS (
   JOIN {dims.values_sql('sample_profile')} ON li.l_partkey % 22 = sample_profile.class_idx
 )"""
 
+FX["trial_harvests"] = """trial_harvests AS (
+  SELECT o_orderkey AS harvest_id, o_custkey AS farm_id, o_custkey % 60 AS cluster_id, o_custkey % 60 % 4 AS zone, o_custkey % 60 % 3 = 0 AS irrigated,
+         CASE WHEN o_orderkey % 23 <> 0 THEN o_totalprice / (o_custkey % 50 + 10) END AS yield_kg_ha, o_totalprice AS revenue,
+         CAST((o_custkey % 50 + 1) * 500 AS DOUBLE) AS input_cost, CAST(o_orderkey % 22 AS INTEGER) AS recommended_idx,
+         CAST((o_orderkey + CASE WHEN o_orderkey % 5 = 0 THEN 1 WHEN o_orderkey % 7 = 0 THEN 4 ELSE 0 END) % 22 AS INTEGER) AS chosen_idx
+  FROM orders
+)"""
+
 FX["crop_production"] = f"""crop_production AS (
   SELECT o_orderkey AS record_id,
          {STATES}[o_custkey % 13 + 1] AS State_Name,

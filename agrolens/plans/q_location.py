@@ -289,6 +289,14 @@ def _profile(spark, sf_dir):
     return location.location_profile(r, soil, wx)
 
 
+def model_inputs(spark, sf_dir):
+    """A profile's fields under their canonical names."""
+    return _profile(spark, sf_dir).select(
+        "location_id", F.col("N").alias("N_kg_ha"), F.col("P").alias("P_kg_ha"), F.col("K").alias("K_kg_ha"),
+        F.col("temperature").alias("avg_temp_c"), F.col("humidity").alias("humidity_pct"), F.col("ph").alias("pH"),
+        F.col("rainfall").alias("avg_precip_mm"))
+
+
 _REG_STATES = "(VALUES " + ", ".join(f"('{s.lower()}')" for s in dims.STATE_CROPS) + ") AS rs(s)"
 _SOIL_SQL = f"""soil AS (
   SELECT location_id,
@@ -353,10 +361,7 @@ FROM top3 JOIN crop_avg_yield y USING (crop)""")
 def q_recommend_by_location(spark, sf_dir):
     """M15 (rule backend): location -> model input -> top-3 crops with yields."""
     from agrolens.operators import rules
-    p = _profile(spark, sf_dir).select(
-        "location_id", F.col("N").alias("N_kg_ha"), F.col("P").alias("P_kg_ha"), F.col("K").alias("K_kg_ha"),
-        F.col("temperature").alias("avg_temp_c"), F.col("humidity").alias("humidity_pct"), F.col("ph").alias("pH"),
-        F.col("rainfall").alias("avg_precip_mm"))
+    p = model_inputs(spark, sf_dir)
     t = rules.rule_topk_long(p, ["location_id"], 3)
     return t.select("location_id", "rank", "crop", F.round(F.col("score") / F.col("denom"), 4).alias("probability"),
                     "expected_yield_kg_ha")

@@ -217,3 +217,16 @@ def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return (e.select("vec_id", F.posexplode(F.slice("embedding", 1, 22)).alias("class_idx", "score"))
             .select("vec_id", F.col("class_idx").cast("int"), F.col("score").cast("double")))
+
+
+def trial_harvests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FX10: harvests of trial farms in 60 village clusters of four zones, with costs, revenue, recommended and chosen crop."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    ok, cluster = F.col("o_orderkey"), F.pmod("o_custkey", F.lit(60))
+    moved = F.when(F.pmod(ok, F.lit(5)) == 0, 1).when(F.pmod(ok, F.lit(7)) == 0, 4).otherwise(0)
+    return o.select(
+        ok.alias("harvest_id"), F.col("o_custkey").alias("farm_id"), cluster.alias("cluster_id"),
+        F.pmod(cluster, F.lit(4)).alias("zone"), (F.pmod(cluster, F.lit(3)) == 0).alias("irrigated"),
+        F.when(F.pmod(ok, F.lit(23)) != 0, F.col("o_totalprice") / (F.pmod("o_custkey", F.lit(50)) + 10)).alias("yield_kg_ha"),
+        F.col("o_totalprice").alias("revenue"), ((F.pmod("o_custkey", F.lit(50)) + 1) * 500).cast("double").alias("input_cost"),
+        F.pmod(ok, F.lit(22)).cast("int").alias("recommended_idx"), F.pmod(ok + moved, F.lit(22)).cast("int").alias("chosen_idx"))
