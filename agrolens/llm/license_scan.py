@@ -1,7 +1,9 @@
 """Licence scans: Dice coefficient of word bigrams against licence templates.
 
 Only DataFrame functions.  A unit (a line, or a paragraph of more lines) is
-normalised to lower-case words.  Its number of distinct bigrams bounds what
+normalised to lower-case words.  A unit that reaches ``least`` with a template lacks
+at most m of its bigrams, so of any words that occur in more than m of them it has one: documents with none
+of the templates' such words (long words first, as they are rare) go before they are split.  A unit's number of distinct bigrams bounds what
 its coefficient with a template can reach, ``2 min(a, b) / (a + b)``; units
 outside every template's bounds go before any comparison.  The rest meet the
 templates by an equi-join on the bigram; the template side is a parameter of
@@ -16,6 +18,7 @@ gives an empty table.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping
 
@@ -50,6 +53,22 @@ def template_bigrams(templates: Mapping[str, str]) -> dict[str, list[str]]:
     return out
 
 
+def anchors(known: Mapping[str, list[str]], least: float) -> list[str]:
+    """Words of which every unit that reaches ``least`` with some template holds at least one."""
+    chosen: set[str] = set()
+    for grams in known.values():
+        a = len(grams)
+        missing = a - math.ceil(least * (a + a * least / (2 - least)) / 2 - 1e-9)
+        words = sorted({w for g in grams for w in g.split(" ")}, key=lambda w: (w not in chosen, -len(w), w))
+        taken: set[str] = set()
+        for w in words:
+            if sum(any(x in taken for x in g.split(" ")) for g in grams) > missing:
+                break
+            taken.add(w)
+        chosen |= taken
+    return sorted(chosen)
+
+
 def bigrams(words: Column) -> Column:
     """Distinct neighbouring pairs of an array of words, joined by a blank."""
     return F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b)))
@@ -62,6 +81,7 @@ def license_scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, leas
     spark = docs.sparkSession
     rows = [(b, n, len(bs)) for n, bs in known.items() for b in bs]
     side = F.broadcast(spark.createDataFrame(rows, "bigram string, template string, n_template int"))
+    docs = docs.where(F.lower("text").rlike("(?<![a-z0-9])(?:" + "|".join(anchors(known, least)) + ")(?![a-z0-9])")) if known else docs
     units = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.explode(F.array(
         F.struct(F.lit("line").alias("kind"), F.split("text", "\n").alias("parts")),
         F.struct(F.lit("paragraph").alias("kind"), F.split("text", "\n[ \t-\r]*\n").alias("parts")),
