@@ -241,6 +241,31 @@ def test_line_dedup(spark, edges, nothing):
     assert line_dedup.line_dedup(edges, "paragraph").count() == edges.count()
 
 
+def test_line_dedup_leaves_short_lines(spark):
+    from llm_frames import frame
+    long = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, f"short line\n{long}\nown one"), (2, f"short line\n{long.upper()}\nown two"), (3, " ".join(long.split()[:19])), (4, " ".join(long.split()[:19]))]
+    got = {r.doc_id: r.kept for r in line_dedup.line_dedup(frame(spark, rows), least_words=20).collect()}
+    assert got == {1: rows[0][1], 2: "short line\nown two", 3: rows[2][1], 4: rows[3][1]}
+
+
+def test_license_anchors_lose_no_match():
+    """Units just above the least coefficient, made of any of a template's bigrams, hold an anchor."""
+    import random
+    rnd = random.Random(4)
+    known = license_scan.template_bigrams(license_scan.TEMPLATES)
+    words = set(license_scan.anchors(known, 0.8))
+    for grams in known.values():
+        a = len(grams)
+        for _ in range(300):
+            b = rnd.randint(max(1, int(a * 2 / 3)), a)
+            held = rnd.sample(grams, b)  # the unit's bigrams, all of the template: the fewest that can reach it
+            if 2 * b / (a + b) >= 0.8:
+                assert any(w in words for g in held for w in g.split())
+        worst = [g for g in grams if not any(w in words for w in g.split())]
+        assert 2 * len(worst) / (a + len(worst)) < 0.8  # all bigrams without an anchor are too few
+
+
 def test_license_scan(spark, nothing):
     from llm_frames import frame
     mit = license_scan.TEMPLATES["mit-line"]
