@@ -20,6 +20,7 @@ empty table; other columns are ignored, also where names clash.
 from __future__ import annotations
 
 from itertools import accumulate, combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from pyspark.sql import types as T
 
 from agrolens.llm.common import arrow_map, documents, fresh, query, quoted, slices, stored
 
-#: (shift, width) of the segments, lowest bits first.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Fingerprints a bucket, on average, up to which three segments are used.
+BUCKET = 64
 #: Members of a bucket up to which its pairs are expanded together with other buckets'.
 SMALL = 64
 #: Pairs compared at once.
@@ -68,11 +69,16 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), run, schema)
 
 
-def _keys(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segments(prints: int) -> tuple[tuple[int, int], ...]:
+    """(shift, width) of the segments for that many different fingerprints, lowest bits first."""
+    return ((0, 22), (22, 21), (43, 21)) if prints <= BUCKET << 21 else ((0, 32), (32, 32))
+
+
+def _keys(fps: np.ndarray, cuts: tuple[tuple[int, int], ...], radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, fp, probe) of all table entries and probes of ``fps``."""
     u = fps.view(np.uint64)
     keys, owners, probes = [], [], []
-    for s, (shift, width) in enumerate(SEGMENTS):
+    for s, (shift, width) in enumerate(cuts):
         value = (u >> np.uint64(shift)) & np.uint64((1 << width) - 1)
         tag = np.uint64(s << 32)
         keys.append(value | tag)
@@ -178,17 +184,19 @@ def _links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, distance: int) ->
 def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     """(a, b): fingerprints whose links have the components of all links at ``distance`` or less.
 
-    ``distinct`` holds one row a fingerprint.
+    ``distinct`` holds one row a fingerprint; it is counted first.
     """
-    radius = distance // len(SEGMENTS)
+    cuts = segments(distinct.count())
+    radius = distance // len(cuts)
+    step = max(1, (1 << 21) // sum(comb(w, r) for _, w in cuts for r in range(radius + 1)))  # fingerprints whose keys are held at once
     entry = T.StructType([T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("probe", T.BooleanType())])
     edge = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def enumerate_balls(batches):
         for b in batches:
             fps = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i in range(0, len(fps), 20_000):
-                key, fp, probe = _keys(np.ascontiguousarray(fps[i:i + 20_000]), radius)
+            for i in range(0, len(fps), step):
+                key, fp, probe = _keys(np.ascontiguousarray(fps[i:i + step]), cuts, radius)
                 yield {"key": key, "fp": fp, "probe": probe}
 
     def match(batches):
@@ -222,14 +230,19 @@ def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b), by alternating star contraction."""
+    """(node, root) for every node of ``edges`` (a, b), by alternating star contraction.
+
+    What a join reads is stored, so that it has an exchange directly on both
+    sides and Spark can split the node of a large component.
+    """
     edges = stored(edges.where("a <> b").distinct(), name)
     last = None
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        low = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), name + "-low")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large, name + "-large")
+        down = stored(large.groupBy("a").agg(F.min("b").alias("m")), name + "-down")
         small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         edges = stored(small.select("e.a", "e.b").where("a <> b").distinct(), name)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
@@ -244,7 +257,8 @@ def simhash_groups(docs: DataFrame, width: int = 4, distance: int = 4, seed: int
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     roots = components(links(distinct, distance))
     member = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("first").alias("component_id"))
+    member = stored(member, "simhash-members")
+    least = stored(member.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-least")
     named = member.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -62,10 +62,12 @@ def test_simhash_groups(spark, edges, small, nothing):
         assert Counter(tuple(r) for r in simhash.simhash_groups(docs).collect()) == want
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_simhash_links_find_every_component(spark, monkeypatch, large):
+@pytest.mark.parametrize("large,two", [(False, False), (True, False), (False, True)])
+def test_simhash_links_find_every_component(spark, monkeypatch, large, two):
     if large:
         monkeypatch.setattr(simhash, "SMALL", 3)
+    if two:
+        monkeypatch.setattr(simhash, "BUCKET", 0)  # two segments, as for many fingerprints
     rnd = random.Random(4)
     fps = set()
     for _ in range(40):
