@@ -237,7 +237,8 @@ def _run(docs: DataFrame, finish: Callable[[Codec, np.ndarray], tuple], fields:
     out = T.StructType([T.StructField("doc_id", ids), *fields])
     names = [f.name for f in fields]
     # Leaves are keyed by what they are cut from: a task that runs again makes the same rows.
-    piece = T.StructType([T.StructField("doc_id", ids), T.StructField("key", T.BinaryType()), T.StructField("at", T.LongType()), T.StructField("piece", T.BinaryType()), T.StructField("ids", T.BinaryType())])
+    piece = T.StructType([T.StructField("doc_id", ids), T.StructField("key", T.BinaryType()), T.StructField("at", T.LongType()), T.StructField("piece", T.BinaryType())])
+    coded = T.StructType([*piece.fields, T.StructField("copies", T.LongType()), T.StructField("ids", T.BinaryType())])
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     rows = docs.select("doc_id", "text")
 
@@ -254,37 +255,38 @@ def _run(docs: DataFrame, finish: Callable[[Codec, np.ndarray], tuple], fields:
                 starts = halves(0, len(data), leaf, data)
                 n = len(starts)
                 key = xxhash.xxh3_128_digest(repr(d).encode() + b"\0" + data)
-                yield {"doc_id": [d] * n, "key": [key] * n, "at": starts, "piece": [data[s:e] for s, e in zip(starts, [*starts[1:], None])], "ids": [None] * n}
+                yield {"doc_id": [d] * n, "key": [key] * n, "at": starts, "piece": [data[s:e] for s, e in zip(starts, [*starts[1:], None])]}
 
     def encode(batches) -> Iterator[dict]:
         c = codec()
         for b in slices(batches):
             got = [c.encode(x.decode()).astype("<u4").tobytes() for x in b.column(3).to_pylist()]
-            yield {**{n: b.column(i) for i, n in enumerate(("doc_id", "key", "at", "piece"))}, "ids": got}
+            yield {**{n: b.column(i) for i, n in enumerate(("doc_id", "key", "at", "piece", "copies"))}, "ids": got}
 
     def assemble(batches) -> Iterator[dict]:
         c, held = codec(), []
 
-        def done() -> dict:
-            copies = sum(x[2] == 0 for x in held)  # equal rows have equal leaves, side by side
-            leaves = held[::copies]
-            data = b"".join(x[3] for x in leaves)
-            tokens = join_leaves(c, data, [x[2] for x in leaves], [np.frombuffer(x[4], "<u4") for x in leaves])
+        def done() -> Iterator[dict]:
+            tokens = join_leaves(c, b"".join(x[3] for x in held), [x[2] for x in held], [np.frombuffer(x[5], "<u4") for x in held])
             got = finish(c, tokens)
-            return {"doc_id": [held[0][0]] * copies, **{n: [v] * copies for n, v in zip(names, got)}}
+            for i in range(0, held[0][4], 1024):
+                n = min(1024, held[0][4] - i)
+                yield {"doc_id": [held[0][0]] * n, **{name: [v] * n for name, v in zip(names, got)}}
 
         for b in slices(batches):
             for x in zip(*(col.to_pylist() for col in b.columns)):
                 if held and x[1] != held[0][1]:
-                    yield done()
+                    yield from done()
                     held = []
                 held.append(x)
         if held:
-            yield done()
+            yield from done()
 
     whole = arrow_map(rows.where(size <= leaf), short, out)
     leaves = arrow_map(rows.where(size > leaf), cut, piece)
-    encoded = arrow_map(leaves.repartition("key", "at"), encode, piece)
+    # Equal rows are counted, by a combinable aggregate, and encoded once.
+    once = leaves.groupBy("key", "at").agg(F.first("doc_id").alias("doc_id"), F.first("piece").alias("piece"), F.count("*").alias("copies"))
+    encoded = arrow_map(once.select("doc_id", "key", "at", "piece", "copies"), encode, coded)
     return whole.unionByName(arrow_map(encoded.repartition("key").sortWithinPartitions("key", "at"), assemble, out))
 
 

@@ -194,6 +194,16 @@ def test_bpe_round_trip(spark, edges, small, nothing, library, leaf):
         assert got == want
 
 
+def test_bpe_of_many_equal_long_rows(spark, library):
+    text = "".join(random.Random(8).choice(["ab ", "é", "  ", "long", "\n"]) for _ in range(900))
+    rows = [(1, text)] * 3000 + [(None, text)] * 40 + [(2, text), (3, text[:-1]), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = Counter()
+    for d, t in rows:
+        want[(d, len(library.encode(t or "", add_special_tokens=False).ids), sha((t or "").encode()))] += 1
+    assert table(bpe.round_trip(docs, VOCABULARY, 200), "doc_id", "n_tokens", "decoded_sha256") == want
+
+
 def test_bpe_encode_then_decode(spark, edges):
     back = bpe.bpe_decode(bpe.bpe_encode(edges, VOCABULARY, 500), VOCABULARY)
     assert table(back, "doc_id", "text") == Counter((r.doc_id, r.text or "") for r in edges.collect())
