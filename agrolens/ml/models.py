@@ -146,12 +146,14 @@ def yield_fit_gate(rows: DataFrame, min_rows: int = 10) -> DataFrame:
     return rows.agg(n.alias("n_valid"), (n > min_rows).alias("fits"))
 
 
-def train_yield(production: DataFrame, min_rows: int = 10, max_iter: int = 100, seed: int = 42) -> DataFrame:
+def train_yield(production: DataFrame, min_rows: int = 10, max_iter: int = 100, seed: int = 42, strict_compat: bool = False) -> DataFrame:
     """M7 + M8 + F2 + S10: yield regressor with per-crop median fallback.
 
     Fits ``max_iter`` boosted trees (depth 5, step 0.1) on the training rows
     that have a yield, using area, year and one-hot season and crop (the crop
-    is a feature, so each crop gets its own estimate).  With ``min_rows`` such
+    is a feature, so each crop gets its own estimate; with ``strict_compat`` the
+    model does not see the crop, as in the reference, and all crops of a place,
+    season and year get one estimate).  With ``min_rows`` such
     rows or fewer the model is skipped.  Predictions fall back to the exact
     per-crop training median, then 0.  The fitted pipeline is saved to and
     reloaded from the shared folder.
@@ -174,7 +176,7 @@ def train_yield(production: DataFrame, min_rows: int = 10, max_iter: int = 100,
     stages = [StringIndexer(inputCol="target_crop", outputCol="_ci", handleInvalid="keep"),
               StringIndexer(inputCol="season", outputCol="_si", handleInvalid="keep"),
               OneHotEncoder(inputCols=["_ci", "_si"], outputCols=["_co", "_so"], handleInvalid="keep"),
-              VectorAssembler(inputCols=["area_ha", "year", "_co", "_so"], outputCol="features",
+              VectorAssembler(inputCols=["area_ha", "year", *([] if strict_compat else ["_co"]), "_so"], outputCol="features",
                               handleInvalid="keep"),
               GBTRegressor(featuresCol="features", labelCol="yield_kg_ha", maxDepth=5, maxIter=max_iter,
                            stepSize=0.1, seed=seed, predictionCol="_pred", cacheNodeIds=True)]

@@ -135,6 +135,17 @@ def soil_record(soil: DataFrame) -> DataFrame:
         F.when(miss, F.lit("defaults")).otherwise(F.lit("soilgrids")).alias("source"))
 
 
+def soil_record_full(soil: DataFrame) -> DataFrame:
+    """P21 + P23 with every property of the payload: texture (clay, sand, silt), carbon, nitrogen,
+    exchange capacity and density beside N/P/K; without a pH the defaults, all else unknown."""
+    s = estimate_npk(soil)
+    miss = F.col("pH").isNull()
+    defaults = {"pH": 6.5, "N_kg_ha": 50.0, "P_kg_ha": 25.0, "K_kg_ha": 25.0}
+    names = [c for _, c, _ in dims.SOIL_PROPERTIES] + ["N_kg_ha", "P_kg_ha", "K_kg_ha"]
+    return s.select("location_id", *[F.when(miss, F.lit(defaults.get(n)).cast("double")).otherwise(F.col(n)).alias(n) for n in names],
+                    F.when(miss, F.lit("defaults")).otherwise(F.lit("soilgrids")).alias("source"))
+
+
 # ---- weather (F3, F9, A13, A14, D2) -----------------------------------------
 
 def weather_window(daily: DataFrame, as_of: str, years_back: int = 3) -> DataFrame:
@@ -175,6 +186,37 @@ def growing_degree_days(daily: DataFrame, base_c: float, floor_at_zero: bool = T
     return daily.groupBy("location_id").agg(F.round(F.sum(term), 4).alias("gdd"))
 
 
+def seasonal_normals(daily: DataFrame, season: str, strict_compat: bool = False) -> DataFrame:
+    """A season's normals with its tag.  The name is trimmed and lower-cased; an unknown season gives
+    the whole year, untagged.  ``strict_compat`` keeps the reference's quirk: the tag without the month filter."""
+    name = season.strip().lower()
+    known = name in {s for s, _, _ in dims.SEASON_MONTHS}
+    days = season_filter(daily, name) if known and not strict_compat else daily
+    return weather_normals(days).withColumn("season", F.lit(name if known else None).cast("string"))
+
+
+def crop_degree_days(daily: DataFrame, floor_at_zero: bool = True) -> DataFrame:
+    """D2 by crop: degree days over each year's season of a crop above the crop's own base temperature.
+
+    A day goes to the season it lies in (winter's January counts to the year before), and the crops of a
+    season to its base by a small fixed table; days without a temperature add nothing.  One combinable aggregate."""
+    from agrolens.operators.seasonal import season_of
+
+    season, began = season_of(F.col("d"))
+    by_season: dict[str, list] = {}
+    for crop, of, base in dims.DEGREE_DAY_BASES:
+        by_season.setdefault(of, []).append(F.struct(F.lit(crop).alias("crop"), lit_d(base).alias("base_c")))
+    days = daily.select("location_id", "t_mean", season.alias("season"), began.alias("season_year")).where(F.col("season").isin(list(by_season)))
+    crops = F.coalesce(*[F.when(F.col("season") == of, F.array(*rows)) for of, rows in by_season.items()])
+    each = days.select("location_id", "season", "season_year", "t_mean", F.inline(crops))
+    term = F.col("t_mean") - F.col("base_c")
+    term = F.greatest(term, lit_d(0.0)) if floor_at_zero else term
+    # ``greatest`` skips nulls, so a missing temperature is left out beforehand.
+    term = F.when(F.col("t_mean").isNotNull(), term)
+    return each.groupBy("location_id", "crop", "season", "season_year").agg(
+        F.round(F.coalesce(F.sum(term), lit_d(0.0)), 4).alias("gdd"), F.count("t_mean").alias("n_days"))
+
+
 # ---- market prices (R4, F5, W6, J11) ----------------------------------------
 
 def latest_prices(prices: DataFrame) -> DataFrame:
@@ -203,13 +245,15 @@ SOURCE_WEATHER = "Open-Meteo ERA5 (weather)"
 SOURCE_REGIONAL = "ICAR/MoA Crop Statistics (regional crops)"
 
 
-def location_profile(resolved: DataFrame, soil: DataFrame, weather: DataFrame) -> DataFrame:
+def location_profile(resolved: DataFrame, soil: DataFrame, weather: DataFrame, strict_compat: bool = False) -> DataFrame:
     """J13 + P25 + P30: one row per resolved location: model input with
     defaults (N50 P25 K25 T27 H70 pH6.5 rain1000), the list of defaulted
     fields, and the ordered list of data sources used.  Every side is
     optional (left joins on location_id); a missing soil record counts as
-    the default soil record.  Builds the intended ``coalesce`` behaviour."""
-    dfl = dims.MODEL_INPUT_DEFAULTS
+    the default soil record.  Builds the intended ``coalesce`` behaviour; with
+    ``strict_compat`` missing weather goes on as 0 and is not named, as in the reference."""
+    dfl = dims.MODEL_INPUT_DEFAULTS | (dict.fromkeys(("temperature", "humidity", "rainfall"), 0.0) if strict_compat else {})
+    named = F.lit(not strict_compat)
     states = [s.lower() for s in dims.STATE_CROPS]
     s = soil.select("location_id", F.col("pH").alias("_s_ph"), F.col("N_kg_ha").alias("_s_n"),
                     F.col("P_kg_ha").alias("_s_p"), F.col("K_kg_ha").alias("_s_k"), F.col("source").alias("_s_src"))
@@ -227,9 +271,9 @@ def location_profile(resolved: DataFrame, soil: DataFrame, weather: DataFrame) -
         F.coalesce("_w_r", lit_d(dfl["rainfall"])).alias("rainfall"),
         F.array_join(F.array_compact(F.array(
             F.when(soil_default & (F.coalesce("_s_n", lit_d(dfl["N"])) == dfl["N"]), F.lit("N")),
-            F.when(F.col("_w_t").isNull(), F.lit("temperature")),
-            F.when(F.col("_w_h").isNull(), F.lit("humidity")),
-            F.when(F.col("_w_r").isNull(), F.lit("rainfall")))), ", ").alias("used_defaults"),
+            F.when(named & F.col("_w_t").isNull(), F.lit("temperature")),
+            F.when(named & F.col("_w_h").isNull(), F.lit("humidity")),
+            F.when(named & F.col("_w_r").isNull(), F.lit("rainfall")))), ", ").alias("used_defaults"),
         F.array_join(F.array_compact(F.array(
             F.lit(SOURCE_GEO), F.lit(SOURCE_SOIL),
             F.when(F.col("_w_t").isNotNull(), F.lit(SOURCE_WEATHER)),

@@ -19,7 +19,7 @@ class Query:
 
 
 REGISTRY: dict[str, Query] = {}
-PLAN_MODULES = ["q_rules", "q_ingest", "q_validate", "q_metrics", "q_location", "q_features", "q_stream", "q_ml", "q_docs", "q_payloads", "q_documented", "q_joined"]
+PLAN_MODULES = ["q_rules", "q_ingest", "q_validate", "q_metrics", "q_location", "q_features", "q_stream", "q_ml", "q_docs", "q_payloads", "q_documented", "q_joined", "q_switches"]
 
 
 def register(name: str, sql: str | None = None, note: str = ""):

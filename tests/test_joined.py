@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from agrolens.functions.ranking import group_row_number
-from agrolens.operators import features, location_job, seasonal, trial
+from agrolens.ml import models
+from agrolens.operators import features, location, location_job, seasonal, trial
 
 
 def test_season_and_its_year(spark):
@@ -95,3 +96,32 @@ def test_modes_read_only_what_they_need(spark):
         raise AssertionError("read")
     places = spark.createDataFrame([(1, 2.0, 3.0, "s", "x", None)], "location_id int, latitude double, longitude double, state string, display_name string, error string")
     assert location_job.run("dry_run", lambda: places, never, never, never).count() == 1
+
+
+def test_seasons_asked_by_name_and_degree_days(spark):
+    rows = [(1, "2020-01-10", 20.0, 1.0), (1, "2020-11-10", 5.0, 2.0), (1, "2020-12-10", None, 3.0), (1, "2020-07-10", 30.0, 4.0), (2, None, 25.0, 1.0)]
+    wx = spark.createDataFrame(rows, "location_id int, d string, t_mean double, precip double").withColumn("d", F.col("d").cast("date"))
+    wx = wx.withColumns({"t_max": F.col("t_mean"), "t_min": F.col("t_mean"), "humidity": F.lit(60.0)})
+
+    def normals(season, strict=False):
+        return {r.location_id: (r.season, r.avg_temp_c, r.data_points) for r in location.seasonal_normals(wx, season, strict).collect()}
+
+    assert normals(" Rabi") == {1: ("rabi", 12.5, 2)}
+    assert normals("Rabi", True) == {1: ("rabi", 18.3, 3), 2: ("rabi", 25.0, 1)}  # the tag alone
+    assert normals("monsoon") == {1: (None, 18.3, 3), 2: (None, 25.0, 1)} == normals("monsoon", True)
+    got = {(r.crop, r.season_year): (r.gdd, r.n_days) for r in location.crop_degree_days(wx).collect()}
+    assert got == {("wheat", 2019): (10.0, 1), ("wheat", 2020): (0.0, 1), ("rice", 2020): (15.0, 1)}
+    got = {(r.crop, r.season_year): r.gdd for r in location.crop_degree_days(wx, floor_at_zero=False).collect()}
+    assert got["wheat", 2020] == -5.0
+    assert location.crop_degree_days(wx.limit(0)).count() == 0
+
+
+def test_yield_model_blind_to_the_crop(spark):
+    rows = [(i, ["rice", "wheat"][i % 2], "Rabi", 2000 + i // 2 % 5, f"D{i // 8}", 2.0, [1000.0, 9000.0][i % 2]) for i in range(80)]
+    made = spark.createDataFrame(rows, "record_id long, target_crop string, season string, year int, district string, area_ha double, yield_kg_ha double")
+
+    def guesses(strict):
+        return {c: {round(r.predicted_yield) for r in models.train_yield(made, max_iter=2, strict_compat=strict).collect() if r.target_crop == c} for c in ("rice", "wheat")}
+
+    seen, blind = guesses(False), guesses(True)
+    assert max(seen["rice"]) < min(seen["wheat"]) and blind["rice"] == blind["wheat"]
