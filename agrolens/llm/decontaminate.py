@@ -10,11 +10,16 @@ an item reaches ``cosine`` are candidates, and a candidate's words are held
 against the item's: their longest common subsequence covers ``copied`` of the
 item, or ``paraphrased`` of it and the item's answer as well.
 
-The benchmark is taken in blocks of ``block`` items, which bounds the terms
-and axes that tasks are sent; each block is a query set against all rows.
+Items of less than ``least_words`` words have no windows to speak of; their
+whole word sequence is looked for as it is, by an automaton over the folded
+text (a sentence of an unspaced script is one word, so its neighbours may touch it).
+
+The benchmark is taken in blocks of ``block`` items, one after another, which
+bounds the terms and axes that the driver holds and tasks are sent; each block
+is a query set against all rows.
 
 Defined results: null and empty texts and items match nothing; items with
-less than ``least_words`` words are too short to tell and match nothing; ties
+less than ``least_words`` words and ``least_bytes`` bytes are too short to tell and match nothing; ties
 in cosine go to the earlier window; repeated rows (or items) give repeated
 results; other columns are ignored; empty tables give an empty table.
 """
@@ -24,15 +29,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import repeat
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agrolens.llm.common import arrow_map, documents, fresh, query, quoted, slices
+from agrolens.llm.common import arrow_map, documents, fresh, query, quoted, slices, stored
 
 #: Bytes of words: ASCII letters, digits and all of non-ASCII characters; the rest parts words.
 _FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -55,6 +62,7 @@ class Rule:
     paraphrased: float = 0.6
     answered: float = 0.8
     least_words: int = 8
+    least_bytes: int = 24
     block: int = 2000
     seed: int = 42
 
@@ -63,15 +71,20 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
+def places(codes: list[int]) -> dict[int, int]:
+    """The bits of the places that each code has."""
+    masks: dict[int, int] = {}
+    for i, c in enumerate(codes):
+        masks[c] = masks.get(c, 0) | 1 << i
+    return masks
+
+
 class Item:
-    """A window of a benchmark item: its words as term codes, and the answer's place in it."""
+    """A window of a benchmark item: its words as term codes, and the whole item's answer."""
 
-    def __init__(self, item_id, codes: list[int], answer: int):
-        self.item_id, self.codes, self.n = item_id, codes, len(codes)
-        self.masks: dict[int, int] = {}
-        for i, c in enumerate(codes):
-            self.masks[c] = self.masks.get(c, 0) | 1 << i
-        self.answer = codes[answer:]
+    def __init__(self, item_id, codes: list[int], answer: list[int], whole: bool):
+        self.item_id, self.codes, self.n, self.whole = item_id, codes, len(codes), whole
+        self.masks, self.answer, self.answer_masks = places(codes), answer, places(answer)
 
     @property
     def length(self) -> int:
@@ -91,9 +104,9 @@ def subsequence(masks: dict[int, int], n: int, codes: list[int]) -> int:
 
 
 def answer_start(text: str, n: int) -> int:
-    """Where the answer begins, in words: the last sentence, or the last quarter if there is one sentence."""
-    ends = [m.end() for m in re.finditer(r"[.!?]\s", text)]
-    return len(words(text[:ends[-1]])) if ends else n - max(1, n // 4)
+    """Where the answer begins, in words: the last sentence with a word, or the last quarter if there is one sentence."""
+    starts = [len(words(text[:m.end()])) for m in re.finditer(r"[.!?]\s", text)]
+    return max((at for at in starts if 0 < at < n), default=n - max(1, n // 4))
 
 
 class Benchmark:
@@ -102,17 +115,21 @@ class Benchmark:
     def __init__(self, rows: list[tuple], rule: Rule):
         self.terms: dict[str, int] = {}
         self.items: list[Item] = []
+        self.short: dict[str, list] = {}  # folded bytes, one character each, and their items
         for item_id, text in rows:
             ws = words(text)
             if len(ws) < rule.least_words:
+                short = b" ".join(ws)
+                if len(short) >= rule.least_bytes:
+                    self.short.setdefault(short.decode("latin-1"), []).append(item_id)
                 continue
             codes = [self.terms.setdefault(w, len(self.terms)) for w in ws]
+            answer = codes[answer_start(text, len(codes)):]
             if len(codes) <= LONGEST:
-                self.items.append(Item(item_id, codes, answer_start(text, len(codes))))
+                self.items.append(Item(item_id, codes, answer, True))
                 continue
             for i in range(0, len(codes) - LONGEST // 2, LONGEST // 2):
-                part = codes[i:i + LONGEST]
-                self.items.append(Item(item_id, part, len(part) * 3 // 4))
+                self.items.append(Item(item_id, codes[i:i + LONGEST], answer, False))
 
     def codes(self, text: str | None) -> np.ndarray:
         """Term codes of a text's words; words that no item has share the last code."""
@@ -204,9 +221,9 @@ class Searcher:
     """Finds a block's items in texts; holds only what the block's size bounds."""
 
     def __init__(self, bench: Benchmark, vectors: np.ndarray, rule: Rule):
-        self.bench, self.rule = bench, rule
+        self.bench, self.rule, self.automaton = bench, rule, None
         self.vectors = np.vstack([vectors, np.zeros(vectors.shape[1])]).astype(np.float32)
-        self.least = min(i.n for i in bench.items) * rule.paraphrased
+        self.least = min((i.n for i in bench.items), default=0) * rule.paraphrased
         self.scales: dict[int, tuple[list[int], np.ndarray]] = {}
         for length in sorted({i.length for i in bench.items}):
             mine = [k for k, i in enumerate(bench.items) if i.length == length]
@@ -222,6 +239,10 @@ class Searcher:
         best: list[dict] = [{} for _ in texts]
         held, size = [], 0
         for i, t in enumerate(texts):
+            if self.bench.short:
+                self._short(t, best[i])
+            if not self.bench.items:
+                continue
             codes = self.bench.codes(t)
             if np.count_nonzero(codes < len(self.bench.terms)) < self.least:
                 continue
@@ -236,6 +257,22 @@ class Searcher:
             self._fold(held, best)
         return [[found[k] for k in sorted(found, key=str)] for found in best]
 
+    def _short(self, text: str | None, best: dict) -> None:
+        """Short items by their whole word sequence: an ASCII letter or digit must not go on beyond either end."""
+        if self.automaton is None:
+            self.automaton = ahocorasick.Automaton()
+            for short, ids in self.bench.short.items():
+                self.automaton.add_word(short, (short, ids))
+            self.automaton.make_automaton()
+        folded = b" ".join(words(text)).decode("latin-1")
+        for last, (short, ids) in self.automaton.iter(folded):
+            start = last + 1 - len(short)
+            before, after = folded[max(0, start - 1):start], folded[last + 1:last + 2]
+            if before.isascii() and before.strip() and short[0].isascii() or after.isascii() and after.strip() and short[-1].isascii():
+                continue
+            for item_id in ids:
+                best.setdefault(item_id, (item_id, 1.0, 1.0, folded.count(" ", 0, start), "copy"))
+
     def _fold(self, held: list[tuple[int, int, np.ndarray]], best: list[dict]) -> None:
         """Fold pieces of texts, laid end to end, into the latent space; verify the windows near an item."""
         # Pieces begin on whole grains, so that sums are kept of grains only; what fills a piece up is no term.
@@ -286,73 +323,96 @@ class Searcher:
         bound = np.bincount(key // len(self.vectors), np.minimum(count, most[enough][row[at], col[at]]), len(enough))
         for i in enough[bound >= need[k[enough]] - 1e-9]:
             a, b = s[i], k[i]
-            text, offset, _ = held[of[a]]
-            self._verify(codes[lo[a]:hi[a]].tolist(), int(starts[a] - first[of[a]]) + offset, self.bench.items[mine[b]], float(near[a, b]), best[text])
-
-    def _verify(self, region: list[int], start: int, item: Item, cosine: float, best: dict) -> None:
+            text, offset, piece = held[of[a]]
+            self._verify(codes[lo[a]:hi[a]].tolist(), int(starts[a] - first[of[a]]) + offset, self.bench.items[mine[b]], float(near[a, b]), best[text], piece)
+
+    def _answered(self, item: Item, region: list[int], codes: np.ndarray) -> bool:
+        """The whole item's answer is in the region; that of a longer item in any stretch of the text's piece."""
+        n = len(item.answer)
+        stretches = [region]
+        if not item.whole:
+            size = 2 * max(n, 16)
+            stretches = (codes[i:i + size].tolist() for i in range(0, max(1, len(codes) - size // 2), size // 2))
+        return any(subsequence(item.answer_masks, n, c) >= self.rule.answered * n for c in stretches)
+
+    def _verify(self, region: list[int], start: int, item: Item, cosine: float, best: dict, codes: np.ndarray) -> None:
         share = subsequence(item.masks, item.n, region) / item.n
         if share < self.rule.paraphrased or item.item_id in best and best[item.item_id][2] >= share:
             return
         kind = "copy"
         if share < self.rule.copied:
-            masks: dict[int, int] = {}
-            for i, c in enumerate(item.answer):
-                masks[c] = masks.get(c, 0) | 1 << i
-            if subsequence(masks, len(item.answer), region) < self.rule.answered * len(item.answer):
+            if not self._answered(item, region, codes):
                 return
             kind = "paraphrase"
         best[item.item_id] = (item.item_id, cosine, share, start, kind)
 
 
-def searchers(docs: DataFrame, benchmark: DataFrame, rule: Rule) -> list[Searcher]:
-    """One searcher a block of items."""
-    out, held = [], []
-
-    def close():
-        bench = Benchmark(held, rule)
-        if bench.items:
-            df, passages = _frequencies(docs, bench)
-            idf = np.log((passages + 1) / (df + 1)) + 1e-3
-            out.append(Searcher(bench, _axes(docs, bench, idf, rule) * idf[:, None], rule))
+def searchers(docs: DataFrame, benchmark: DataFrame, rule: Rule) -> Iterator[Searcher]:
+    """One searcher a block of items; the next is made when the one before has been used."""
+    def made(rows: list[tuple]) -> Searcher:
+        bench = Benchmark(rows, rule)
+        if not bench.items:
+            return Searcher(bench, np.zeros((len(bench.terms), 1)), rule)
+        df, passages = _frequencies(docs, bench)
+        idf = np.log((passages + 1) / (df + 1)) + 1e-3
+        return Searcher(bench, _axes(docs, bench, idf, rule) * idf[:, None], rule)
 
+    held = []
     for r in benchmark.where("text IS NOT NULL").select("item_id", "text").toLocalIterator():
         held.append((r.item_id, r.text))
         if len(held) == rule.block:
-            close()
+            yield made(held)
             held = []
     if held:
-        close()
-    return out
+        yield made(held)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """One row a document and item found in it: doc_id, item_id, cosine, common, start_word, kind."""
-    found = searchers(docs, benchmark, rule)
+    """One row a document and item found in it: doc_id, item_id, cosine, common, start_word, kind.
+
+    Each block but the last is a job of its own, whose rows are stored.
+    """
     schema = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", benchmark.schema["item_id"].dataType),
         T.StructField("cosine", T.DoubleType()), T.StructField("common", T.DoubleType()), T.StructField("start_word", T.LongType()), T.StructField("kind", T.StringType()),
     ])
 
-    def run(batches) -> Iterator[dict]:
-        for b in slices(batches):
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            rows = [(d, *hit) for s in found for d, hits in zip(ids, s.find(texts)) for hit in hits]
-            yield dict(zip(schema.fieldNames(), zip(*rows) if rows else [()] * 6))
+    def found(searcher: Searcher) -> DataFrame:
+        def run(batches) -> Iterator[dict]:
+            for b in slices(batches):
+                ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+                rows = [(d, *hit) for d, hits in zip(ids, searcher.find(texts)) for hit in hits]
+                yield dict(zip(schema.fieldNames(), zip(*rows) if rows else [()] * 6))
 
-    return arrow_map(docs.select("doc_id", "text"), run, schema)
+        return arrow_map(docs.select("doc_id", "text"), run, schema)
 
+    parts: list[DataFrame] = []
+    for searcher in searchers(docs, benchmark, rule):
+        if parts:
+            parts[-1] = stored(parts[-1], "contaminated")
+        parts.append(found(searcher))
+    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """The documents in which no item is found, all their columns unchanged."""
-    found = searchers(docs, benchmark, rule)
 
-    @F.pandas_udf(T.BooleanType())
-    def clean(texts: pd.Series) -> pd.Series:
-        hit = [s.find(list(texts)) for s in found]
-        return pd.Series([not any(h[i] for h in hit) for i in range(len(texts))], dtype=bool)
+def keep_clean(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """The documents in which no item is found, all their columns unchanged.
 
+    Each block but the last is a job of its own, whose documents are stored and read by the next.
+    """
     name = fresh(docs, "_clean")
-    return docs.withColumn(name, clean("text")).where(quoted(name)).select(*[quoted(c) for c in docs.columns])
+
+    def clean(left: DataFrame, searcher: Searcher) -> DataFrame:
+        @F.pandas_udf(T.BooleanType())
+        def free(texts: pd.Series) -> pd.Series:
+            return pd.Series([not hits for hits in searcher.find(list(texts))], dtype=bool)
+
+        return left.withColumn(name, free("text")).where(quoted(name)).select(*[quoted(c) for c in docs.columns])
+
+    left, blocks = docs, 0
+    for searcher in searchers(docs, benchmark, rule):
+        left = clean(stored(left, "clean") if blocks else left, searcher)
+        blocks += 1
+    return left
 
 
 @query("op1_decontaminate")

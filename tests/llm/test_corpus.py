@@ -188,6 +188,31 @@ def test_decontaminate_planted(spark, nothing):
     assert decontaminate.contaminated(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_decontaminate_short_items_answers_and_blocks(spark):
+    from llm_frames import frame, prose
+    rnd = random.Random(12)
+    questions = [item(rnd, 24) for _ in range(9)]
+    items = [(i, q + ". ") for i, q in enumerate(questions)]  # ends in a blank: the answer is not empty
+    long = [f"w{rnd.randrange(400)}" for _ in range(150)]
+    items += [(20, "Which river crosses Vienna today?"), (21, "今日は天気がとても良いです"), (22, "a b c"), (23, " ".join(long[:140]) + ". " + "zyx " * 10)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    half = [w if k % 3 else "other" + w for k, w in enumerate(long[:140])]
+    texts = {0: prose(rnd, 50) + " " + questions[0] + " " + prose(rnd, 50),
+             1: "so, WHICH river crosses  vienna today then", 2: "Which rivers cross Vienna today", 3: "hewhich river crosses vienna today", 4: "天気。今日は天気がとても良いですね。",
+             5: " ".join(half) + " end", 6: " ".join(half) + " " + "zyx " * 10, 7: "a b c " * 30, 8: None, 9: ""}
+    words = questions[1].split(" ")
+    texts[10] = " ".join("other" + w if k % 4 == 1 and k < 16 else w for k, w in enumerate(words))  # a paraphrase with its answer
+    texts[11] = " ".join("other" + w if k >= 16 else w for k, w in enumerate(words))  # without its answer
+    docs = frame(spark, list(texts.items())).repartition(2)
+    want = {(0, 0), (1, 20), (4, 21), (6, 23), (10, 1)}
+    for block in (2000, 4):
+        rule = decontaminate.Rule(block=block)
+        got = decontaminate.contaminated(docs, bench, rule).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+        clean = decontaminate.keep_clean(docs, bench, rule)
+        assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == sorted(set(texts) - {d for d, _ in want})
+
+
 def test_decontaminate_recall_against_five_grams(spark):
     sf = "/root/testdata/sf0.01"
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
@@ -212,7 +237,7 @@ def test_decontaminate_fits_all_documents(spark, monkeypatch):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
     rows, axes = [], decontaminate._axes
     monkeypatch.setattr(decontaminate, "_axes", lambda fit, *rest: rows.append(fit.count()) or axes(fit, *rest))
-    decontaminate.searchers(docs, bench, decontaminate.Rule())
+    list(decontaminate.searchers(docs, bench, decontaminate.Rule()))
     assert rows == [60_000]
 
 
