@@ -15,8 +15,8 @@ counts back, so that no table of all words is ever in one place; (3) rounds
 of training, each over its share of the chunks: tasks run gradient steps from
 the round's weights and send their change in blocks, which are averaged by
 tokens; (4) chunks are scored.  What is kept on the driver is the weights,
-whose size has a parameter as its least and grows with the roots of the
-corpus' tokens and distinct words.
+whose size grows with the roots of the corpus' tokens and distinct words
+between two parameters (``Shape``'s sizes and ``most``).
 
 Defined results: a null text is empty; an empty text is one end token; a null
 id hashes as an empty text; repeated rows are trained on and scored each for
@@ -34,7 +34,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,6 +59,7 @@ class Shape:
     rate: float = 0.1
     chunk: int = 16 << 20
     blocks: int = 32
+    most: int = 1 << 25  # weights of each softmax at most, whatever the corpus
 
     @property
     def classes(self) -> int:
@@ -69,14 +70,17 @@ class Shape:
 
         Each power of two that a count can reach is a class of its own; head
         words grow with the root of the distinct words, and hashed features
-        with the root of the tokens, so that weights stay small on the driver.
+        with the root of the tokens, up to ``most`` weights a softmax: that
+        bounds what the driver holds and tasks are sent.
         """
-        head = math.isqrt(max(distinct, 1) - 1) + 1
+        head = min(math.isqrt(max(distinct, 1) - 1) + 1, math.isqrt(self.most))
         grown = 1 << (math.isqrt(max(total, 1) - 1)).bit_length()
-        return replace(
-            self, head=max(self.head, -(-head // self.width) * self.width), bins=max(self.bins, total.bit_length()),
-            rows=max(self.rows, grown), word_rows=max(self.word_rows, grown // 2),
-        )
+        shape = replace(self, head=max(self.head, -(-head // self.width) * self.width), bins=max(self.bins, total.bit_length()))
+
+        def fit(least: int, wanted: int, each: int) -> int:
+            return max(least, min(wanted, 1 << (self.most // each).bit_length() - 1))
+
+        return replace(shape, rows=fit(self.rows, grown, shape.classes), word_rows=fit(self.word_rows, grown // 2, self.width))
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -258,11 +262,9 @@ def encoded(docs: DataFrame, shape: Shape) -> tuple[DataFrame, int, int, np.ndar
     """(chunks with their words' counts, N, V, mass of each count class)."""
     parts = stored(chunked(docs, shape), "lm-chunks")
     words = parts.where("word IS NOT NULL").select("chunk", "local", "word", "n")
-    # One shuffle by word gives each chunk's entry the word's count; the first entry stands for the word itself.
-    by_word = Window.partitionBy("word")
-    counted = words.withColumns({"c": F.sum("n").over(by_word), "first": F.min("chunk").over(by_word) == F.col("chunk")})
-    counted = stored(counted.select("chunk", "local", F.hash("word").alias("hash"), "c", F.when(F.col("first"), F.col("word")).alias("word")), "lm-counted")
-    seen = counted.where("word IS NOT NULL AND c > 0")
+    # Counts combine before they are exchanged; both sides of the join back are tables, so Spark can split a common word.
+    totals = stored(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
+    seen = totals.where("c > 0")
     total, distinct = seen.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     shape = shape.fitted(int(total), int(distinct))
     head = [r.word for r in seen.orderBy(F.desc("c"), "word").limit(shape.head).collect()]
@@ -299,7 +301,7 @@ def encoded(docs: DataFrame, shape: Shape) -> tuple[DataFrame, int, int, np.ndar
             yield done()
 
     # An entry comes with its count (rank -1), and once more with its rank if it is a head word (count -1).
-    back = counted.select("chunk", "local", "c", F.lit(-1).alias("head"), "hash")
+    back = words.join(totals, "word").select("chunk", "local", "c", F.lit(-1).alias("head"), F.hash("word").alias("hash"))
     back = back.unionByName(heads.select("chunk", "local", F.lit(-1).cast("long").alias("c"), "head", F.lit(0).alias("hash")))
     known = arrow_map(back.repartition("chunk").sortWithinPartitions("chunk", "local"), assemble, schema)
     texts = parts.where("word IS NULL").select("chunk", "doc_ids", "sizes", "held", "codes")

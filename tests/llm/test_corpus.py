@@ -335,3 +335,12 @@ def test_pipeline_stages(spark):
         left = ids
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == left
     assert corpus_pipeline.run.__doc__ and len(left) > 100
+
+
+def test_lm_weights_have_an_upper_size():
+    for total, distinct in ((0, 0), (10**6, 10**5), (10**10, 10**8), (10**14, 10**11), (10**18, 10**14)):
+        shape = maxent_lm.Shape().fitted(total, distinct)
+        assert shape.rows * shape.classes <= shape.most and shape.word_rows * shape.width <= shape.most
+        assert shape.rows >= 1 << 14 and shape.word_rows > shape.head // shape.width and shape.head % shape.width == 0
+    grown = [maxent_lm.Shape().fitted(10**n, 10**(n - 3)) for n in (8, 10, 12)]
+    assert grown[0].rows < grown[1].rows and grown[0].head <= grown[1].head <= grown[2].head
