@@ -310,3 +310,10 @@ def test_license_scan(spark, nothing):
     got = table(license_scan.license_scan(frame(spark, rows)), "doc_id", "kind", "unit", "template")
     assert got == Counter({(1, "line", 1, "mit-line"): 1, (4, "line", 0, "mit-line"): 2, (None, "line", 0, "apache-2.0-line"): 1, (5, "line", 0, "gpl-3.0-notice"): 1, (5, "paragraph", 0, "gpl-3.0-notice"): 1})
     assert license_scan.license_scan(nothing).count() == 0
+
+
+def test_line_dedup_query_takes_short_lines(spark, tmp_path):
+    rows = [(1, "short line\n\nown one"), (2, "Short  line\n\nown two")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_units, r.n_removed, r.removed_spans) for r in line_dedup.op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (2, 0, ""), 2: (2, 1, "0:12")}
