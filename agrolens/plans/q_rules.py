@@ -52,8 +52,7 @@ def q_rule_top3(spark, sf_dir):
 SELECT s.row_uid, s.sample_id, c.crop, CAST(c.rule_idx AS INTEGER) AS rule_idx, {rsql(SCORE_SQL, 6)} AS score
 FROM samples s CROSS JOIN crop_rule c""")
 def q_rule_scores(spark, sf_dir):
-    t = rules.rule_scores_long(samples(spark, sf_dir), KEYS)
-    return t.select(*KEYS, "crop", "rule_idx", F.round("score", 6).alias("score"))
+    return rules.rule_scores_long(samples(spark, sf_dir), KEYS, 6).select(*KEYS, "crop", "rule_idx", "score")
 
 
 @register("baseline_accuracy", sql=with_fx("soil_samples", extra=SCORED_CTES) + f"""
