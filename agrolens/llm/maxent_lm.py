@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agrolens.llm.common import arrow_map, documents, query, slices, stored
+from agrolens.llm.common import arrow_map, documents, grouped_sums, query, slices, stored
 
 
 @dataclass(frozen=True)
@@ -84,11 +84,21 @@ class Shape:
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zstandard.compress(a.tobytes(), 1)
+    """Compressed whole numbers: all their first bytes, then all their second ones, as high bytes are mostly zero."""
+    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes(), 1)
 
 
 def _unpack(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(b), kind)
+    planes = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+class Codes(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 def held_out(doc_id) -> bool:
@@ -110,7 +120,7 @@ def chunked(docs: DataFrame, shape: Shape) -> DataFrame:
 
     def run(batches) -> Iterator[dict]:
         part, seq, size = TaskContext.get().partitionId(), 0, 0
-        code: dict[bytes, int] = {}
+        code = Codes()
         docs_, sizes, held, lists = [], [], [], []
 
         def close() -> Iterator[dict]:
@@ -129,8 +139,6 @@ def chunked(docs: DataFrame, shape: Shape) -> DataFrame:
         for b in slices(batches):
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = tokens(t)
-                for w in set(words).difference(code):
-                    code[w] = len(code)
                 lists.append(np.fromiter(map(code.__getitem__, words), np.int32, len(words)))
                 docs_.append(d)
                 sizes.append(len(words))
@@ -138,7 +146,7 @@ def chunked(docs: DataFrame, shape: Shape) -> DataFrame:
                 size += len(t or "")
                 if size >= shape.chunk:
                     yield from close()
-                    seq, size, code = seq + 1, 0, {}
+                    seq, size, code = seq + 1, 0, Codes()
                     docs_, sizes, held, lists = [], [], [], []
         if docs_:
             yield from close()
@@ -167,39 +175,53 @@ class Weights:
         return np.stack([cls, (h1 * 2654435761 + cls * 40503 >> 7) % r + first, (h2 * 2246822519 + cls * 60493 >> 9) % r + first])
 
 
-def _log_softmax(table: np.ndarray, rows: np.ndarray, bias: bool) -> np.ndarray:
-    """Rows of ``rows`` are features; ``bias`` adds the table's first row to all."""
+def _shifted(table: np.ndarray, rows: np.ndarray, bias: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores less their row's greatest, their exponentials, and these' sums by row.
+
+    Rows of ``rows`` are features; ``bias`` adds the table's first row to all.
+    """
     z = table.take(rows[0], axis=0)
+    room = np.empty_like(z)
     for r in rows[1:]:
-        z += table.take(r, axis=0)
+        z += np.take(table, r, axis=0, out=room, mode="clip")
     if bias:
         z += table[0]
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+    np.exp(z, out=room)
+    return z, room, room.sum(axis=1, keepdims=True)
+
+
+def _log_p(table: np.ndarray, rows: np.ndarray, y: np.ndarray, bias: bool) -> np.ndarray:
+    """Natural log probability of each row's ``y``."""
+    z, _, total = _shifted(table, rows, bias)
+    return z[np.arange(len(y)), y] - np.log(total[:, 0])
 
 
 def _step(table: np.ndarray, square: np.ndarray, rows: np.ndarray, y: np.ndarray, rate: float, bias: bool) -> None:
     """One adaptive gradient step on a batch; rows that tokens share get their summed gradient."""
-    g = np.exp(_log_softmax(table, rows, bias))
+    _, g, sums = _shifted(table, rows, bias)
+    g /= sums
     g[np.arange(len(y)), y] -= 1
     flat = rows.ravel().astype(np.uint16 if len(table) <= 1 << 16 else np.int64)  # 16 bits sort by radix
     order = np.argsort(flat, kind="stable")
     at = flat[order]
     start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     order %= len(y)
-    total = np.add.reduceat(g.take(order, axis=0), start, axis=0)
+    total = grouped_sums(g, order, start)
     at = at[start].astype(np.int64)
     if bias:
         at, total = np.r_[0, at], np.vstack([g.sum(axis=0), total])
     now = square.take(at, axis=0)
-    now += total * total
+    room = total * total
+    now += room
     square[at] = now
     now += 1e-6
     np.sqrt(now, out=now)
     total *= rate
     total /= now
-    table[at] -= total
+    np.take(table, at, axis=0, out=room, mode="clip")
+    room -= total
+    table[at] = room
 
 
 class Chunk:
@@ -231,10 +253,10 @@ class Chunk:
         tails = shape.head // shape.width
         for i in range(0, len(out), shape.batch):
             w, cls, within, h1, h2 = self.tokens(np.arange(i, min(i + shape.batch, len(out))))
-            lp = _log_softmax(weights.classes, weights.class_rows(h1, h2), True)[np.arange(len(cls)), cls].astype(np.float64)
+            lp = _log_p(weights.classes, weights.class_rows(h1, h2), cls, True).astype(np.float64)
             k = np.flatnonzero(within >= 0)
             if len(k):
-                lp[k] += _log_softmax(weights.words, weights.word_rows(cls[k], h1[k], h2[k]), False)[np.arange(len(k)), within[k]]
+                lp[k] += _log_p(weights.words, weights.word_rows(cls[k], h1[k], h2[k]), within[k], False)
             k = np.flatnonzero(within < 0)
             lp[k] += np.log((self.word_count[w[k]] + 0.5) / tail_mass[cls[k] - tails])
             out[i:i + shape.batch] = lp
@@ -269,7 +291,6 @@ def encoded(docs: DataFrame, shape: Shape) -> tuple[DataFrame, int, int, np.ndar
     shape = shape.fitted(int(total), int(distinct))
     head = [r.word for r in seen.orderBy(F.desc("c"), "word").limit(shape.head).collect()]
     rank = docs.sparkSession.createDataFrame([(bytes(w), i) for i, w in enumerate(head)], "word binary, head int")
-    heads = words.select("chunk", "local", "word").join(F.broadcast(rank), "word").select("chunk", "local", "head")
     tail = F.least(F.floor(F.log2(F.col("c").cast("double"))), F.lit(shape.bins - 1))
     mass = np.zeros(shape.bins)
     rest = seen.join(F.broadcast(rank), "word", "left_anti")
@@ -282,14 +303,11 @@ def encoded(docs: DataFrame, shape: Shape) -> tuple[DataFrame, int, int, np.ndar
         chunk, held = None, []
 
         def done() -> dict:
-            at, c, h, x = (np.concatenate(z) for z in zip(*held))
-            entry = c >= 0
-            heads = np.full(int(entry.sum()), -1, np.int32)
-            heads[at[~entry]] = h[~entry]
-            return {"chunk": [chunk], "counts": [_pack(c[entry].astype(np.int64))], "heads": [_pack(heads)], "hashes": [_pack(x[entry].astype(np.int64))]}
+            c, h, at = (np.concatenate(z) for z in zip(*held))
+            return {"chunk": [chunk], "counts": [_pack(c)], "heads": [_pack(h)], "hashes": [_pack(at.astype(np.int32).astype(np.int64))]}  # the low half
 
         for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             cut = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]]) if b.num_rows else []
             for s, e in zip(cut, [*cut[1:], b.num_rows]):
                 if held and cols[0][s] != chunk:
@@ -300,10 +318,11 @@ def encoded(docs: DataFrame, shape: Shape) -> tuple[DataFrame, int, int, np.ndar
         if held:
             yield done()
 
-    # An entry comes with its count (rank -1), and once more with its rank if it is a head word (count -1).
-    back = words.join(totals, "word").select("chunk", "local", "c", F.lit(-1).alias("head"), F.hash("word").alias("hash"))
-    back = back.unionByName(heads.select("chunk", "local", F.lit(-1).cast("long").alias("c"), "head", F.lit(0).alias("hash")))
-    known = arrow_map(back.repartition("chunk").sortWithinPartitions("chunk", "local"), assemble, schema)
+    # An entry's place and its word's hash share a number, which sorts by place.
+    place = F.shiftleft(F.col("local").cast("long"), 32).bitwiseOR(F.hash("word").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    back = words.select("chunk", "local", "word").join(totals.join(F.broadcast(rank), "word", "left"), "word")
+    back = back.select("chunk", "c", F.coalesce("head", F.lit(-1)).alias("head"), place.alias("place"))
+    known = arrow_map(back.repartition("chunk").sortWithinPartitions("chunk", "place"), assemble, schema)
     texts = parts.where("word IS NULL").select("chunk", "doc_ids", "sizes", "held", "codes")
     return stored(texts.join(known, "chunk"), "lm-encoded", 1), int(total), int(distinct), mass
 
