@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agrolens.llm.common import arrow_map, documents, fresh, query, quoted, slices, stored
+from agrolens.llm.common import arrow_map, documents, fresh, grouped_sums, query, quoted, slices, stored
 
 #: Bytes of words: ASCII letters, digits and all of non-ASCII characters; the rest parts words.
 _FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -138,19 +138,41 @@ class Benchmark:
         return np.fromiter(map(get, ws, repeat(none)), np.int64, len(ws))
 
 
+def whole(lists: list[np.ndarray], size: int, none: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes laid end to end, each list from a multiple of ``size`` on and filled up with ``none``; the lists' starts and room."""
+    n = np.array([len(c) for c in lists])
+    room = -(-n // size) * size
+    first = np.cumsum(room) - room
+    codes = np.full(int(room.sum()), none)
+    codes[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)] = np.concatenate(lists)
+    return codes, first, room
+
+
 def _frequencies(docs: DataFrame, bench: Benchmark) -> tuple[np.ndarray, int]:
     """Passages that hold each term, and all passages."""
     schema = T.StructType([T.StructField("term", T.IntegerType()), T.StructField("n", T.LongType())])
 
     def run(batches) -> Iterator[dict]:
-        count, none = np.zeros(len(bench.terms) + 1, np.int64), len(bench.terms)
+        count, none, held, size = np.zeros(len(bench.terms) + 1, np.int64), len(bench.terms), [], 0
+
+        def add() -> None:
+            codes, _, _ = whole(held, PASSAGE, none)
+            known = np.flatnonzero(codes < none)
+            keys = np.sort((known // PASSAGE * none + codes[known]).astype(np.int32 if len(codes) // PASSAGE * none < 1 << 31 else np.int64))
+            count[:none] += np.bincount(keys[np.r_[True, keys[1:] != keys[:-1]]] % none, minlength=none) if len(keys) else 0
+            count[none] += len(codes) // PASSAGE
+
         for b in slices(batches):
             for t in b.column(0).to_pylist():
                 c = bench.codes(t)
-                keys = np.unique(np.arange(len(c)) // PASSAGE * (none + 1) + c)
-                seen = keys % (none + 1)
-                count += np.bincount(seen[seen < none], minlength=none + 1)
-                count[none] += -(-len(c) // PASSAGE)
+                if len(c):
+                    held.append(c)
+                    size += len(c)
+                if size > 60_000:
+                    add()
+                    held, size = [], 0
+        if held:
+            add()
         yield {"term": np.arange(none + 1, dtype=np.int32), "n": count}
 
     df = np.zeros(len(bench.terms) + 1, np.int64)
@@ -168,16 +190,18 @@ def _axes(docs: DataFrame, bench: Benchmark, idf: np.ndarray, rule: Rule) -> np.
     size = 512  # terms a row
 
     def product(lists: list[np.ndarray], y: np.ndarray) -> None:
-        codes = np.concatenate(lists)
-        starts = np.concatenate([np.arange(0, len(c), PASSAGE) + at for c, at in zip(lists, np.cumsum([0, *map(len, lists[:-1])]))]).astype(np.int64)
-        rows = np.add.reduceat(weighted[codes], starts, axis=0)
-        of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(codes)]))
-        order = np.argsort(codes, kind="stable")
-        order = order[:np.searchsorted(codes[order], n)]
-        if len(order):
-            c = codes[order]
+        codes, _, _ = whole(lists, PASSAGE, n)
+        words_ = codes.reshape(-1, PASSAGE).T
+        rows = weighted.take(words_[0], axis=0)
+        for w in words_[1:]:
+            rows += weighted.take(w, axis=0)
+        known = np.flatnonzero(codes < n)
+        if len(known):
+            c = codes[known]
+            order = np.argsort(c.astype(np.uint16) if n < 1 << 16 else c, kind="stable")  # 16 bits sort by radix
+            c = c[order]
             first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-            y[c[first]] += np.add.reduceat(rows[of[order]], first, axis=0)
+            y[c[first]] += grouped_sums(rows, known[order] // PASSAGE, first)
 
     def run(batches) -> Iterator[dict]:
         y, held, size_held = np.zeros((n, width)), [], 0
@@ -276,15 +300,16 @@ class Searcher:
     def _fold(self, held: list[tuple[int, int, np.ndarray]], best: list[dict]) -> None:
         """Fold pieces of texts, laid end to end, into the latent space; verify the windows near an item."""
         # Pieces begin on whole grains, so that sums are kept of grains only; what fills a piece up is no term.
-        n = np.array([len(c) for _, _, c in held])
-        room = -(-n // GRAIN) * GRAIN
-        first = np.cumsum(room) - room
-        codes = np.full(int(room.sum()), len(self.bench.terms))
-        codes[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)] = np.concatenate([c for _, _, c in held])
+        pieces = [c for _, _, c in held]
+        n = np.array([len(c) for c in pieces])
+        codes, first, room = whole(pieces, GRAIN, len(self.bench.terms))
         known = np.r_[0, np.cumsum(codes < len(self.bench.terms))]
-        grains = self.vectors[codes].reshape(-1, GRAIN, self.vectors.shape[1])
+        words_ = codes.reshape(-1, GRAIN).T
+        grains = self.vectors.take(words_[0], axis=0)
+        for w in words_[1:]:
+            grains += self.vectors.take(w, axis=0)
         sums = np.zeros((len(grains) + 1, self.vectors.shape[1]), np.float32)
-        np.cumsum(grains.sum(axis=1), axis=0, out=sums[1:])
+        np.cumsum(grains, axis=0, out=sums[1:])
         for length, (mine, axes, has, need) in self.scales.items():
             w = np.minimum(length, room)
             step = length // 4
@@ -300,12 +325,12 @@ class Searcher:
             norm = np.sqrt(np.einsum("ij,ij->i", z, z))
             near = z @ axes
             near /= np.maximum(norm, 1e-9)[:, None]
+            s, k = np.divmod(np.flatnonzero(near >= self.rule.cosine), near.shape[1])
             # Of neighbouring windows the nearer one stands for both: what is verified reaches half a window further.
-            hit = near >= self.rule.cosine
-            beside = (of[1:] == of[:-1])[:, None]
-            hit[:-1] &= ~(beside & (near[1:] > near[:-1]))
-            hit[1:] &= ~(beside & (near[:-1] >= near[1:]))
-            s, k = np.nonzero(hit)
+            value, after, before = near[s, k], np.minimum(s + 1, len(of) - 1), np.maximum(s - 1, 0)
+            beaten = (after > s) & (of[after] == of[s]) & (near[after, k] > value)
+            beaten |= (before < s) & (of[before] == of[s]) & (near[before, k] >= value)
+            s, k = s[~beaten], k[~beaten]
             for i in range(0, len(s), 4096):
                 self._bound(codes, held, first, lo, hi, starts, of, near, s[i:i + 4096], k[i:i + 4096], 2 * length, mine, has, need, best)
 

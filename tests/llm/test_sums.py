@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from agrolens.llm import maxent_lm
+from agrolens.llm import decontaminate, maxent_lm
 from agrolens.llm.common import grouped_sums
 
 
@@ -31,3 +31,10 @@ def test_packed_numbers_take_little_more_than_their_low_bytes():
 def test_words_are_numbered_as_they_come():
     code = maxent_lm.Codes()
     assert [code[w] for w in (b"b", b"a", b"b", b"")] == [0, 1, 0, 2] and list(code) == [b"b", b"a", b""]
+
+
+def test_codes_are_laid_on_whole_passages():
+    lists = [np.arange(1, 4), np.array([7]), np.arange(8)]
+    codes, first, room = decontaminate.whole(lists, 4, 9)
+    assert codes.reshape(-1, 4).tolist() == [[1, 2, 3, 9], [7, 9, 9, 9], [0, 1, 2, 3], [4, 5, 6, 7]]
+    assert first.tolist() == [0, 4, 8] and room.tolist() == [4, 4, 8]
