@@ -32,13 +32,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agrolens.llm.common import arrow_map, documents, grouped_sums, query, slices, stored
+from agrolens.llm.common import arrow_map, documents, query, slices, stored, sums_by_size
 
 
 @dataclass(frozen=True)
@@ -111,6 +113,19 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), b""]
 
 
+def ended(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All texts' ``tokens``, by Arrow, and how many each text has."""
+    texts = pc.binary_join_element_wise(pc.ascii_lower(pc.fill_null(texts, "")), pa.scalar(" ", texts.type), pa.scalar("", texts.type))
+    lists = pc.ascii_split_whitespace(pc.ascii_ltrim_whitespace(texts))
+    return lists.flatten(), lists.value_lengths().to_numpy().astype(np.int32)
+
+
+def numbered(pieces: list[pa.Array]) -> tuple[np.ndarray, pa.Array]:
+    """Each token's number, as ``Codes`` numbers them, and the words by number."""
+    found = pa.chunked_array(pieces).dictionary_encode().unify_dictionaries()
+    return np.concatenate([c.indices.to_numpy() for c in found.chunks]), found.chunk(found.num_chunks - 1).dictionary
+
+
 def chunked(docs: DataFrame, shape: Shape) -> DataFrame:
     """Rows of both kinds: a chunk's documents as dictionary codes (word null), and its words."""
     ids = T.ArrayType(docs.schema["doc_id"].dataType)
@@ -120,40 +135,51 @@ def chunked(docs: DataFrame, shape: Shape) -> DataFrame:
 
     def run(batches) -> Iterator[dict]:
         part, seq, size = TaskContext.get().partitionId(), 0, 0
-        code = Codes()
-        docs_, sizes, held, lists = [], [], [], []
+        docs_, pieces, counts = [], [], []
 
         def close() -> Iterator[dict]:
             chunk = part << 24 | seq
-            codes = np.concatenate(lists)
-            train = np.repeat(~np.array(held, bool), sizes)
-            n = np.bincount(codes[train], minlength=len(code))
-            row = (chunk, None, None, None, docs_, _pack(np.array(sizes, np.int32)), _pack(np.array(held, np.uint8)), _pack(codes))
+            held, sizes = np.array([held_out(d) for d in docs_], bool), np.concatenate(counts)
+            codes, words = numbered(pieces)
+            n = np.bincount(codes[np.repeat(~held, sizes)], minlength=len(words))
+            row = (chunk, None, None, None, docs_, _pack(sizes), _pack(held.astype(np.uint8)), _pack(codes))
             yield dict(zip(names, ([x] for x in row)))
-            words = list(code)
             for i in range(0, len(words), 50_000):
                 some = words[i:i + 50_000]
                 k, none = len(some), [None] * len(some)
                 yield dict(zip(names, ([chunk] * k, np.arange(i, i + k, dtype=np.int32), some, n[i:i + k], none, none, none, none)))
 
+        def add(texts: pa.Array) -> None:
+            words, many = ended(texts)
+            pieces.append(words)
+            counts.append(many)
+
         for b in slices(batches):
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = tokens(t)
-                lists.append(np.fromiter(map(code.__getitem__, words), np.int32, len(words)))
-                docs_.append(d)
-                sizes.append(len(words))
-                held.append(held_out(d))
-                size += len(t or "")
+            ids_, texts, at = b.column(0).to_pylist(), b.column(1), 0
+            for i, length in enumerate(pc.fill_null(pc.utf8_length(texts), 0).to_pylist(), 1):
+                docs_.append(ids_[i - 1])
+                size += length
                 if size >= shape.chunk:
+                    add(texts[at:i])
                     yield from close()
-                    seq, size, code = seq + 1, 0, Codes()
-                    docs_, sizes, held, lists = [], [], [], []
+                    seq, size, at = seq + 1, 0, i
+                    docs_, pieces, counts = [], [], []
+                    pa.default_memory_pool().release_unused()  # a worker stays for the training rounds
+            if at < len(ids_):
+                add(texts[at:])
         if docs_:
             yield from close()
+        pieces.clear()
+        pa.default_memory_pool().release_unused()
 
     return arrow_map(docs.select("doc_id", "text"), run, T.StructType([T.StructField(a, b) for a, b in fields]))
 
 
+def _rest(a: np.ndarray, n: int) -> np.ndarray:
+    """``a % n``; whole-number division by one number is vectorised, the remainder is not."""
+    return a - a // n * n
+
+
 class Weights:
     """Both softmaxes' weights and their features."""
 
@@ -164,64 +190,124 @@ class Weights:
         self.flat = flat
         self.classes = flat[:n].reshape(shape.rows, shape.classes)
         self.words = flat[n:].reshape(shape.word_rows, shape.width)
+        self._factors: tuple[Factors, Factors] | None = None
+
+    def factors(self) -> tuple[Factors, Factors]:
+        """Both softmaxes to score with, made once: weights do not change any more."""
+        if self._factors is None:
+            self._factors = Factors(self.classes, True), Factors(self.words, False)
+        return self._factors
 
     def class_rows(self, h1, h2):
-        r = self.shape.rows - 1
-        return np.stack([h1 * 2654435761 >> 7, h2 * 2246822519 + 97 >> 9, (h1 * 3266489917 ^ h2 * 668265263) + 31 >> 5]) % r + 1
+        rows = np.stack([h1 * 2654435761 >> 7, h2 * 2246822519 + 97 >> 9, (h1 * 3266489917 ^ h2 * 668265263) + 31 >> 5])
+        return _rest(rows, self.shape.rows - 1) + 1
 
     def word_rows(self, cls, h1, h2):
         first = self.shape.head // self.shape.width  # rows below are the classes' own biases
         r = self.shape.word_rows - first
-        return np.stack([cls, (h1 * 2654435761 + cls * 40503 >> 7) % r + first, (h2 * 2246822519 + cls * 60493 >> 9) % r + first])
+        return np.stack([cls, _rest(h1 * 2654435761 + cls * 40503 >> 7, r) + first, _rest(h2 * 2246822519 + cls * 60493 >> 9, r) + first])
 
 
-def _shifted(table: np.ndarray, rows: np.ndarray, bias: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scores less their row's greatest, their exponentials, and these' sums by row.
+#: Scores up to this in size have exponentials, and sums of these, that float32 holds.
+_PLAIN = 80.0
+#: Batches after which the weights' size is looked up anew.
+_LOOK = 64
 
-    Rows of ``rows`` are features; ``bias`` adds the table's first row to all.
+
+def _plain(table: np.ndarray, rate: float, features: int) -> bool:
+    """Sums of ``features`` rows need no shift for ``_LOOK`` steps, of which each moves a weight by ``rate`` at most."""
+    return bool(features * (max(-table.min(), table.max()) + _LOOK * rate) <= _PLAIN)
+
+
+def _pieces(rows: int, width: int) -> Iterator[slice]:
+    """Slices of ``rows`` rows of ``width`` numbers that stay in a core's cache through several operations."""
+    step = max(64, (1 << 16) // width)
+    return (slice(i, min(i + step, rows)) for i in range(0, rows, step))
+
+
+def _probabilities(table: np.ndarray, rows: np.ndarray, bias: bool, plain: bool) -> np.ndarray:
+    """The softmax of each column of ``rows``, which are features; ``bias`` adds the table's first row to all.
+
+    Unless scores are ``plain`` (small enough as they are), each token's are taken less their greatest.
     """
-    z = table.take(rows[0], axis=0)
-    room = np.empty_like(z)
-    for r in rows[1:]:
-        z += np.take(table, r, axis=0, out=room, mode="clip")
-    if bias:
-        z += table[0]
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=room)
-    return z, room, room.sum(axis=1, keepdims=True)
+    out = np.empty((rows.shape[1], table.shape[1]), np.float32)
+    ones = np.ones(table.shape[1], np.float32)
+    for s in _pieces(*out.shape):
+        z = out[s]
+        np.take(table, rows[0, s], axis=0, out=z, mode="clip")
+        room = np.empty_like(z)
+        for r in rows[1:, s]:
+            z += np.take(table, r, axis=0, out=room, mode="clip")
+        if bias:
+            z += table[0]
+        if not plain:
+            z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        z *= (1 / (z @ ones))[:, None]
+    return out
+
+
+class Factors:
+    """A softmax to score with: a row's exponentials are products of its features' ones, which are made once."""
+
+    def __init__(self, table: np.ndarray, bias: bool):
+        self.table, self.bias = table, bias
+        self.top = table.max(axis=1)  # taken off, so that no product is above one
+        self.exp = table - self.top[:, None]
+        np.exp(self.exp, out=self.exp)
+        self.first = self.exp[0] if bias else np.ones(table.shape[1], np.float32)
+
+    def log_p(self, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Natural log probability of each row's ``y``."""
+        total = np.empty(len(y), np.float32)
+        for s in _pieces(len(y), self.table.shape[1]):
+            p = self.exp.take(rows[0, s], axis=0)
+            room = np.empty_like(p)
+            for r in rows[1:, s]:
+                p *= np.take(self.exp, r, axis=0, out=room, mode="clip")
+            total[s] = p @ self.first
+        # Features whose greatest weights lie far apart leave products too small for float32.
+        low = np.flatnonzero(total < 1e-30)
+        total[low] = 1
+        out = (self.table[rows, y] - self.top[rows]).sum(axis=0) - np.log(total)
+        if self.bias:
+            out += self.table[0][y] - self.top[0]
+        if len(low):
+            z = self.table[rows[:, low]].sum(axis=0) + (self.table[0] if self.bias else 0)
+            z -= z.max(axis=1, keepdims=True)
+            out[low] = z[np.arange(len(low)), y[low]] - np.log(np.exp(z).sum(axis=1))
+        return out
 
 
-def _log_p(table: np.ndarray, rows: np.ndarray, y: np.ndarray, bias: bool) -> np.ndarray:
-    """Natural log probability of each row's ``y``."""
-    z, _, total = _shifted(table, rows, bias)
-    return z[np.arange(len(y)), y] - np.log(total[:, 0])
+def _update(table: np.ndarray, square: np.ndarray, at: np.ndarray, change: np.ndarray, rate: float) -> None:
+    """Adaptive steps of the rows ``at`` by their gradients ``change``, which are used up."""
+    now = square.take(at, axis=0)
+    room = change * change
+    now += room
+    square[at] = now
+    now += 1e-6
+    np.sqrt(now, out=now)
+    change *= rate
+    change /= now
+    np.take(table, at, axis=0, out=room, mode="clip")
+    room -= change
+    table[at] = room
 
 
-def _step(table: np.ndarray, square: np.ndarray, rows: np.ndarray, y: np.ndarray, rate: float, bias: bool) -> None:
+def _step(table: np.ndarray, square: np.ndarray, rows: np.ndarray, y: np.ndarray, rate: float, bias: bool, plain: bool) -> None:
     """One adaptive gradient step on a batch; rows that tokens share get their summed gradient."""
-    _, g, sums = _shifted(table, rows, bias)
-    g /= sums
-    g[np.arange(len(y)), y] -= 1
+    g = _probabilities(table, rows, bias, plain)
+    g.ravel()[np.arange(len(y)) * g.shape[1] + y] -= 1
     flat = rows.ravel().astype(np.uint16 if len(table) <= 1 << 16 else np.int64)  # 16 bits sort by radix
     order = np.argsort(flat, kind="stable")
     at = flat[order]
     start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     order %= len(y)
-    total = grouped_sums(g, order, start)
     at = at[start].astype(np.int64)
+    for some, total in sums_by_size(g, order, start):
+        _update(table, square, at[some], total, rate)
     if bias:
-        at, total = np.r_[0, at], np.vstack([g.sum(axis=0), total])
-    now = square.take(at, axis=0)
-    room = total * total
-    now += room
-    square[at] = now
-    now += 1e-6
-    np.sqrt(now, out=now)
-    total *= rate
-    total /= now
-    np.take(table, at, axis=0, out=room, mode="clip")
-    room -= total
-    table[at] = room
+        _update(table, square, np.zeros(1, np.int64), np.ones((1, len(y)), np.float32) @ g, rate)
 
 
 class Chunk:
@@ -250,13 +336,13 @@ class Chunk:
     def logs(self, weights: Weights, tail_mass: np.ndarray) -> np.ndarray:
         """Natural log probability of every token."""
         shape, out = weights.shape, np.empty(len(self.codes))
-        tails = shape.head // shape.width
+        tails, classes, words = shape.head // shape.width, *weights.factors()
         for i in range(0, len(out), shape.batch):
             w, cls, within, h1, h2 = self.tokens(np.arange(i, min(i + shape.batch, len(out))))
-            lp = _log_p(weights.classes, weights.class_rows(h1, h2), cls, True).astype(np.float64)
+            lp = classes.log_p(weights.class_rows(h1, h2), cls).astype(np.float64)
             k = np.flatnonzero(within >= 0)
             if len(k):
-                lp[k] += _log_p(weights.words, weights.word_rows(cls[k], h1[k], h2[k]), within[k], False)
+                lp[k] += words.log_p(weights.word_rows(cls[k], h1[k], h2[k]), within[k])
             k = np.flatnonzero(within < 0)
             lp[k] += np.log((self.word_count[w[k]] + 0.5) / tail_mass[cls[k] - tails])
             out[i:i + shape.batch] = lp
@@ -266,11 +352,13 @@ class Chunk:
         shape = weights.shape
         mine = np.flatnonzero(np.repeat(~self.held, self.sizes))
         for i in range(0, len(mine), shape.batch):
+            if i % (_LOOK * shape.batch) == 0:
+                plain = _plain(weights.classes, shape.rate, 4), _plain(weights.words, shape.rate, 3)
             _, cls, within, h1, h2 = self.tokens(mine[i:i + shape.batch])
-            _step(weights.classes, squares.classes, weights.class_rows(h1, h2), cls, shape.rate, True)
+            _step(weights.classes, squares.classes, weights.class_rows(h1, h2), cls, shape.rate, True, plain[0])
             k = np.flatnonzero(within >= 0)
             if len(k):
-                _step(weights.words, squares.words, weights.word_rows(cls[k], h1[k], h2[k]), within[k], shape.rate, False)
+                _step(weights.words, squares.words, weights.word_rows(cls[k], h1[k], h2[k]), within[k], shape.rate, False, plain[1])
         return len(mine)
 
 
@@ -282,7 +370,7 @@ def _rows(batches) -> Iterator[dict]:
 
 def encoded(docs: DataFrame, shape: Shape) -> tuple[DataFrame, int, int, np.ndarray]:
     """(chunks with their words' counts, N, V, mass of each count class)."""
-    parts = stored(chunked(docs, shape), "lm-chunks")
+    parts = stored(chunked(docs, shape), "lm-chunks", codec="zstd")
     words = parts.where("word IS NOT NULL").select("chunk", "local", "word", "n")
     # Counts combine before they are exchanged; both sides of the join back are tables, so Spark can split a common word.
     totals = stored(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
