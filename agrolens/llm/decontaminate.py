@@ -320,21 +320,25 @@ class Searcher:
             # What a region has of known words, and then of an item's words, bounds its common subsequence.
             rich = known[hi] - known[lo] >= need.min()
             of, starts, lo, hi = of[rich], starts[rich], lo[rich], hi[rich]
-            z = sums[(starts + w[of]) // GRAIN]
-            z -= sums[starts // GRAIN]
-            norm = np.sqrt(np.einsum("ij,ij->i", z, z))
+            z = sums.take((starts + w[of]) // GRAIN, axis=0)
+            z -= sums.take(starts // GRAIN, axis=0)
+            norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-9)
             near = z @ axes
-            near /= np.maximum(norm, 1e-9)[:, None]
-            s, k = np.divmod(np.flatnonzero(near >= self.rule.cosine), near.shape[1])
+            # Cosines are made of what a slightly lower bound leaves.
+            s, k = np.divmod(np.flatnonzero(near >= (norm * (self.rule.cosine * (1 - 1e-6)))[:, None]), near.shape[1])
+            value = near[s, k] / norm[s]
+            hit = value >= self.rule.cosine
+            s, k, value = s[hit], k[hit], value[hit]
             # Of neighbouring windows the nearer one stands for both: what is verified reaches half a window further.
-            value, after, before = near[s, k], np.minimum(s + 1, len(of) - 1), np.maximum(s - 1, 0)
-            beaten = (after > s) & (of[after] == of[s]) & (near[after, k] > value)
-            beaten |= (before < s) & (of[before] == of[s]) & (near[before, k] >= value)
-            s, k = s[~beaten], k[~beaten]
+            after, before = np.minimum(s + 1, len(of) - 1), np.maximum(s - 1, 0)
+            beaten = (after > s) & (of[after] == of[s]) & (near[after, k] / norm[after] > value)
+            beaten |= (before < s) & (of[before] == of[s]) & (near[before, k] / norm[before] >= value)
+            s, k, value = s[~beaten], k[~beaten], value[~beaten]
             for i in range(0, len(s), 4096):
-                self._bound(codes, held, first, lo, hi, starts, of, near, s[i:i + 4096], k[i:i + 4096], 2 * length, mine, has, need, best)
+                j = slice(i, i + 4096)
+                self._bound(codes, held, first, lo, hi, starts, of, value[j], s[j], k[j], 2 * length, mine, has, need, best)
 
-    def _bound(self, codes, held, first, lo, hi, starts, of, near, s, k, width, mine, has, need, best) -> None:
+    def _bound(self, codes, held, first, lo, hi, starts, of, value, s, k, width, mine, has, need, best) -> None:
         place = lo[s][:, None] + np.arange(width)
         met = codes[np.minimum(place, len(codes) - 1)]
         most = has[met, k[:, None]]
@@ -349,7 +353,7 @@ class Searcher:
         for i in enough[bound >= need[k[enough]] - 1e-9]:
             a, b = s[i], k[i]
             text, offset, piece = held[of[a]]
-            self._verify(codes[lo[a]:hi[a]].tolist(), int(starts[a] - first[of[a]]) + offset, self.bench.items[mine[b]], float(near[a, b]), best[text], piece)
+            self._verify(codes[lo[a]:hi[a]].tolist(), int(starts[a] - first[of[a]]) + offset, self.bench.items[mine[b]], float(value[i]), best[text], piece)
 
     def _answered(self, item: Item, region: list[int], codes: np.ndarray) -> bool:
         """The whole item's answer is in the region; that of a longer item in any stretch of the text's piece."""
