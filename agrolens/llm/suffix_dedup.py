@@ -10,11 +10,13 @@ about one in 200 bytes.
 * Anchors whose gram no other anchor has go at once (counts by hash).
 * Equal contexts collapse to one that stands for them; their starts are all
   repeated.  Both are combinable aggregates, so a group of copies of any
-  size is one row a task.
+  size is one row a task.  On the way back to the starts, the contexts with
+  most copies are broadcast; any other one has a small share of the starts.
 * What is left are different contexts around an equal gram.  Each task sorts
   its suffixes (the bytes from the anchor on) and front-codes them; the runs
-  are exchanged by ranges of their first bytes; each range is merged by a
-  loser tree that keeps common prefix lengths and compares only beyond them.
+  are exchanged by ranges of their first bytes (first bytes that alone fill a
+  range are cut again, by gram); each range is merged by a loser tree that
+  keeps common prefix lengths and compares only beyond them.
   Neighbours' common prefixes then bound which starts can be repeated, and
   those few are compared over their whole strings.
 * A gram with more than ``hot`` different contexts would make one range too
@@ -47,6 +49,9 @@ GRAM = 32
 #: Text bytes of a chunk, and of a merged range.
 CHUNK = 16 << 20
 RANGE = 16 << 20
+#: Copies from which on a context may be broadcast, and the most contexts that are.
+MANY = 1000
+HOTTEST = 1 << 16
 #: Starts whose anchors are found at once; positions then fit the low bits of a key.
 STRETCH = 1 << 23
 _LOW = 24
@@ -129,7 +134,7 @@ def _chunked(docs: DataFrame, length: int) -> DataFrame:
                     out[1].append(np.frombuffer(context, ">i8").astype(np.int64))
                     out[2].append(np.full(len(a), place))
                     out[3].append(packed(a, lo, hi))
-                    out[4].append((np.frombuffer(head, ">u8") >> np.uint64(1)).astype(np.int64))
+                    out[4].append((np.frombuffer(head, ">u8") >> np.uint64(11)).astype(np.int64))
                 held_ids.append(d)
                 held.append(data)
                 size += len(data)
@@ -292,6 +297,31 @@ def _by_chunk(batches) -> Iterator[tuple[int, list, _Texts, list[list]]]:
         yield done()
 
 
+def copied(shared: DataFrame, contexts: DataFrame) -> DataFrame:
+    """The rows of ``shared`` whose context occurs twice or more, by the contexts' counts ``n``.
+
+    The ``HOTTEST`` contexts with most copies never meet in one task. Of N rows, one that
+    is left has N / HOTTEST at most, or MANY.
+    """
+    key = ["gram", "context"]
+    hottest = F.broadcast(stored(contexts.where(F.col("n") > MANY).orderBy(F.desc("n")).limit(HOTTEST).select(key), "suffix-hottest"))
+    others = shared.join(hottest, key, "left_anti").join(contexts.where("n > 1").select(key), key)
+    return shared.join(hottest, key, "left_semi").unionByName(others)
+
+
+def _ranges(reps: DataFrame, length: int) -> tuple[np.ndarray, dict[int, tuple[int, int]], int]:
+    """Cuts between heads; (first range, number of ranges) of each head that alone fills one; number of all ranges."""
+    most = max(1, RANGE * 2 // (length * 3))
+    n = max(1, -(-reps.count() // most))
+    cuts = np.array(sorted(reps.approxQuantile("head", [i / n for i in range(1, n)], 0.1 / n)) if n > 1 else [], np.float64)
+    heavy = {}
+    if n > 1:
+        for r in reps.groupBy("head").agg(F.count("*").alias("m")).where(F.col("m") > most).orderBy("head").collect():  # fewer than n
+            heavy[r.head] = n, -(-r.m // most)
+            n += heavy[r.head][1]
+    return cuts, heavy, n
+
+
 def repeated_bytes(chunks: DataFrame, found: DataFrame, length: int, hot: int) -> DataFrame:
     """(place, start, end): stretches whose bytes all lie in repeated strings."""
     # Aggregates are stored before a join, so that both sides come straight from an exchange and Spark can split a hot key.
@@ -299,14 +329,13 @@ def repeated_bytes(chunks: DataFrame, found: DataFrame, length: int, hot: int) -
     shared = stored(found.join(grams, "gram"), "suffix-shared")
     contexts = shared.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("place", "pos", "head")).alias("rep"))
     contexts = stored(contexts, "suffix-contexts")
-    copies = shared.join(contexts.where("n > 1").select("gram", "context"), ["gram", "context"])
+    copies = copied(shared, contexts)
     first = F.shiftright("pos", 20)
     whole = copies.select("place", first.alias("start"), (first + F.shiftright("pos", 10).bitwiseAND(F.lit(1023)) + length).alias("end"))
     several = stored(contexts.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "suffix-several")
     reps = contexts.join(several, "gram").select("rep.place", "rep.pos", "rep.head", (F.col("n") > 1).alias("many"), (F.col("m") > hot).alias("hot"))
     reps = stored(reps, "suffix-reps")
-    ranges = max(1, -(-reps.count() * length * 3 // 2 // RANGE))
-    cuts = np.array(sorted(reps.approxQuantile("head", [i / ranges for i in range(1, ranges)], 0.1 / ranges)) if ranges > 1 else [], np.float64)
+    cuts, heavy, ranges = _ranges(reps.where("NOT hot"), length)
 
     run = T.StructType([T.StructField("range", T.IntegerType()), *(T.StructField(n, T.BinaryType()) for n in ("shared", "rests", "sizes", "lefts", "left_sizes", "places", "poses", "manys")),
                         T.StructField("digest", T.BinaryType()), T.StructField("place", T.LongType()), T.StructField("start", T.LongType())])
@@ -324,7 +353,11 @@ def repeated_bytes(chunks: DataFrame, found: DataFrame, length: int, hot: int) -
                     hot_rows[1] += [place] * (hi + 1 - lo)
                     hot_rows[2] += range(lo, hi + 1)
                 else:
-                    r = int(np.searchsorted(cuts, float(head), side="right"))
+                    if head in heavy:  # equal grams have to meet, others need not
+                        r, k = heavy[head]
+                        r += xxhash.xxh3_64_intdigest(data[a:a + GRAM]) % k
+                    else:
+                        r = int(np.searchsorted(cuts, float(head), side="right"))
                     sorted_.setdefault(r, []).append((data[a:hi + length], data[lo:a], place, pos, many))
             for r, rows in sorted_.items():
                 rows.sort(key=lambda x: x[0])

@@ -244,6 +244,59 @@ def test_suffix_dedup_edges(spark, edges, nothing):
     assert sum(got.values()) == edges.count()
 
 
+def test_suffix_ranges_of_equal_first_bytes(spark, monkeypatch):
+    """Different grams that begin alike fill several ranges, each of bounded size."""
+    from llm_frames import frame
+    rnd = random.Random(5)
+    segments = ["".join(" " * 8 + "".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(10)) for _ in range(150)]
+    texts = ["".join(rnd.choice(segments) for _ in range(60)) for _ in range(40)]
+    sizes, plain_store = [], suffix_dedup.stored
+
+    def store(df, name, *args):
+        out = plain_store(df, name, *args)
+        if name == "suffix-runs":
+            sizes.extend(r[0] for r in out.where("range IS NOT NULL").groupBy("range").agg(F.sum(F.length("places") / 8)).select("sum((length(places) / 8))").collect())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "stored", store)
+    monkeypatch.setattr(suffix_dedup, "RANGE", 1 << 12)
+    most = (1 << 12) * 2 // 300
+    got = suffix_rows(suffix_dedup.suffix_dedup(frame(spark, list(enumerate(texts))).repartition(4), 100))
+    assert got == Counter((i, *w) for i, w in enumerate(plain_suffix([t.encode() for t in texts], 100)))
+    assert sum(sizes) > 20 * most and max(sizes) < 6 * most
+
+
+def test_suffix_copies_of_one_context_stay_apart(spark, monkeypatch):
+    """A context that most rows have is not brought together; the rows are those of a plain join."""
+    monkeypatch.setattr(suffix_dedup, "MANY", 50)
+    monkeypatch.setattr(suffix_dedup, "HOTTEST", 2)
+    rnd = random.Random(6)
+    keys = [(1, 1)] * 4000 + [(1, 2)] * 300 + [(2, 2)] * 200 + [(3, 3)] * 60 + [(4, i // 2) for i in range(100)] + [(5, i) for i in range(100)]
+    rnd.shuffle(keys)
+    shared = spark.createDataFrame([(g, c, i, i << 20, 0) for i, (g, c) in enumerate(keys)], "gram long, context long, place long, pos long, head long").repartition(8)
+    found = suffix_dedup.copied(shared, shared.groupBy("gram", "context").agg(F.count("*").alias("n"))).select("gram", "context", "place", F.spark_partition_id().alias("part")).collect()
+    n = Counter(keys)
+    assert Counter(r.place for r in found) == Counter(i for i, k in enumerate(keys) if n[k] > 1)
+    assert max(Counter(r.part for r in found if (r.gram, r.context) == (1, 1)).values()) < 1000
+
+
+def test_suffix_passages_of_over_50_words(spark):
+    """A planted passage goes at both places from 400 bytes on, and stays below; documents without one lose nothing."""
+    from llm_frames import frame, prose
+    rnd = random.Random(9)
+    rows, want = [], {}
+    for i in range(0, 80, 4):
+        passage = " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 9))) for _ in range(rnd.randint(51, 70)))
+        size = len(passage) + 2 * 2
+        for d in (i, i + 1):
+            rows.append((d, f"{prose(rnd, 80)}<{d % 2}> {passage} <{d % 2}>{prose(rnd, 80)}"))
+            want[d] = size if size >= 400 else 0
+        rows += [(i + 2, prose(rnd, 200)), (i + 3, prose(rnd, 200))]
+    got = {r.doc_id: sum(s["end"] - s["start"] for s in r.spans) for r in suffix_dedup.suffix_dedup(frame(spark, rows)).collect()}
+    assert 0 < sum(v > 0 for v in want.values()) < len(want)
+    assert got == {d: want.get(d, 0) for d, _ in rows}
+
+
 def test_loser_tree():
     rnd = random.Random(2)
     for _ in range(300):
