@@ -416,7 +416,7 @@ def repeated_bytes(chunks: DataFrame, found: DataFrame, length: int, hot: int) -
 
     laid = stored(arrow_map(_with_texts(chunks, reps), sort_runs, run), "suffix-runs")
     runs = laid.where("range IS NOT NULL").select(*names[:9])
-    ordered = runs.repartition(ranges, "range").sortWithinPartitions("range")
+    ordered = runs.repartitionById(ranges, F.col("range")).sortWithinPartitions("range")
     around = arrow_map(ordered, merge_ranges, place)
     starts = laid.where("digest IS NOT NULL").select("digest", "place", "start")
     twice = stored(starts.groupBy("digest").count().where("count > 1").select("digest"), "suffix-twice")
