@@ -93,3 +93,26 @@ def test_tables_of_attributions_are_made_once_for_many_batches(monkeypatch):
         picked = np.arange(50) % 2
         base, got = attribution._by_class(m, made, x, picked, np.arange(50), 2)
     assert len(calls) <= 2 * 4 and np.allclose(base + got.sum(1), m.summed(x)[picked, np.arange(50)])
+
+
+def test_the_search_has_the_size_of_the_reference():
+    from agrolens.plans import q_ml
+    settings = boosting.sampled_settings(q_ml.SEARCH["trials"], q_ml.SEARCH["seed"], q_ml.SEARCH["rounds"], Params(depth=q_ml.SEARCH["depth"]))
+    assert len(settings) == 30 and q_ml.SEARCH["rounds"] == (50, 500) and min(q_ml.SEARCH["halve_at"]) > 100
+    assert min(p.rounds for _, p in settings) >= 50 and max(p.rounds for _, p in settings) > 300
+    assert {p.depth for _, p in settings} >= {3, 10}
+
+
+def test_sums_beyond_their_bound_take_further_passes_and_the_same_trees(spark, monkeypatch):
+    rnd = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, float(rnd.integers(0, 40)), float(rnd.integers(0, 40)), int(rnd.integers(0, 3)), i % 2) for i in range(600)], "id long, a double, b double, label int, fold int")
+    cols, edges = ["a", "b"], [np.arange(39.0)] * 2
+    rows = boosting.prepared(df, cols, edges, "label", F.col("fold"), ["id"], 100)
+    grown = []
+    for bound in (boosting.SUMS_BYTES, 24 * 80 * 2 * 2):  # the second: two classes at the root's children, one below
+        monkeypatch.setattr(boosting, "SUMS_BYTES", bound)
+        models = {j: (Booster(cols, edges, Params(rounds=6, depth=3, rate=0.3, subsample=0.9, min_child_weight=0.5), 3), j) for j in range(2)}
+        grown.append([m for m, _ in boosting.fit_many(rows, models).values()])
+        assert len([*boosting._blocks(models, 2)]) == (1 if bound > 10 ** 6 else 6)
+    for one, two in zip(*grown):
+        assert (one.feature >= 0).any() and np.array_equal(one.feature, two.feature) and np.array_equal(one.value, two.value)
